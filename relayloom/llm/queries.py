@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relayloom.llm import packing, token_store
+from relayloom.llm import lines, packing, repeats, token_store
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,12 +24,22 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op7_packing)}
+    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op6_substring_dedup, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
