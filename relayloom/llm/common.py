@@ -60,13 +60,13 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``most`` bytes of ``column``, so that temporary arrays stay small."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most`` bytes of ``column`` and to ``rows`` rows, so that temporary arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(size) - size) // most
+        group = (np.cumsum(size) - size) // most + (np.arange(len(size)) // rows << 32)
         cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cut, cut[1:], strict=False):
             yield batch.slice(a, b - a)

@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, spa
             break
         order = left.select("part").distinct().select("part", (F.expr("row_number() over (order by part)") - 1).alias("rank"))  # a row a partition of the level below
         grouped = left.join(F.broadcast(order), "part").withColumn("group", F.expr(f"cast(rank div {fan_in} as long)"))
-        merged = written(grouped.groupBy("group").applyInArrow(lambda k, t, f=_merge(level, size, spaces, with_ids): f(k, t.drop_columns(["group", "rank"])), _ALL), "pack")
+        merged = written(grouped.groupBy("group").applyInArrow(_merge(level, size, spaces, with_ids), _ALL), "pack")
         result = result.unionByName(merged.where("part is null").select(keep))
         left, level = merged.where("part is not null"), level + 1
     last = left.withColumn("sequence_id", F.lit(1 << 62).cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import lines, packing, repeats, token_store
+from relayloom.llm import fingerprints, lines, near, packing, repeats, token_store
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,8 +38,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"), k=5, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op6_substring_dedup, op7_packing)}
+    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

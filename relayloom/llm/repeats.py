@@ -16,8 +16,9 @@ levels; where they hold a window at all, every word of every copy goes.
 
 Words are runs of bytes other than ASCII white space, unchanged.  Hashes of windows have 64 bits
 (a chance of 2 ** -57 or less for two windows to be mistaken for one); word sequences 128.  Null
-and empty texts have no words.  Rows with equal ``doc_id``: of each only one row stays.  Input
-columns stay, but for those that the result names itself.
+and empty texts have no words.  Rows with equal ``doc_id`` are marked together: a place that is
+repeated in one of them goes from all.  Input columns stay, but for those that the result names
+itself.
 """
 
 from __future__ import annotations
