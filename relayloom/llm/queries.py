@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import fingerprints, lines, near, packing, repeats, token_store
+from relayloom.llm import decontaminate, fingerprints, lines, near, packing, repeats, token_store
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -47,7 +52,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

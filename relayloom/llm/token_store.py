@@ -47,8 +47,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, wide: bool, s
     """
     import zstandard
 
-    some = docs.select(F.substring("text", 1, 4 * sample_ids).alias("text")).orderBy(F.xxhash64(docs["doc_id"]), docs["doc_id"]).limit(sample_docs)
-    texts = [r.text for r in some.collect()]
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    some = docs.join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, 4 * sample_ids).alias("text"))  # sample_docs ids
+    texts = [r.text for r in some.limit(sample_docs).collect()]
     kind = "<u4" if wide else "<u2"
     samples = [np.append(np.frombuffer(b, "<u4")[: sample_ids - 1], end_id).astype(kind).tobytes() for b in encoder(tokenizer).encode(texts)]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
+from collections.abc import Callable
+from pathlib import Path
 
-import numpy as np
+#: Remembered words of a Python worker; the tables are emptied when they are full.
+MOST_PIECES = 800_000
 
-#: Remembered pieces of a Python worker; the table is emptied when it is full.
-MOST_PIECES = 400_000
+#: ASCII marks that are no letter, digit or white space: after letters they are one pre-token.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _printable() -> dict[int, str]:
+    """Byte-level BPE's rule: bytes that print stand for themselves, the rest for characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Words(dict):
+    """Works out a word on its first use."""
+
+    def __init__(self, find: Callable[[str], bytes | bool]):
+        self.find = find
+
+    def __missing__(self, w: str) -> bytes | bool:
+        self[w] = found = self.find(w)
+        return found
 
 
 class Encoder:
-    """Encodes texts to unsigned 32-bit little-endian ids, remembering the ids of words.
+    """Encodes texts to unsigned 32-bit ids of the machine's (little-endian) order, remembering words.
 
     Byte-level BPE never merges across a pre-token, and a single space before a character
     that is no white space always starts one.  So a text cut there encodes piece by piece to
-    the same ids.  A text in which some space is followed by white space or by the end goes
-    to the library whole.
+    the same ids.  A word of letters, with or without marks after them, is one or two pre-tokens
+    that go straight to the library's BPE model; other words go to the whole tokenizer.  A text
+    in which some space is followed by white space or by the end goes to it uncut, and so do all
+    texts where the vocabulary file has another pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -24,43 +49,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
+        kind = json.loads(Path(path).read_text())
+        before = kind["pre_tokenizer"] or {}
+        self.cuts = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.known = _Words(self.word)
+        self.parts: dict[str, bytes] = {}  # pre-tokens
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.printable = _printable()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MOST_PIECES:
-            self.known.clear()
-        cut, odd = [], []
-        for w in words:
-            (odd if not w or w[0].isspace() else cut).append(w)
-        for at in range(0, len(cut), 20_000):
-            some = cut[at : at + 20_000]
-            self.known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-        self.known.update(dict.fromkeys(odd))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def part(self, pretoken: str) -> bytes:
+        found = self.parts.get(pretoken)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.printable))]).tobytes()
+            self.parts[pretoken] = found
+        return found
+
+    def word(self, w: str) -> bytes | bool:
+        """Ids of a word after a space; False for what must not be cut off there."""
+        if not w or w[0].isspace():
+            return False
+        letters = w.rstrip(MARKS)
+        if not letters.isalpha():
+            return self.whole([" " + w])[0]
+        return self.part(" " + letters) + (self.part(w[len(letters) :]) if len(letters) < len(w) else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if not self.cuts:
+            return self.whole(texts)
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+            self.parts.clear()
+        cut = [text.split(" ") for text in texts]
+        heads = self.whole([words[0] for words in cut])
+        get = self.known.__getitem__
         out: list[bytes] = []
-        known = self.known
-        for text in texts:
-            head, *words = text.split(" ")
-            if any(s in text for s in self.specials):
-                out += self.whole([text])
-                continue
-            new = {w for w in words if w not in known}
-            if new:
-                self.learn(new)
-                if len(new) < len(set(words)):  # the table may have been emptied
-                    self.learn({w for w in words if w not in known})
-            try:
-                rest = b"".join([known[w] for w in words])
-            except TypeError:
+        for text, words, head in zip(texts, cut, heads, strict=True):
+            got = list(map(get, words))
+            got[0] = head
+            if False in got or any(s in text for s in self.specials):
                 out += self.whole([text])
-                continue
-            out.append((self.whole([head])[0] if head else b"") + rest)
+            else:
+                out.append(b"".join(got))
         return out
 
 
