@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import decontaminate, fingerprints, lines, near, packing, repeats, token_store
+from relayloom.llm import decontaminate, fingerprints, lines, near, packing, repeats, token_store, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,8 +51,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
