@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import decontaminate, fingerprints, lines, near, packing, repeats, token_store, toxicity
+from relayloom.llm import decontaminate, fingerprints, lines, near, packing, pii, repeats, token_store, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.sanitise(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_store, op2_pii, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
