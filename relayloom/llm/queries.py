@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import decontaminate, fingerprints, lines, near, packing, pii, repeats, token_store, toxicity
+from relayloom.llm import decontaminate, fingerprints, lines, near, packing, pii, repeats, token_store, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -62,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pii, op3_line_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_store, op2_pii, op3_line_dedup, op4_warc, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
