@@ -8,10 +8,13 @@
    bucket, is paired with the other members, so a bucket gives no more pairs than it has members.
    The pairs are confirmed on full sets, and linked documents get a common label.
 4. A star can miss a link between two members that are no center.  So the centers leave their
-   buckets, buckets whose members share one label are done, and the rest get the next, larger
-   lot of centers (each paired with members of other labels only), until no bucket is left.  No
-   pair is confirmed twice, none is left out, and no bucket has a cap.
-5. Components of all links by alternating large and small stars.
+   buckets, and buckets whose members share one label are done.  The documents in the rest get
+   finer buckets: of n shingles, the n - ceil(0.85 n) + 1 that are rarest among these documents.
+   Linked sets share one of them, and a set of mostly own shingles shares none and is done.  Own
+   shingles also bound the intersection of a pair, so most pairs that can't link are never made.
+5. These buckets get larger and larger lots of centers (each paired with members of other labels
+   only) until no bucket is left.  No pair is confirmed twice, none is left out, and no bucket has a cap.
+6. Components of all links by alternating large and small stars.
 
 With 42 bands of 6 values a pair at a similarity of 0.85 shares no bucket with a chance of about
 2e-9.  Words are runs without ASCII white space, A-Z lower-cased; sets hold runs of five words, or
@@ -115,7 +118,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(edges.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
 
 
-def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6, growth: int = 8) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6, growth: int = 4) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) of all documents, and the confirmed (a, b) links between representatives."""
     docs = documents(docs)
     sets = written(docs.mapInArrow(_sketched(k, bands, rows), _SETS), "sketches")
@@ -126,18 +129,19 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
     others = member.where("doc_id != rep").select("doc_id")
     keys = full.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
-    live = written(keys.join(shared, "bucket").select("bucket", "rep", "n_shingles"), "buckets")
+    live = written(keys.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_shared")), "buckets")
     reps = live.select("rep").distinct()
     blobs = written(docs.mapInArrow(_compressed, "rep long, blob binary").join(reps, "rep", "left_semi"), "blobs")
     label = reps.select("rep", F.col("rep").alias("label"))
     tested = links = None
     centers, number = 1, 0
     while live.limit(1).count():
-        now = live.join(label, "rep").select("bucket", "rep", "n_shingles", "label")
+        now = live.join(label, "rep").select("bucket", "rep", "n_shingles", "n_shared", "label")
         chance = F.xxhash64(F.lit(number), "bucket", "rep")
-        center = now.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit(number)), F.lit(centers)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), F.col("rep").alias("c"), F.col("n_shingles").alias("cn"), F.col("label").alias("cl"))).alias("x"))
-        center = written(center.select("bucket", "x.c", "x.cn", "x.cl"), "centers")
-        alike = (F.col("label") != F.col("cl")) & (100 * F.least("n_shingles", "cn") >= percent * F.greatest("n_shingles", "cn"))
+        center = now.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit(number)), F.lit(centers)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), F.col("rep").alias("c"), F.col("n_shingles").alias("cn"), F.col("n_shared").alias("cs"), F.col("label").alias("cl"))).alias("x"))
+        center = written(center.select("bucket", "x.c", "x.cn", "x.cs", "x.cl"), "centers")
+        most = F.least("n_shared", "cs")  # no larger intersection is possible
+        alike = (F.col("label") != F.col("cl")) & (100 * most >= percent * (F.col("n_shingles") + F.col("cn") - most))
         pairs = now.join(center, "bucket").where(alike).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -147,13 +151,40 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         rest = live.join(center.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti")
-        label = written(_spread(label, links), "labels")
+        label = written(_spread(_spread(label, links), links), "labels")
         open_ = rest.join(label, "rep").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         live = written(rest.join(open_, "bucket", "left_semi"), "buckets")
-        centers, number = centers * growth, number + 1
+        if number == 0:
+            live = written(_rarest(live.select("rep").distinct(), blobs, k, percent), "buckets")
+        else:
+            centers *= growth
+        number += 1
     return member, links if links is not None else member.sparkSession.createDataFrame([], "a long, b long")
 
 
+def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(bucket, rep, n_shingles, n_shared): each set's rarest shingles, enough of them for linked sets to share one.
+
+    ``n_shared`` leaves out the shingles that no other of ``reps`` has.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        decompress = zstandard.ZstdDecompressor().decompress
+        for batch in pieces(batches, "blob", 1 << 19):
+            found = shingles(words(pa.array([decompress(b) for b in batch.column("blob").to_pylist()], pa.binary())), k)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    rows = written(blobs.join(reps, "rep", "left_semi").select("rep", "blob").mapInArrow(sets, "rep long, shingles array<long>"), "shingles")
+    rows = rows.select("rep", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("bucket"))
+    often = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    own = rows.join(written(often, "often"), "bucket").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
+    # Shingles that occur once come first in the order; they are no buckets but use up places.
+    places = F.expr(f"cast(n_shingles - (n_shingles * {percent} + 99) div 100 + 1 - (n_shingles - size(shared)) as int)")
+    return own.select("rep", "n_shingles", F.size("shared").cast("long").alias("n_shared"), F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("s")).select("s.bucket", "rep", "n_shingles", "n_shared")
+
+
 def _spread(label: DataFrame, links: DataFrame) -> DataFrame:
     """Each label lowered to the least label next to it; equal labels still mean one component."""
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
