@@ -33,6 +33,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """An aggregate much smaller than its input, in an eighth of the shuffle partitions: fewer small files and tasks."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` cut from its lineage: written as Parquet to the shared folder and read again."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_written, pieces, scratch, written
+from relayloom.llm.common import documents, drop_written, fewer, pieces, scratch, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LINES = "batch int, doc_id long, h1 long, h2 long, places array<int>"
@@ -74,7 +74,7 @@ class LineRuns:
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.root}/level-{level}/run-{self.made}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        fewer(run).sortWithinPartitions("h1", "h2").write.parquet(path)
         self.made += 1
         while len(self.levels) <= level:
             self.levels.append([])
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     runs = LineRuns(spark, fan)
     for b in range(n_batches):
         runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
-    frequent = written(runs.frequent(min_docs), "frequent-lines").toDF("f1", "f2", "n_docs", "last_doc")
+    frequent = written(fewer(runs.frequent(min_docs)), "frequent-lines").toDF("f1", "f2", "n_docs", "last_doc")
     same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("doc_id") < F.col("last_doc"))
     stay = lines.join(frequent.hint("merge"), same, "left_anti").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("kept"))
     own = {"kept_text", "n_lines", "n_dropped"}
