@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, pieces, written
+from relayloom.llm.common import documents, fewer, pieces, written
 from relayloom.llm.sketch import one_permutation, shingles
 from relayloom.llm.wordhash import MULTIPLIER, mix, words
 
@@ -101,7 +101,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of (a, b) links reaches, by alternating stars."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
+    edges = written(fewer(links.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("m").alias("v"), F.col("v").alias("m"))).toDF("u", "n")
@@ -110,7 +110,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("m").alias("least"))
         joined = large.join(low, "v")
         star = joined.where("m != least").select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(low.select("v", F.col("least").alias("m")))
-        edges = written(star.where("v != m").distinct(), "edges")
+        edges = written(fewer(star.where("v != m").distinct()), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break
@@ -139,7 +139,7 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
         now = live.join(label, "rep").select("bucket", "rep", "n_shingles", "n_shared", "label")
         chance = F.xxhash64(F.lit(number), "bucket", "rep")
         center = now.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit(number)), F.lit(centers)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), F.col("rep").alias("c"), F.col("n_shingles").alias("cn"), F.col("n_shared").alias("cs"), F.col("label").alias("cl"))).alias("x"))
-        center = written(center.select("bucket", "x.c", "x.cn", "x.cs", "x.cl"), "centers")
+        center = written(fewer(center.select("bucket", "x.c", "x.cn", "x.cs", "x.cl")), "centers")
         most = F.least("n_shared", "cs")  # no larger intersection is possible
         alike = (F.col("label") != F.col("cl")) & (100 * most >= percent * (F.col("n_shingles") + F.col("cn") - most))
         pairs = now.join(center, "bucket").where(alike).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
@@ -151,11 +151,11 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         rest = live.join(center.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti")
-        label = written(_spread(_spread(label, links), links), "labels")
+        label = written(fewer(_spread(_spread(label, links), links)), "labels")
         open_ = rest.join(label, "rep").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        live = written(rest.join(open_, "bucket", "left_semi"), "buckets")
+        live = written(fewer(rest.join(open_, "bucket", "left_semi")), "buckets")
         if number == 0:
-            live = written(_rarest(live.select("rep").distinct(), blobs, k, percent), "buckets")
+            live = written(fewer(_rarest(live.select("rep").distinct(), blobs, k, percent)), "buckets")
         else:
             centers *= growth
         number += 1
@@ -179,7 +179,7 @@ def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFram
     rows = written(blobs.join(reps, "rep", "left_semi").select("rep", "blob").mapInArrow(sets, "rep long, shingles array<long>"), "shingles")
     rows = rows.select("rep", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("bucket"))
     often = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    own = rows.join(written(often, "often"), "bucket").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
+    own = rows.join(written(fewer(often), "often"), "bucket").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
     # Shingles that occur once come first in the order; they are no buckets but use up places.
     places = F.expr(f"cast(n_shingles - (n_shingles * {percent} + 99) div 100 + 1 - (n_shingles - size(shared)) as int)")
     return own.select("rep", "n_shingles", F.size("shared").cast("long").alias("n_shared"), F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("s")).select("s.bucket", "rep", "n_shingles", "n_shared")
@@ -195,7 +195,7 @@ def _spread(label: DataFrame, links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6) -> DataFrame:
     """RESULT rows: ``component_id`` is the least ``doc_id`` that a document reaches over links."""
     member, links = near_links(docs, k, percent, bands, rows)
-    found = written(components(links), "components")
+    found = components(links)
     joined = member.join(found.toDF("rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_written, pieces, written
+from relayloom.llm.common import documents, drop_written, fewer, pieces, written
 from relayloom.llm.wordhash import MULTIPLIER, inside_texts, mix, window_minima, windows, words
 
 _FOUND = "doc_id long, n_words long, s1 long, s2 long, places array<int>, hashes array<long>"
@@ -165,9 +165,9 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     docs = documents(docs)
     found = written(docs.mapInArrow(_first_level(window, lengths[0]), _FOUND), "windows")
     groups = found.where(F.col("n_words") >= window).groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = written(groups, "copies")
+    groups = written(fewer(groups), "copies")
     member = found.select("doc_id", "s1", "s2", "n_words").join(groups, ["s1", "s2", "n_words"]).select("doc_id", "one")
-    member = written(member, "members")
+    member = written(fewer(member), "members")
     others = member.where("doc_id != one").select("doc_id")
     runs = found.select("doc_id", "places", "hashes").join(others, "doc_id", "left_anti")
     hits = _repeated(runs)
