@@ -1,26 +1,57 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays,
+contaminated documents go, and the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.  All but the last return the
+columns of documents; where a stage changes a text, ``n_chars`` follows it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relayloom.llm import packing
+from relayloom.llm import decontaminate, lines, near, packing, toxicity
 from relayloom.llm.common import written
-from relayloom.llm.queries import tokenizer_path
+from relayloom.llm.queries import table, tokenizer_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(docs, min_chars=40, min_docs=5)
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.drop_near_duplicates(docs, k=5, percent=85)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), end_id=1, size=2048)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
-#: Tokenizing and packing can't be put in SQL; tests compare the stages with brute force.
+#: Scoring, sketches and tokenizing can't be put in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over the documents of ``sf_dir``, each written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -253,6 +253,8 @@ def _rater(model: Model):
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def batches() -> Iterator[pa.RecordBatch]:
             for text in texts:
+                if not len(text):
+                    continue
                 sizes.append(len(text))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text.tolist(), pa.string())], ["doc_id", "text"])
 
