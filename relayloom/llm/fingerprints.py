@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relayloom.llm.common import documents, pieces
-from relayloom.llm.sketch import likeness, one_permutation, packed, shingles
+from relayloom.llm.sketch import flat_shingles, likeness, one_permutation, packed
 from relayloom.llm.wordhash import words
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -32,8 +32,9 @@ _LEAST = -(1 << 63)
 
 def codes(texts: list[str], k: int, bins: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed sketches of texts, and which of the texts have no words."""
-    sets = shingles(words(pa.array(texts, pa.large_string())), k)
-    return packed(one_permutation(sets, bins), bits), np.array([not len(s) for s in sets], dtype=bool)
+    w = words(pa.array(texts, pa.large_string()))
+    h, text = flat_shingles(w, k)
+    return packed(one_permutation(h, text, len(texts), bins), bits), np.diff(w.first) == 0
 
 
 def as_text(code: np.ndarray, empty: bool) -> str:
@@ -109,5 +110,5 @@ def neighbour_fingerprints(docs: DataFrame, k: int = 5, bins: int = 1024, bits:
     named = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
     extra = docs.where(F.col("key").isin(list(before))).withColumn("block", named[F.col("key")]).withColumn("extra", F.lit(1))
     both = docs.withColumn("extra", F.lit(0)).unionByName(extra)
-    dealt = both.repartition("block").sortWithinPartitions("block", "extra", F.desc("key"), "text")
+    dealt = both.repartition(blocks, "block").sortWithinPartitions("block", "extra", F.desc("key"), "text")
     return dealt.select("block", "extra", "doc_id", "text").mapInArrow(_pairs(k, bins, bits), RESULT)

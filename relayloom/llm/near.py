@@ -46,7 +46,8 @@ def _sketched(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             sets = shingles(words(batch.column("text")), k)
-            sketch = one_permutation(sets, bins)[:, : bands * rows].reshape(len(sets), bands, rows)
+            text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            sketch = one_permutation(np.concatenate(sets), text, len(sets), bins)[:, : bands * rows].reshape(len(sets), bands, rows)
             key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(sets), bands))
             for i in range(rows):
                 key = mix(key * np.uint64(MULTIPLIER) + sketch[:, :, i])

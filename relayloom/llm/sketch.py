@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from relayloom.llm.wordhash import MULTIPLIER, Words, mix, windows
+from relayloom.llm.wordhash import MULTIPLIER, Words, inside_texts, mix, windows
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -32,22 +32,53 @@ def shingles(w: Words, k: int = 5) -> list[np.ndarray]:
     return out
 
 
+def flat_shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' runs of ``k`` words, with repetitions, and the text of each; as in ``shingles``."""
+    counts = np.diff(w.first)
+    good = np.flatnonzero(inside_texts(w.first, k))
+    h, text = [windows(w.hashes, k)[good]], [np.searchsorted(w.first, good, side="right") - 1]
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        a, b = int(w.first[i]), int(w.first[i + 1])
+        h.append(mix(windows(w.hashes[a:b], b - a) + np.uint64(b - a)))
+        text.append(np.array([i]))
+    return np.concatenate(h), np.concatenate(text)
+
+
 def _probes(bins: int, step: int) -> np.ndarray:
     return (mix(np.arange(bins, dtype=np.uint64) * np.uint64(MULTIPLIER) + np.uint64(step + 1)) % np.uint64(bins)).astype(np.int64)
 
 
-def one_permutation(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    """A row of ``bins`` values for each set; an empty set's are all EMPTY."""
+_FIRST: dict[int, np.ndarray] = {}
+
+
+def _first_step(bins: int) -> np.ndarray:
+    """When the walk of bin i (row) first meets bin j; one that is never met in 8 * bins steps comes by distance after that."""
+    if bins not in _FIRST:
+        i = np.arange(bins)
+        table = (8 * bins + (i[None, :] - i[:, None]) % bins).astype(np.int32)
+        for step in range(8 * bins - 1, -1, -1):
+            table[i, _probes(bins, step)] = step
+        _FIRST[bins] = table
+    return _FIRST[bins]
+
+
+def one_permutation(h: np.ndarray, text: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """A row of ``bins`` values for each of ``n`` texts from shingle hashes; one without any is all EMPTY."""
     shift = np.uint64(64 - bins.bit_length() + 1)
-    sketch = np.full(len(sets) * bins, EMPTY, dtype=np.uint64)
-    if sets and sum(map(len, sets)):
-        h = np.concatenate(sets)
-        text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        np.minimum.at(sketch, text * bins + (h >> shift).astype(np.int64), mix(h) >> np.uint64(1))
-    sketch = sketch.reshape(len(sets), bins)
+    sketch = np.full(n * bins, EMPTY, dtype=np.uint64)
+    np.minimum.at(sketch, text * bins + (h >> shift).astype(np.int64), mix(h) >> np.uint64(1))
+    sketch = sketch.reshape(n, bins)
+    full = sketch != EMPTY
+    held = full.sum(axis=1)
     filled = sketch.copy()
-    some = (sketch != EMPTY).any(axis=1)
-    row, col = np.nonzero((sketch == EMPTY) & some[:, None])
+    few = (held > 0) & (held <= bins // 8)
+    if few.any():  # looked up: a walk would be long
+        first = _first_step(bins)
+        for r in np.flatnonzero(few).tolist():
+            some = np.flatnonzero(full[r])
+            got = sketch[r, some[first[:, some].argmin(axis=1)]]
+            filled[r] = np.where(full[r], sketch[r], got)
+    row, col = np.nonzero(~full & (held > bins // 8)[:, None])
     for step in range(8 * bins):
         if not len(row):
             break
@@ -55,15 +86,22 @@ def one_permutation(sets: list[np.ndarray], bins: int) -> np.ndarray:
         good = got != EMPTY
         filled[row[good], col[good]] = got[good]
         row, col = row[~good], col[~good]
-    for r, c in zip(row.tolist(), col.tolist(), strict=True):  # hardly ever: the next bin that holds a value
-        held = np.flatnonzero(sketch[r] != EMPTY)
-        filled[r, c] = sketch[r, held[np.searchsorted(held, c) % len(held)]]
+    if len(row):
+        first = _first_step(bins)
+        for r, c in zip(row.tolist(), col.tolist(), strict=True):
+            some = np.flatnonzero(full[r])
+            filled[r, c] = sketch[r, some[first[c, some].argmin()]]
     return filled
 
 
 def packed(sketch: np.ndarray, bits: int = 8) -> np.ndarray:
-    """The low-order bits of each bin as bytes (``bits`` is 1, 2, 4 or 8)."""
-    low = (sketch & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    """The low-order bits of each bin as bytes (``bits`` is 1, 2, 4 or 8).
+
+    A value is mixed with its bin's number first: a short text has the same few values in many bins, and
+    chance agreements of their bits must not come in all of these bins together.
+    """
+    place = np.arange(sketch.shape[1], dtype=np.uint64) * np.uint64(MULTIPLIER)
+    low = (mix(sketch ^ mix(place)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     if bits == 8:
         return low
     per = 8 // bits
