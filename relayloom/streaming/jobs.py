@@ -66,8 +66,8 @@ class Ordered(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us long, id long, content string")
         self.value = handle.getValueState("value", self.STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = timers.getCurrentWatermarkInMs()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
             for r in pdf.itertuples():
                 us = int(r.us)
@@ -75,8 +75,8 @@ class Ordered(StatefulProcessor):
                 self.handle.registerTimer(max(us // 1000 + 1, now + 1))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        limit = expired.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
         rows = sorted(tuple(x) for x in self.waiting.get())
         due, rest = [r for r in rows if r[0] <= limit], [r for r in rows if r[0] > limit]
         if rest:
@@ -160,7 +160,7 @@ class NodeStatus(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         newest = max(int(pdf["us"].max()) for pdf in rows)
         before = self.last.get()[0] if self.last.exists() else None
         if before is None or newest > before:
@@ -168,9 +168,9 @@ class NodeStatus(StatefulProcessor):
             self.handle.registerTimer(newest // 1000 + self.silence * 1000)
             yield pd.DataFrame([(*key, newest, "online")], columns=["node_id", "us", "status"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0]
-        if expired.getExpiryTimeInMs() >= last // 1000 + self.silence * 1000:
+        if expiredTimerInfo.getExpiryTimeInMs() >= last // 1000 + self.silence * 1000:
             yield pd.DataFrame([(*key, last, "offline")], columns=["node_id", "us", "status"])
 
     def close(self) -> None:
