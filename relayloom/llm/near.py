@@ -10,8 +10,9 @@
 4. A star can miss a link between two members that are no center.  So the centers leave their
    buckets, and buckets whose members share one label are done.  The documents in the rest get
    finer buckets: of n shingles, the n - ceil(0.85 n) + 1 that are rarest among these documents.
-   Linked sets share one of them, and a set of mostly own shingles shares none and is done.  Own
-   shingles also bound the intersection of a pair, so most pairs that can't link are never made.
+   Linked sets share one of them, and a set of mostly own shingles shares none and is done.  A
+   shingle's place also bounds the intersection of a pair that has none in common before it, so
+   most pairs that can't link are never made.
 5. These buckets get larger and larger lots of centers (each paired with members of other labels
    only) until no bucket is left.  No pair is confirmed twice, none is left out, and no bucket has a cap.
 6. Components of all links by alternating large and small stars.
@@ -152,7 +153,8 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         rest = live.join(center.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti")
-        label = written(fewer(_spread(_spread(label, links), links)), "labels")
+        if found.limit(1).count():
+            label = written(fewer(_spread(_spread(label, links), links)), "labels")
         open_ = rest.join(label, "rep").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         live = written(fewer(rest.join(open_, "bucket", "left_semi")), "buckets")
         if number == 0:
@@ -166,7 +168,8 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
 def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
     """(bucket, rep, n_shingles, n_shared): each set's rarest shingles, enough of them for linked sets to share one.
 
-    ``n_shared`` leaves out the shingles that no other of ``reps`` has.
+    ``n_shared`` is what two sets may have in common if this shingle is the first, in the order of
+    rarity, that they share: the shingles from it on.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +186,14 @@ def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFram
     own = rows.join(written(fewer(often), "often"), "bucket").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
     # Shingles that occur once come first in the order; they are no buckets but use up places.
     places = F.expr(f"cast(n_shingles - (n_shingles * {percent} + 99) div 100 + 1 - (n_shingles - size(shared)) as int)")
-    return own.select("rep", "n_shingles", F.size("shared").cast("long").alias("n_shared"), F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("s")).select("s.bucket", "rep", "n_shingles", "n_shared")
+    each = own.select("rep", "n_shingles", F.size("shared").cast("long").alias("all"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("before", "s"))
+    return each.select("s.bucket", "rep", "n_shingles", (F.col("all") - F.col("before")).alias("n_shared"))
 
 
 def _spread(label: DataFrame, links: DataFrame) -> DataFrame:
     """Each label lowered to the least label next to it; equal labels still mean one component."""
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.join(label.toDF("b", "other"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("other").alias("other"))
+    ends = links.toDF("rep", "next").unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("next")))
+    near = ends.join(label.toDF("next", "other"), "next").groupBy("rep").agg(F.min("other").alias("other"))
     return label.join(near, "rep", "left").select("rep", F.least("label", "other").alias("label"))
 
 

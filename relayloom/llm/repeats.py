@@ -5,8 +5,8 @@ Levels: ``window`` is halved (rounding up) until it is short; the shortest windo
 first, and only those that are repeated are extended to about twice their length, until the wanted
 length is reached or no candidate survives.
 
-At the first level not all short windows are counted but, of each wanted window, the one with the
-least hash (a minimizer).  Equal windows have equal minimizers at equal places, so a wanted
+At the first level not all short windows are counted but, of each window of the second length, the
+one with the least hash (a minimizer).  Equal windows have equal minimizers at equal places, so a
 window whose minimizer occurs once is not repeated.  This leaves about one row for nine words.
 At each level the windows are counted by a partially aggregated sum over their hashes, and the
 candidates join the repeated hashes; a very common passage is split by the skewed join.
@@ -67,12 +67,14 @@ def _sequence_hashes(w) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _first_level(window: int, short: int):
+def _first_level(second: int, short: int):
+    """Word counts, sequence hashes, and of each window of the second length the minimizer of ``short`` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             w = words(batch.column("text"), lower=False)
             h = windows(w.hashes, short)
-            spread = window - short + 1
+            spread = second - short + 1
             places, hashes, offsets = [], [], [0]
             for a, b in zip(w.first, w.first[1:], strict=False):
                 n = b - a - short + 1
@@ -163,7 +165,7 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     """
     lengths = levels(window)
     docs = documents(docs)
-    found = written(docs.mapInArrow(_first_level(window, lengths[0]), _FOUND), "windows")
+    found = written(docs.mapInArrow(_first_level(lengths[min(1, len(lengths) - 1)], lengths[0]), _FOUND), "windows")
     groups = found.where(F.col("n_words") >= window).groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = written(fewer(groups), "copies")
     member = found.select("doc_id", "s1", "s2", "n_words").join(groups, ["s1", "s2", "n_words"]).select("doc_id", "one")
