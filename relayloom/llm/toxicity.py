@@ -39,8 +39,9 @@ SIZE = 64
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Costs in nats of the channel: a disguise, a mark that is dropped, a repeated letter that is dropped, a dropped
 #: or separating character that could be a disguise.
-DISGUISE, DROP, REPEAT, LOST = 1.0, 0.5, 0.5, 5.0
+DISGUISE, DROP, REPEAT, LOST = 1.0, 0.5, 0.5, 8.0
 FEATURES = "doc_id long, toxic int, k1 long, k2 long, k3 long, features array<string>"
+_LONG = re.compile(r"(.)\1\1")
 _ODD = re.compile(r"[^\W\d_].*[\W\d_]+.*[^\W\d_]|(.)\1\1|[^\W\d_]{2}[0-9@$!|]|[0-9@$!|][^\W\d_]{2}")
 
 
@@ -87,7 +88,18 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 10 * p2) / (three.sum(axis=2, keepdims=True) + 10)).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray) -> str:
+class _Letters(dict):
+    """The class of a lower-case character, worked out once."""
+
+    def __missing__(self, ch: str) -> int:
+        self[ch] = found = int(classes(ch)[0])
+        return found
+
+
+_LETTERS = _Letters({" ": 0})
+
+
+def decode(token: str, model: list[list[list[float]]]) -> str:
     """The most likely plain text of a disguised token (lower case; spaces are separators)."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     token = token.lower()
@@ -104,16 +116,16 @@ def decode(token: str, model: np.ndarray) -> str:
                 if x == "" or (x == " " and b == 0):
                     state, total, out = (a, b), cost + extra, text
                 else:
-                    c = 0 if x == " " else int(classes(x)[0])
-                    state, total, out = (b, c), cost + extra - float(model[a, b, c]), text + x
+                    c = _LETTERS[x]
+                    state, total, out = (b, c), cost + extra - model[a][b][c], text + x
                 if state not in after or total < after[state][0]:
                     after[state] = (total, out)
-        best = dict(sorted(after.items(), key=lambda kv: (kv[1][0], kv[1][1]))[:24])
-    ends = [(cost - float(model[a, b, 0]) * (b != 0), text) for (a, b), (cost, text) in best.items()]
+        best = after if len(after) <= 12 else dict(sorted(after.items(), key=lambda kv: kv[1])[:12])
+    ends = [(cost - model[a][b][0] * (b != 0), text) for (a, b), (cost, text) in best.items()]
     return min(ends)[1].strip() if ends else ""
 
 
-def decode_all(token: str, model: np.ndarray, length: int = 48) -> list[str]:
+def decode_all(token: str, model: list[list[list[float]]], length: int = 48) -> list[str]:
     """Words of a decoded token; a long one is decoded in parts that overlap by half."""
     out = []
     for at in range(0, max(1, len(token)), length):
@@ -126,11 +138,13 @@ class Restorer:
     """Words of a text with disguises undone."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()
 
     def word(self, w: str) -> list[str]:
         """Restored words of one token; a token that may or may not be a disguise gives both readings."""
         core = w.lower().strip("\"'.,;:?()[]{}*%#&~_-<>/\\")
+        if core.isalpha() and not _LONG.search(core):
+            return [core]
         plain = core.rstrip("!$@|+0123456789")
         if core.isalpha():
             found = [core]
@@ -217,7 +231,11 @@ def _scored(model: Model, most_words: int = 500_000):
         restore, weight = Restorer(model.characters), model.weights.get
 
         def best(found: list[str]) -> float:
-            return max((weight(f, 0.0) for w in found for f in features(w)), default=0.0)
+            top = 0.0
+            for w in found:
+                for f in features(w):
+                    top = max(top, weight(f, 0.0))
+            return top
 
         class Known(dict):
             def __missing__(self, w: str) -> float:
