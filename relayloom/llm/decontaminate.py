@@ -29,6 +29,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a table of fingerprints or windows (under 1 KB each) up to which it is broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a table of document ids (one long each) up to which it is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -53,8 +55,8 @@ def _placed(m: int) -> Column:
     return F.transform(_runs(F.size("words"), m), lambda i: F.struct(i.alias("place"), F.lit(m).alias("length"), F.array_join(F.slice("words", i, m), " ").alias("gram")))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
+def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if small(df, rows) else df
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +79,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> tup
     first = offered.join(_maybe_broadcast(keys), "key", "left").groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("shared", F.lit(False))).alias("candidate"))
     first = written(first, "candidates")
 
-    candidates = docs.join(first.where("candidate").select("doc_id"), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("words"))
+    ids = _maybe_broadcast(first.where("candidate").select("doc_id"), BROADCAST_IDS)
+    candidates = docs.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("words"))
     each = [_placed(m) for m in lengths]
     if not each:
         each = [F.array().cast("array<struct<place: int, length: int, gram: string>>")]
@@ -102,4 +105,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: in
     """The documents without a hit, all columns as they were."""
     _, found = hits(docs, items, window, k)
     bad = written(found.select(F.col("doc_id").alias("bad_doc")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["bad_doc"], "left_anti")
+    return docs.join(_maybe_broadcast(bad, BROADCAST_IDS), docs["doc_id"] == bad["bad_doc"], "left_anti")
