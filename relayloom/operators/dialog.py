@@ -96,10 +96,10 @@ def hunt_replies(messages: DataFrame, intro: str, clues: list[dict], ttl: int =
     return messages.join(players, key, "left_semi").select(key, "id", "ts", "content").groupBy(key).applyInPandas(fold, schema)
 
 
-def hunt_funnel(replies: DataFrame, n_clues: int) -> DataFrame:
+def hunt_funnel(replies: DataFrame, intro: str, n_clues: int) -> DataFrame:
     """One row: starts, clues solved, completions."""
     solved = (F.col("next_state") > F.col("state")) & (F.col("state") > 0)
-    return replies.agg(F.count_if((F.col("next_state") == 1) & (F.col("state") != 1) | (F.col("next_state") == 1)).alias("started"), F.count_if(solved).alias("clues_solved"), F.count_if(solved & (F.col("state") == n_clues)).alias("completed"))
+    return replies.agg(F.count_if(F.col("reply") == intro).alias("started"), F.count_if(solved).alias("clues_solved"), F.count_if(solved & (F.col("state") == n_clues)).alias("completed"))
 
 
 def respond(prompts: DataFrame, make_responder: Callable[[], Callable[[list[list[dict]]], list[str]]], fallback: str) -> DataFrame:

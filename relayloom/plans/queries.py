@@ -275,12 +275,13 @@ def a12_history_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sender", F.size("history").cast("long").alias("n"), F.md5(F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("history"))
 
 
+_INTRO = "Find the clues."
 _CLUES = [{"id": i, "clue": f"Clue {i}", "answer_pattern": p, "success": f"Right, {i} solved.", "hint": f"Hint {i}"} for i, p in enumerate(("click|view", "purchase", "login|signup"), 1)]
 
 
 def _hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("id") % 11 == 0, "HUNT").when(F.col("id") % 7 == 0, "HINT").when(F.col("id") % 5 == 0, F.concat(F.lit("CLUE "), (F.col("id") % 4).cast("string"))).otherwise(F.col("event_type"))
-    return dialog.hunt_replies(events(spark, sf_dir).withColumn("content", said), "Find the clues.", _CLUES)
+    return dialog.hunt_replies(events(spark, sf_dir).withColumn("content", said), _INTRO, _CLUES)
 
 
 @query()
@@ -290,7 +291,7 @@ def w6_treasure_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a13_hunt_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialog.hunt_funnel(_hunt(spark, sf_dir), len(_CLUES))
+    return dialog.hunt_funnel(_hunt(spark, sf_dir), _INTRO, len(_CLUES))
 
 
 # Corpus

@@ -146,8 +146,8 @@ def test_hunt(spark):
     got = dialog.hunt_replies(m, "intro", CLUES).orderBy("id").collect()
     assert [(r.id, r.next_state) for r in got] == [(0, 0), (1, 0), (2, 1), (3, 1), (5, 2), (6, 2), (7, 3), (8, 4), (9, 4), (10, 1)]
     assert got[3].reply.startswith("You haven't unlocked Clue 3") and got[8].reply == "Clue not found."
-    f = dialog.hunt_funnel(dialog.hunt_replies(m, "intro", CLUES), 3).first()
-    assert (f.clues_solved, f.completed) == (3, 1)
+    f = dialog.hunt_funnel(dialog.hunt_replies(m, "intro", CLUES), "intro", 3).first()
+    assert (f.started, f.clues_solved, f.completed) == (2, 3, 1)
 
 
 TRUTH = [("test_01", "When is the keynote?", "schedule", ["keynote", "9:00", "main hall"], ["i don't know"], ["Day 1"], 15000.0)]
