@@ -170,7 +170,7 @@ class Restorer:
 
     def tokens(self, text: str) -> tuple[list[str], list[str]]:
         cut = text.split()
-        return cut, self.spaced(cut) if sum(map((1).__eq__, map(len, cut))) >= 4 else []
+        return cut, self.spaced(cut) if list(map(len, cut)).count(1) >= 4 else []
 
 
 def features(word: str) -> list[str]:
@@ -226,20 +226,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_feat
     return Model(characters, {r.feature: float(r.w) for r in top.collect()}, float(min(total.base, least_weight)))
 
 
-def _scored(model: Model, most_words: int = 500_000):
+def _scored(model: Model, most_words: int = 600_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, weight = Restorer(model.characters), model.weights.get
-
-        def best(found: list[str]) -> float:
-            top = 0.0
-            for w in found:
-                for f in features(w):
-                    top = max(top, weight(f, 0.0))
+        restore = Restorer(model.characters)
+        whole = {f[:-1]: w for f, w in model.weights.items() if f[0] != "^"}.get
+        start = {f[1:]: w for f, w in model.weights.items() if f[0] == "^"}.get
+
+        def weight(word: str) -> float:
+            top = whole(word, 0.0)
+            if len(word) > 3:
+                top = max(top, start(word[:4], 0.0))
+                if len(word) > 4:
+                    top = max(top, start(word[:5], 0.0))
             return top
 
         class Known(dict):
             def __missing__(self, w: str) -> float:
-                self[w] = found = best(restore.word(w))
+                self[w] = found = max(map(weight, restore.word(w)), default=0.0)
                 return found
 
         known = Known()
@@ -249,7 +252,7 @@ def _scored(model: Model, most_words: int = 500_000):
             score = []
             for text in batch.column("text").to_pylist():
                 plain, more = restore.tokens(text)
-                score.append(max(model.base, max(map(known.__getitem__, plain), default=0.0), best(more)))
+                score.append(max(model.base, max(map(known.__getitem__, plain), default=0.0), max(map(weight, more), default=0.0)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
