@@ -21,6 +21,7 @@ empty id and read back as null.  Further columns are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -97,13 +98,14 @@ def _record_name(page_id: Column, digest: Column) -> Column:
     return _cat(F.coalesce(page_id.cast("string"), F.lit("")), ":", digest)
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, **how: int) -> None:
-    """WARC files under ``path``, at most ``records_per_file`` records each."""
-    records(pages, **how).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, records_per_file: int = 1000, **how: int) -> None:
+    """Gzipped WARC files under ``path``, at most ``records_per_file`` records each."""
+    records(pages, **how).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file."""
+    """Records of a WARC file, gzipped or not."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
