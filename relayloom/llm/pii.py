@@ -26,12 +26,13 @@ from relayloom.llm.common import documents, small, written
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text needs to be worth a search for the kind.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+NEEDS = {"email": F.contains, "ip": F.rlike, "card": F.rlike, "phone": F.contains}
+NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"
 SPAN = "array<struct<start: int, end: int, kind: string, text: string>>"
@@ -84,9 +85,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base): base spans by start, then kind as listed."""
     df = documents(docs)
     for kind in KINDS:
-        need = NEEDS[kind]
-        wanted = F.col("text").rlike("[0-9]") if need is None else F.contains("text", F.lit(need))
-        df = _with_spans(df, kind, kind, F.lit(PATTERNS[kind]), wanted)
+        df = _with_spans(df, kind, kind, F.lit(PATTERNS[kind]), NEEDS[kind](F.col("text"), F.lit(NEEDED[kind])))
     both = F.concat(*KINDS)
     order = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("a"), F.array_position(order, s["kind"]).alias("b"), s["end"].alias("c"), s.alias("span"))))
@@ -98,12 +97,16 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["text"])).otherwise(F.lower(span["text"])))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, reach: int = 80, min_contexts: int = 3, generalise: float = 0.6) -> DataFrame:
-    """(entity, term, disclosure): terms whose share of an entity's information is at least ``generalise``."""
+def entities(spans: DataFrame, reach: int = 80) -> DataFrame:
+    """(doc_id, entity, context, terms): each base span's entity, a hash of the words near it, and these words."""
     df = spans.where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("span"))
     around = F.concat(F.expr(f"substring(text, greatest(1, span.start + 1 - {reach}), least(span.start, {reach}))"), F.lit(" \n "), F.expr(f"substring(text, span.end + 1, {reach})"))
     near = df.select("doc_id", entity(F.col("span")).alias("entity"), F.lower(around).alias("context"))
-    near = written(near.select("doc_id", "entity", F.xxhash64("context").alias("context"), F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0))).alias("terms")), "pii-near")
+    return near.select("doc_id", "entity", F.xxhash64("context").alias("context"), F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0))).alias("terms"))
+
+
+def disclosing_terms(docs: DataFrame, near: DataFrame, min_contexts: int = 3, generalise: float = 0.6) -> DataFrame:
+    """(entity, term, disclosure): terms whose share of an entity's information is at least ``generalise``."""
     pairs = near.select("doc_id", "entity", "context", F.explode("terms").alias("term"))
     seen = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("x")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
     seen = written(seen, "pii-terms")
@@ -112,7 +115,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, reach: int = 80, min_con
     n_entity = near.groupBy("entity", "doc_id").agg(F.count("*").alias("x")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = written(seen.select("term").distinct(), "pii-term-list")
     held = F.broadcast(terms) if small(terms, BROADCAST_ROWS) else terms
-    n_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(held, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).join(held, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_docs"))
     joined = together.join(n_entity, "entity").join(n_term, "term").withColumn("n_docs", F.lit(total.first().n_docs))
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
@@ -127,9 +130,10 @@ def sanitise(docs: DataFrame, reach: int = 80, min_contexts: int = 3, generalise
     overlap, the one that starts first (the longer of two) is replaced and the others lie in it.
     """
     spans = base_spans(docs)
-    told = written(disclosing_terms(documents(docs), spans, reach, min_contexts, generalise), "pii-disclosures")
+    near = written(entities(spans, reach), "pii-near")
+    told = written(disclosing_terms(documents(docs), near, min_contexts, generalise), "pii-disclosures")
     told = F.broadcast(told) if small(told, BROADCAST_ROWS) else told
-    owners = spans.where(F.size("base") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    owners = near.select("doc_id", "entity").distinct()
     terms = owners.join(told, "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("d")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
     terms = written(terms, "pii-document-terms")
     marked = spans.join(F.broadcast(terms) if small(terms, BROADCAST_ROWS) else terms, "doc_id", "left")
