@@ -21,11 +21,10 @@ all scores are the base rate of 0.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,41 +225,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_feat
     return Model(characters, {r.feature: float(r.w) for r in top.collect()}, float(min(total.base, least_weight)))
 
 
-def _scored(model: Model, most_words: int = 600_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model.characters)
-        whole = {f[:-1]: w for f, w in model.weights.items() if f[0] != "^"}.get
-        start = {f[1:]: w for f, w in model.weights.items() if f[0] == "^"}.get
-
-        def weight(word: str) -> float:
-            top = whole(word, 0.0)
-            if len(word) > 3:
-                top = max(top, start(word[:4], 0.0))
-                if len(word) > 4:
-                    top = max(top, start(word[:5], 0.0))
-            return top
-
-        class Known(dict):
-            def __missing__(self, w: str) -> float:
-                self[w] = found = max(map(weight, restore.word(w)), default=0.0)
-                return found
-
-        known = Known()
-        for batch in pieces(batches, "text", 1 << 20):
-            if len(known) > most_words:
-                known.clear()
-            score = []
-            for text in batch.column("text").to_pylist():
-                plain, more = restore.tokens(text)
-                score.append(max(model.base, max(map(known.__getitem__, plain), default=0.0), max(map(weight, more), default=0.0)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+def _scorer(model: Model, most_words: int = 500_000) -> Callable[[list[str]], list[float]]:
+    """Scores of texts; made once a task, it remembers words."""
+    restore = Restorer(model.characters)
+    whole = {f[:-1]: w for f, w in model.weights.items() if f[0] != "^"}.get
+    start = {f[1:]: w for f, w in model.weights.items() if f[0] == "^"}.get
+
+    def weight(word: str) -> float:
+        top = whole(word, 0.0)
+        if len(word) > 3:
+            top = max(top, start(word[:4], 0.0))
+            if len(word) > 4:
+                top = max(top, start(word[:5], 0.0))
+        return top
+
+    class Known(dict):
+        def __missing__(self, w: str) -> float:
+            self[w] = found = max(map(weight, restore.word(w)), default=0.0)
+            return found
+
+    known = Known()
+
+    def rate(texts: list[str]) -> list[float]:
+        if len(known) > most_words:
+            known.clear()
+        out = []
+        for text in texts:
+            plain, more = restore.tokens(text)
+            out.append(max(model.base, max(map(known.__getitem__, plain), default=0.0), max(map(weight, more), default=0.0)))
+        return out
 
-    return run
+    return rate
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of all documents, computed where the texts are read."""
-    return documents(docs).mapInArrow(_scored(model), "doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = _scorer(model)
+        for batch in pieces(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rate(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -268,30 +274,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _rater(model: Model):
-    scored = _scored(model)
-
-    def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def batches() -> Iterator[pa.RecordBatch]:
-            for text in texts:
-                if not len(text):
-                    continue
-                sizes.append(len(text))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text.tolist(), pa.string())], ["doc_id", "text"])
-
-        sizes: list[int] = []
-        held: list[float] = []
-        for done in scored(batches()):
-            held += done.column("score").to_pylist()
-            if sizes and len(held) == sizes[0]:
-                yield pd.Series(held, dtype="float64")
-                sizes.pop(0)
-                held = []
-
-    return rate
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under ``threshold``, all columns as they were."""
-    rate = F.pandas_udf(_rater(fit(docs, labels)), "double")
-    return docs.where(rate(F.coalesce("text", F.lit(""))) < threshold)
+    model = fit(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = _scorer(model)
+        for batch in pieces(batches, "text", 1 << 20):
+            yield batch.filter(pa.array([x < threshold for x in rate([t or "" for t in batch.column("text").to_pylist()])], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
