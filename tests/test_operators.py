@@ -228,3 +228,20 @@ def test_decode_and_encode(spark):
     m = messages.decode(spark.createDataFrame(rows[:1], "partition int, offset long, value string"))
     again = messages.encode(m).selectExpr("0 as partition", "5 as offset", "value")
     assert messages.decode(again).drop("raw").first() == m.drop("raw").first()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vector_search_beyond_a_block_of_queries(spark, monkeypatch, metric):
+    r = random.Random(3)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(700)]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<float>").repartition(3)
+    q = v.withColumnRenamed("doc_id", "query_id")
+    want = {(x.query_id, x.doc_id, round(x.distance, 6), x["rank"]) for x in search.vector_search(q, v, 3, metric).collect()}
+    for name, value in {"QUERY_BLOCK": 50, "PIECE": 16, "HELD": 2}.items():
+        monkeypatch.setattr(search, name, value, raising=False)
+    got = {(x.query_id, x.doc_id, round(x.distance, 6), x["rank"]) for x in search.vector_search(q, v, 3, metric).collect()}
+    assert got == want and len(got) == 2100
+    if metric == "l2":
+        for i, a in rows[:40]:
+            near = sorted((sum((x - y) ** 2 for x, y in zip(a, b, strict=True)), j) for j, b in rows)[:3]
+            assert {(j, d) for _, j, d, _ in (g for g in got if g[0] == i)} == {(j, d) for d, j in near}
