@@ -2,16 +2,17 @@
 
 1. A character language model: trigram counts over the texts of all documents, added up by a
    shuffle.  Its table has one cell for each of 64 ** 3 character triples, whatever the input.
-2. Words that look disguised (a digit or mark among letters, a letter three times in a row, letters
-   spaced out) become a lattice: each character may be itself, a letter that it imitates, a
+2. All words but plain ones (letters only, none twice in a row), and runs of four or more single
+   characters, become a lattice: each character may be itself, a letter that it imitates, a
    separator, or nothing (a mark, a space or a repeated letter).  Viterbi decoding finds the best
-   path under channel costs plus the language model.
+   path under channel costs plus the language model; no state is left out.
 3. Features of the restored words (the word, and its first four and five letters) are weighed on
    labelled documents: the smoothed share of toxic ones among the documents that hold the feature.
    A document's score is the largest weight of its words, or the base rate without one.
 
 The weights come from at most ``sample_rows`` labelled documents, those with the least hashed ids
-of the training part; near copies among them count once.  The training part leaves out every
+of the training part; near copies among them (confirmed links at 85 percent of word shingles, as
+in ``near``) with equal labels count once.  The training part leaves out every
 ``doc_id`` whose crc32 as text is a multiple of 5.  Labels, language, source and id never enter a
 score.  Null and empty texts get the base rate.  Rows with equal ``doc_id`` are scored each by its
 own text; a label that is null or repeated with another value is not used.  Without training labels
@@ -29,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relayloom.llm import near
 from relayloom.llm.common import documents, pieces, written
-from relayloom.llm.sketch import shingles
-from relayloom.llm.wordhash import mix, words
 
 SIZE = 64
 #: What a character may stand for when it disguises a letter.
@@ -39,9 +39,10 @@ IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 #: Costs in nats of the channel: a disguise, a mark that is dropped, a repeated letter that is dropped, a dropped
 #: or separating character that could be a disguise.
 DISGUISE, DROP, REPEAT, LOST = 1.0, 0.5, 0.5, 8.0
-FEATURES = "doc_id long, toxic int, k1 long, k2 long, k3 long, features array<string>"
-_LONG = re.compile(r"(.)\1\1")
-_ODD = re.compile(r"[^\W\d_].*[\W\d_]+.*[^\W\d_]|(.)\1\1|[^\W\d_]{2}[0-9@$!|]|[0-9@$!|][^\W\d_]{2}")
+FEATURES = "doc_id long, toxic int, features array<string>"
+_TWICE = re.compile(r"(.)\1")
+#: Marks around a word that stand for no letter.
+MARKS = "\"'.,;:?)[]{}*%#&~_-<>/\\"
 
 
 def _classes() -> np.ndarray:
@@ -98,38 +99,52 @@ class _Letters(dict):
 _LETTERS = _Letters({" ": 0})
 
 
-def decode(token: str, model: list[list[list[float]]]) -> str:
-    """The most likely plain text of a disguised token (lower case; spaces are separators)."""
+def decode(token: str, model: list[list[list[float]]], run: int = 2) -> str:
+    """The most likely plain text of a disguised token (lower case; spaces are separators).
+
+    Characters may be dropped as repeats in runs of at least ``run``.
+    """
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     token = token.lower()
-    long_run = {i for m in re.finditer(r"(.)\1\1+", token) for i in range(m.start() + 1, m.end())}
+    long_run = {i for m in re.finditer(r"(.)\1+", token) if m.end() - m.start() >= run for i in range(m.start() + 1, m.end())}
     for place, ch in enumerate(token):
         options: list[tuple[str, float]] = [(x, DISGUISE) for x in IMITATES.get(ch, "")]
         if ch.isalpha():
             options.append((ch, 0.0))
         else:
             options += [("", LOST), (" ", LOST)] if ch in IMITATES else [("", DROP), (" ", 0.0)]
+        if place in long_run:
+            options.append(("", REPEAT))
+        dropped = min((e for x, e in options if x == ""), default=None)
+        letters = [(x, _LETTERS[x], e) for x, e in options if x not in ("", " ")]
+        apart = min((e for x, e in options if x == " "), default=None)
         after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
-            for x, extra in [*options, ("", REPEAT)] if place in long_run else options:
-                if x == "" or (x == " " and b == 0):
-                    state, total, out = (a, b), cost + extra, text
-                else:
-                    c = _LETTERS[x]
-                    state, total, out = (b, c), cost + extra - model[a][b][c], text + x
-                if state not in after or total < after[state][0]:
-                    after[state] = (total, out)
-        best = after if len(after) <= 12 else dict(sorted(after.items(), key=lambda kv: kv[1])[:12])
+        for state, (cost, text) in best.items():
+            b = state[1]
+            row = model[state[0]][b]
+            stay = dropped if b or apart is None else apart if dropped is None else min(dropped, apart)
+            if stay is not None and (state not in after or cost + stay < after[state][0]):
+                after[state] = (cost + stay, text)
+            for x, c, extra in letters if not b or apart is None else [*letters, (" ", 0, apart)]:
+                to, total = (b, c), cost + extra - row[c]
+                if to not in after or total < after[to][0]:
+                    after[to] = (total, text + x)
+        best = after
     ends = [(cost - model[a][b][0] * (b != 0), text) for (a, b), (cost, text) in best.items()]
     return min(ends)[1].strip() if ends else ""
 
 
 def decode_all(token: str, model: list[list[list[float]]], length: int = 48) -> list[str]:
-    """Words of a decoded token; a long one is decoded in parts that overlap by half."""
+    """Words of a decoded token; a long one is decoded in parts that overlap by half.
+
+    Double letters give two readings: one that may drop a repeat, and one that may do so in longer runs only.
+    """
     out = []
     for at in range(0, max(1, len(token)), length):
-        found = decode(token[max(0, at - length // 2) : at + length], model).split()
-        out += found if len(found) < 2 else [*found, "".join(found)]  # also read without separators
+        part = token[max(0, at - length // 2) : at + length]
+        for run in (3, 2) if _TWICE.search(part) else (3,):
+            found = decode(part, model, run).split()
+            out += found if len(found) < 2 else [*found, "".join(found)]  # also read without separators
     return out
 
 
@@ -140,17 +155,16 @@ class Restorer:
         self.model = model.tolist()
 
     def word(self, w: str) -> list[str]:
-        """Restored words of one token; a token that may or may not be a disguise gives both readings."""
-        core = w.lower().strip("\"'.,;:?()[]{}*%#&~_-<>/\\")
-        if core.isalpha() and not _LONG.search(core):
-            return [core]
-        plain = core.rstrip("!$@|+0123456789")
+        """Restored words of one token; all but letters without a repeat may be a disguise and give all readings."""
+        core = w.lower().strip(MARKS)
+        if not core or (core.isalpha() and not _TWICE.search(core)):
+            return [core] if core else []
+        plain = core.rstrip("!$@|+(0123456789")
         if core.isalpha():
             found = [core]
         else:
             found = [x for x in re.split(r"[\W\d_]+", core) if x]
-        if _ODD.search(core):
-            found = found + [x for x in decode_all(core, self.model) if x not in found]
+        found = list(dict.fromkeys(found + decode_all(core, self.model)))
         if plain and plain != core and plain.isalpha():
             found.append(plain)
         return found
@@ -187,18 +201,21 @@ class Model(NamedTuple):
     base: float
 
 
-def _described(model: np.ndarray):
+def _described(model: np.ndarray, most_words: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model)
+        restore, known = Restorer(model), {}
         for batch in pieces(batches, "text", 1 << 20):
-            sets = shingles(words(batch.column("text")))
-            keys = [[int((mix(s + np.uint64(salt)).min() if len(s) else np.uint64(salt)).view(np.int64)) for s in sets] for salt in (1, 2, 3)]
+            if len(known) > most_words:
+                known.clear()
             found = []
             for text in batch.column("text").to_pylist():
                 plain, more = restore.tokens(text)
-                restored = {r for w in set(plain) for r in restore.word(w)} | set(more)
+                for w in plain:
+                    if w not in known:
+                        known[w] = restore.word(w)
+                restored = {r for w in set(plain) for r in known[w]} | set(more)
                 found.append(sorted({f for w in restored for f in features(w)}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "k1", "k2", "k3", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
 
     return run
 
@@ -213,11 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_feat
     characters = character_model(docs)
     clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other and toxic in (0, 1) and doc_id is not null")
     chosen = clean.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    train = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_described(characters), FEATURES), "toxic-train")  # sample_rows labels
-    for key in ("k1", "k2", "k3"):
-        first = train.groupBy(key).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        train = train.join(first, "doc_id", "left_semi")
-    train = written(train, "toxic-train")
+    sample = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")  # sample_rows labels
+    group = near.near_groups(sample, k=5, percent=85).select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))  # empty texts are one group
+    first = sample.select("doc_id", "toxic").join(group, "doc_id").groupBy("group", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    train = written(sample.join(first, "doc_id", "left_semi").mapInArrow(_described(characters), FEATURES), "toxic-train")
     total = train.agg(F.count("*").alias("n"), F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("base")).first()
     counted = train.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
     weight = (F.col("pos") + F.lit(prior_docs * total.base)) / (F.col("n") + F.lit(prior_docs))

@@ -151,6 +151,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d, lab.where("false")).where("predicted = 1").count() == 0
 
 
+def test_disguises_are_decoded():
+    count = np.zeros(toxicity.SIZE**3)
+    c = toxicity.classes("\n".join(["", *["idiot", "stupid", "shit", "clown", "crass", "good day"] * 50, ""]))
+    np.add.at(count, c[:-2] * toxicity.SIZE**2 + c[1:-1] * toxicity.SIZE + c[2:], 1)
+    three = count.reshape(toxicity.SIZE, toxicity.SIZE, toxicity.SIZE)
+    restore = toxicity.Restorer(np.log((three + 0.01) / (three.sum(axis=2, keepdims=True) + 0.64)))
+    for disguised, word in [("1d107", "idiot"), ("5h17", "shit"), ("sh!+", "shit"), ("h!+", "hit"), ("cra$$", "crass"), ("iidiott", "idiot"), ("stuupid", "stupid"), ("(lown", "clown"), ("(lown)", "clown"), ("good", "good")]:
+        assert word in restore.word(disguised), disguised
+
+
+def test_toxicity_counts_alike_training_rows(spark):
+    """Documents that share half of their shingles, or all with another label, are no near copies."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    say = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20))
+    shared = " ".join(f"shared{chr(97 + j)}" for j in range(24))
+    rows = [(i, f"{shared} zonker {say(i)}") for i in ids[:8]] + [(i, say(i)) for i in ids[8:60]] + [(i, f"{shared} zonker {say(ids[0])}") for i in ids[60:62]]
+    labels = [(i, int(n < 8)) for n, (i, _) in enumerate(rows)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    base = 8 / 61  # the last two are copies of each other, and of the first with another label
+    assert model.weights["zonker$"] == pytest.approx((8 + 5 * base) / (9 + 5))
+
+
 @pytest.mark.parametrize("run", [lines.dedup_lines, repeats.remove_repeats, near.near_groups, lambda d: pii.sanitise(d)])
 def test_empty_table(docs, run):
     assert run(docs.where("false")).count() == 0
