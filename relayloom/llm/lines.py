@@ -8,6 +8,8 @@ lines of a batch are then merge-anti-joined with the runs: what is left stays.
 
 Keys are 128-bit hashes.  Null and empty texts have one empty line.  Rows with equal ``doc_id``
 are documents of their own for the count; if theirs is the largest id, all of them keep the line.
+So are rows without an id, told apart by their texts; any id is larger than none, and a line that
+only such rows hold stays.
 Input columns stay, but for those that the result names itself.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from relayloom.llm.common import documents, drop_written, fewer, pieces, scratch, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
-LINES = "batch int, doc_id long, h1 long, h2 long, places array<int>"
+LINES = "batch int, doc_id long, nameless string, h1 long, h2 long, places array<int>"
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
 RESULT = "struct<kept_text: string, n_lines: long, n_dropped: long>"
 
@@ -47,7 +49,7 @@ def line_keys(text: bytes, min_chars: int) -> dict[bytes, list[int]]:
 
 
 def _lines(min_chars: int, n_batches: int):
-    schema = pa.schema([("batch", pa.int32()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("batch", pa.int32()), ("doc_id", pa.int64()), ("nameless", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -56,8 +58,9 @@ def _lines(min_chars: int, n_batches: int):
         for batch in pieces(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                nameless = hashlib.md5(text).hexdigest() if doc is None else None
                 for h, places in line_keys(text, min_chars).items():
-                    rows.append((number, doc, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), places))
+                    rows.append((number, doc, nameless, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), places))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -132,11 +135,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     for b in range(n_batches):
         runs.add(lines.where(F.col("batch") == b).select("doc_id", "h1", "h2"))
     frequent = written(fewer(runs.frequent(min_docs)), "frequent-lines").toDF("f1", "f2", "n_docs", "last_doc")
-    same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("doc_id") < F.col("last_doc"))
-    stay = lines.join(frequent.hint("merge"), same, "left_anti").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("kept"))
+    same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & ((F.col("doc_id") < F.col("last_doc")) | (F.col("doc_id").isNull() & F.col("last_doc").isNotNull()))
+    stay = lines.join(frequent.hint("merge"), same, "left_anti").groupBy(F.col("doc_id").alias("id"), F.col("nameless").alias("of")).agg(F.flatten(F.collect_list("places")).alias("kept"))
     own = {"kept_text", "n_lines", "n_dropped"}
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    done = whole.join(stay, "doc_id", "left").withColumn("new", _rewriter(min_chars)(F.coalesce(F.col("row.text"), F.lit("")), "kept"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    whole = whole.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.md5(text.cast("binary"))))
+    done = whole.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("nameless").eqNullSafe(F.col("of")), "left").withColumn("new", _rewriter(min_chars)(text, "kept"))
     return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], "new.kept_text", "new.n_lines", "new.n_dropped")
 
 

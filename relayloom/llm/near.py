@@ -207,6 +207,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6) -> DataFrame:
-    """The documents that are the least ``doc_id`` of their group, all columns as they were."""
-    kept = near_groups(docs, k, percent, bands, rows).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that are the least ``doc_id`` of their group, all columns as they were.
+
+    A document without an id is in no group and stays.
+    """
+    named = docs.where("doc_id is not null")
+    kept = near_groups(named, k, percent, bands, rows).where("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

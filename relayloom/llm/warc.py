@@ -15,7 +15,7 @@ ordered by number; a gap, a wrong total length or a wrong digest is an error.  T
 decoded.
 
 Null html is an empty payload.  Rows with equal ``page_id`` are archived each (the record id has
-a hash of the payload; a row repeated entirely is archived once).  Null ids are archived with an
+a hash of the payload, and a number from the second row with both equal on).  Null ids are archived with an
 empty id and read back as null.  Further columns are not read.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relayloom.llm.common import scratch, written
@@ -62,7 +62,8 @@ def records(pages: DataFrame, revisit_from: int = 1000, chunk_from: int = 4096,
     equal = written(equal, "equal-payloads").withColumn("large", F.lit(True))
     rows = rows.withColumn("large", F.octet_length("payload") >= revisit_from)
     rows = rows.join(equal, ["digest", "large"], "left").withColumn("refers", F.when(F.col("to") > F.col("page_id"), F.col("to")))
-    rows = rows.withColumn("name", _record_name(F.col("page_id"), F.col("digest")))
+    rows = _numbered(rows)
+    rows = rows.withColumn("name", _cat(_record_name(F.col("page_id"), F.col("digest")), F.when(F.col("copy") > 1, _cat(".", F.col("copy").cast("string"))).otherwise(F.lit(""))))
     revisit = F.col("refers").isNotNull()
     framed = F.octet_length("payload") >= chunk_from
     head = _cat("HTTP/1.1 200 OK", EOL, "Content-Type: text/html; charset=utf-8", EOL, F.when(framed & ~revisit, F.lit("Transfer-Encoding: chunked")).otherwise(_cat("Content-Length: ", F.octet_length("payload").cast("string"))), EOL, EOL)
@@ -94,6 +95,17 @@ def records(pages: DataFrame, revisit_from: int = 1000, chunk_from: int = 4096,
     return rows.select(F.concat(F.to_binary(header, F.lit("utf-8")), part).cast("string").alias("record"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with copy: 1, or from 1 on among rows with equal page_id and digest; only those are shuffled."""
+    again = rows.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("p"), F.col("digest").alias("d"))
+    again = written(again, "repeated-pages")
+    if not again.limit(1).count():
+        return rows.withColumn("copy", F.lit(1))
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    return rows.join(again, same, "left_anti").withColumn("copy", F.lit(1)).unionByName(rows.join(again, same, "left_semi").withColumn("copy", number))
+
+
 def _record_name(page_id: Column, digest: Column) -> Column:
     return _cat(F.coalesce(page_id.cast("string"), F.lit("")), ":", digest)
 

@@ -185,6 +185,27 @@ def test_repeated_rows_do_not_crash(docs):
     assert near.near_groups(twice).count() == n
 
 
+def test_line_dedup_of_rows_without_an_id(spark):
+    line, own = "This line is in very many documents of the table", "A line of the nameless one alone, long enough to count"
+    rows = [(i, line) for i in range(5)] + [(None, f"{line}\n{own}\nshort"), (None, f"{own} too\n{line}")]
+    got = [(r.doc_id, r.kept_text, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x[1:] for x in got if x[0] is None) == [(f"{own}\nshort", 1), (f"{own} too", 1)]
+    assert sorted(x for x in got if x[0] is not None) == [(0, "", 1), (1, "", 1), (2, "", 1), (3, "", 1), (4, line, 0)]
+
+
+def test_near_stage_keeps_rows_without_an_id(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z"), (None, None)]
+    kept = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "x y z"), (1, "a b c d e f")]
+
+
+def test_warc_of_repeated_rows(spark):
+    big = "<p>é</p>" * 20_000
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", big), (2, "v", big), (1, "u", big), (None, "u", "b"), (None, "u", "b"), (3, "u", "c")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got.collect()) == sorted((i or 0, len(t.encode()), "revisit" if i == 1 and t == big else "response", 2 if i == 1 and t == big else None) for i, _, t in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \t\naBéñ ", max_size=30), min_size=1, max_size=8))
 def test_words_and_windows(texts):
