@@ -8,8 +8,12 @@ from array import array
 from collections.abc import Callable
 from pathlib import Path
 
-#: Remembered words of a Python worker; the tables are emptied when they are full.
-MOST_PIECES = 800_000
+import regex
+
+#: Remembered words, and pre-tokens, of a Python worker: so many new ones, and as many from before.
+MOST_PIECES = 400_000
+#: Byte-level BPE's pre-tokens, for the regex module.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: ASCII marks that are no letter, digit or white space: after letters they are one pre-token.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -22,16 +26,22 @@ def _printable() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class _Words(dict):
-    """Works out a word on its first use."""
+class _Memo(dict):
+    """Works out a value on its first use.  A full table becomes the old one, whose values come back when they are used again."""
 
     def __init__(self, find: Callable[[str], bytes | bool]):
-        self.find = find
+        self.find, self.old = find, {}
 
     def __missing__(self, w: str) -> bytes | bool:
-        self[w] = found = self.find(w)
+        found = self.old.get(w)
+        self[w] = found = self.find(w) if found is None else found
         return found
 
+    def trim(self) -> None:
+        if len(self) > MOST_PIECES:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Encodes texts to unsigned 32-bit ids of the machine's (little-endian) order, remembering words.
@@ -39,7 +49,7 @@ class Encoder:
     Byte-level BPE never merges across a pre-token, and a single space before a character
     that is no white space always starts one.  So a text cut there encodes piece by piece to
     the same ids.  A word of letters, with or without marks after them, is one or two pre-tokens
-    that go straight to the library's BPE model; other words go to the whole tokenizer.  A text
+    that go straight to the library's BPE model; other words are split into pre-tokens first.  A text
     in which some space is followed by white space or by the end goes to it uncut, and so do all
     texts where the vocabulary file has another pre-tokenizer.
     """
@@ -53,8 +63,8 @@ class Encoder:
         kind = json.loads(Path(path).read_text())
         before = kind["pre_tokenizer"] or {}
         self.cuts = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.known = _Words(self.word)
-        self.parts: dict[str, bytes] = {}  # pre-tokens
+        self.known, self.parts = _Memo(self.word), _Memo(self.part)
+        self.pretokens = regex.compile(PRETOKENS).findall
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.printable = _printable()
 
@@ -62,11 +72,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def part(self, pretoken: str) -> bytes:
-        found = self.parts.get(pretoken)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.printable))]).tobytes()
-            self.parts[pretoken] = found
-        return found
+        return array("I", [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.printable))]).tobytes()
 
     def word(self, w: str) -> bytes | bool:
         """Ids of a word after a space; False for what must not be cut off there."""
@@ -74,16 +80,17 @@ class Encoder:
             return False
         letters = w.rstrip(MARKS)
         if not letters.isalpha():
-            return self.whole([" " + w])[0]
-        return self.part(" " + letters) + (self.part(w[len(letters) :]) if len(letters) < len(w) else b"")
+            return b"".join(map(self.parts.__getitem__, self.pretokens(" " + w)))
+        if len(letters) == len(w):
+            return self.part(" " + w)
+        return self.known[letters] + self.parts[w[len(letters) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if not self.cuts:
             return self.whole(texts)
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-            self.parts.clear()
+        self.known.trim()
+        self.parts.trim()
         cut = [text.split(" ") for text in texts]
         heads = self.whole([words[0] for words in cut])
         get = self.known.__getitem__
