@@ -1,26 +1,32 @@
 """Toxicity scores behind a noisy-channel decoder for disguised words.
 
 1. A character language model: trigram counts over the texts of all documents, added up by a
-   shuffle.  Its table has one cell for each of 64 ** 3 character triples, whatever the input.
+   shuffle.  Its table has one cell for each of 64 ** 3 character triples, whatever the input; letters
+   beyond Latin-1 share a class, so the model tells them from other letters but not from each other.
 2. All words but plain ones (letters only, none twice in a row), and runs of four or more single
    characters, become a lattice: each character may be itself, a letter that it imitates, a
    separator, or nothing (a mark, a space or a repeated letter).  Viterbi decoding finds the best
-   path under channel costs plus the language model; no state is left out.
-3. Features of the restored words (the word, and its first four and five letters) are weighed on
-   labelled documents: the smoothed share of toxic ones among the documents that hold the feature.
-   A document's score is the largest weight of its words, or the base rate without one.
-
-The weights come from at most ``sample_rows`` labelled documents, those with the least hashed ids
-of the training part; near copies among them (confirmed links at 85 percent of word shingles, as
-in ``near``) with equal labels count once.  The training part leaves out every
-``doc_id`` whose crc32 as text is a multiple of 5.  Labels, language, source and id never enter a
-score.  Null and empty texts get the base rate.  Rows with equal ``doc_id`` are scored each by its
-own text; a label that is null or repeated with another value is not used.  Without training labels
-all scores are the base rate of 0.
+   path under channel costs plus the language model; no state is left out.  Two or three neighbouring words that
+   together spell a weighed word are decoded as one lattice, too.
+3. Features of the restored words (the word, and its first four and five letters) get log odds from
+   labelled documents: how much likelier a document with the feature is toxic than any document.  Features
+   held by fewer than ``least_docs`` toxic documents, or without positive log odds, weigh nothing.
+4. A document's evidence is its three largest weights (of words that begin differently) and its length.
+   A logistic regression on it gives the score; it is fitted on evidence from weights of the other half
+   of the training documents, so no document testifies for itself.
+
+The classifier is fitted on at most ``sample_rows`` labelled documents, those with the least hashed ids
+of the training part, and keeps at most ``most_features`` weights; near copies among the documents
+(confirmed links at 85 percent of word shingles, as in ``near``) with equal labels count once.  The
+training part leaves out every ``doc_id`` whose crc32 as text is a multiple of 5.  Labels, language,
+source and id never enter a score.  Null and empty texts get the score of no evidence.  Rows with equal
+or null ``doc_id`` are scored each by its own text; a label that is null or repeated with another value
+is not used.  Without training labels all scores are 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -39,8 +45,8 @@ IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 #: Costs in nats of the channel: a disguise, a mark that is dropped, a repeated letter that is dropped, a dropped
 #: or separating character that could be a disguise.
 DISGUISE, DROP, REPEAT, LOST = 1.0, 0.5, 0.5, 8.0
-FEATURES = "doc_id long, toxic int, features array<string>"
-_TWICE = re.compile(r"(.)\1")
+FEATURES = "doc_id long, toxic int, n_words long, features array<string>"
+_TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 #: Marks around a word that stand for no letter.
 MARKS = "\"'.,;:?)[]{}*%#&~_-<>/\\"
 
@@ -99,26 +105,44 @@ class _Letters(dict):
 _LETTERS = _Letters({" ": 0})
 
 
+def _options(ch: str, repeats: bool) -> tuple[list[tuple[str, int, float]], float | None, float | None]:
+    """What a character may be: letters (with class and cost), and the costs of dropping it and of a separator."""
+    letters = [(x, _LETTERS[x], DISGUISE) for x in IMITATES.get(ch, "")]
+    drop = apart = None
+    if ch.isalpha():
+        letters.append((ch, _LETTERS[ch], 0.0))
+    else:
+        drop, apart = (LOST, LOST) if ch in IMITATES else (DROP, 0.0)
+    if repeats:
+        drop = REPEAT if drop is None else min(drop, REPEAT)
+    return letters, drop, apart
+
+
+class _Options(dict):
+    def __missing__(self, key: tuple[str, bool]):
+        self[key] = found = _options(*key)
+        return found
+
+
+_OPTIONS = _Options()
+_RUNS = re.compile(r"(.)\1+")
+
+
 def decode(token: str, model: list[list[list[float]]], run: int = 2) -> str:
     """The most likely plain text of a disguised token (lower case; spaces are separators).
 
     Characters may be dropped as repeats in runs of at least ``run``.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     token = token.lower()
-    long_run = {i for m in re.finditer(r"(.)\1+", token) if m.end() - m.start() >= run for i in range(m.start() + 1, m.end())}
+    long_run = {i for m in _RUNS.finditer(token) if m.end() - m.start() >= run for i in range(m.start() + 1, m.end())}
+    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for place, ch in enumerate(token):
-        options: list[tuple[str, float]] = [(x, DISGUISE) for x in IMITATES.get(ch, "")]
-        if ch.isalpha():
-            options.append((ch, 0.0))
-        else:
-            options += [("", LOST), (" ", LOST)] if ch in IMITATES else [("", DROP), (" ", 0.0)]
-        if place in long_run:
-            options.append(("", REPEAT))
-        dropped = min((e for x, e in options if x == ""), default=None)
-        letters = [(x, _LETTERS[x], e) for x, e in options if x not in ("", " ")]
-        apart = min((e for x, e in options if x == " "), default=None)
+        letters, dropped, apart = _OPTIONS[ch, place in long_run]
         after: dict[tuple[int, int], tuple[float, str]] = {}
+        if len(best) == 1 and dropped is None and len(letters) == 1:  # one path: a plain letter
+            ((a, b), (cost, text)), (x, c, extra) = *best.items(), letters[0]
+            best = {(b, c): (cost + extra - model[a][b][c], text + x)}
+            continue
         for state, (cost, text) in best.items():
             b = state[1]
             row = model[state[0]][b]
@@ -142,7 +166,8 @@ def decode_all(token: str, model: list[list[list[float]]], length: int = 48) ->
     out = []
     for at in range(0, max(1, len(token)), length):
         part = token[max(0, at - length // 2) : at + length]
-        for run in (3, 2) if _TWICE.search(part) else (3,):
+        runs = [3] if _THRICE.search(part) or not part.isalpha() else []  # else that reading is the part itself
+        for run in [*runs, 2] if _TWICE.search(part) else runs or [3]:
             found = decode(part, model, run).split()
             out += found if len(found) < 2 else [*found, "".join(found)]  # also read without separators
     return out
@@ -198,7 +223,8 @@ def features(word: str) -> list[str]:
 class Model(NamedTuple):
     characters: np.ndarray
     weights: dict[str, float]
-    base: float
+    #: Coefficients of the three largest weights, of the length and of one; none without training labels.
+    fit: tuple[float, ...] | None
 
 
 def _described(model: np.ndarray, most_words: int = 200_000):
@@ -207,7 +233,7 @@ def _described(model: np.ndarray, most_words: int = 200_000):
         for batch in pieces(batches, "text", 1 << 20):
             if len(known) > most_words:
                 known.clear()
-            found = []
+            found, lengths = [], []
             for text in batch.column("text").to_pylist():
                 plain, more = restore.tokens(text)
                 for w in plain:
@@ -215,17 +241,51 @@ def _described(model: np.ndarray, most_words: int = 200_000):
                         known[w] = restore.word(w)
                 restored = {r for w in set(plain) for r in known[w]} | set(more)
                 found.append(sorted({f for w in restored for f in features(w)}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
+                lengths.append(len(plain))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(lengths, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "n_words", "features"])
 
     return run
 
 
+def evidence(held: dict[str, float], n_words: int) -> tuple[float, ...]:
+    """The three largest weights of word beginnings, the length, and one."""
+    top = sorted(held.values(), reverse=True)[:3]
+    return (*top, *[0.0] * (3 - len(top)), math.log1p(n_words), 1.0)
+
+
+#: Ridge penalties of the three weights, the length and one: a single word may suffice, so the second and third count for less.
+PENALTIES = (0.1, 10.0, 10.0, 1.0, 1e-6)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Coefficients of a logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_features: int = 50_000, prior_docs: float = 5.0, least_weight: float = 0.2, least_docs: int = 4) -> Model:
-    """The character model of all documents, and the weights of a bounded sample of labelled ones."""
+def _weights(train: DataFrame, most_features: int, prior_docs: float, least_docs: int) -> dict[str, float]:
+    """Positive log odds of features, smoothed by ``prior_docs`` documents of the base rate."""
+    total = train.agg(F.count("*").alias("n"), F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("base")).first()
+    if not 0 < total.base < 1:
+        return {}
+    counted = train.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("pos") >= least_docs)
+    odds = F.log((F.col("pos") + prior_docs * total.base) / (F.col("n") - F.col("pos") + prior_docs * (1 - total.base))) - math.log(total.base / (1 - total.base))
+    top = counted.select("feature", odds.alias("w")).where("w > 0").orderBy(F.desc("w"), "feature").limit(most_features)
+    return {r.feature: float(r.w) for r in top.collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_features: int = 50_000, prior_docs: float = 5.0, least_docs: int = 4) -> Model:
+    """The character model of all documents, and a classifier fitted on a bounded sample of labelled ones."""
     docs = documents(docs)
     characters = character_model(docs)
     clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other and toxic in (0, 1) and doc_id is not null")
@@ -233,43 +293,73 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_feat
     sample = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")  # sample_rows labels
     group = near.near_groups(sample, k=5, percent=85).select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))  # empty texts are one group
     first = sample.select("doc_id", "toxic").join(group, "doc_id").groupBy("group", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    train = written(sample.join(first, "doc_id", "left_semi").mapInArrow(_described(characters), FEATURES), "toxic-train")
-    total = train.agg(F.count("*").alias("n"), F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("base")).first()
-    counted = train.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
-    weight = (F.col("pos") + F.lit(prior_docs * total.base)) / (F.col("n") + F.lit(prior_docs))
-    top = counted.where(F.col("pos") >= least_docs).select("feature", weight.alias("w")).where(F.col("w") > max(least_weight, total.base)).orderBy(F.desc("w"), "feature").limit(most_features)
-    return Model(characters, {r.feature: float(r.w) for r in top.collect()}, float(min(total.base, least_weight)))
-
-
-def _scorer(model: Model, most_words: int = 500_000) -> Callable[[list[str]], list[float]]:
+    train = written(sample.join(first, "doc_id", "left_semi").mapInArrow(_described(characters), FEATURES).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "toxic-train")
+    halves = [_weights(train.where(F.col("half") != h), most_features, prior_docs, least_docs) for h in (0, 1)]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for half, n, found in zip(*[batch.column(c).to_pylist() for c in ("half", "n_words", "features")], strict=True):
+                held: dict[str, float] = {}
+                for f in found:
+                    w = halves[half].get(f, 0.0)
+                    key = begins(f)
+                    if w > held.get(key, 0.0):
+                        held[key] = w
+                rows.append(evidence(held, n))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float64()))], ["toxic", "x"])
+
+    rows = train.select("half", "n_words", "features", "toxic").mapInArrow(judged, "toxic int, x array<double>").collect()  # sample_rows of five numbers
+    if not rows or len({r.toxic for r in rows}) < 2:
+        return Model(characters, {}, None)
+    coefficients = logistic(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=float), np.array(PENALTIES))
+    return Model(characters, _weights(train, most_features, prior_docs, least_docs), tuple(coefficients))
+
+
+def begins(feature: str) -> str:
+    """The first four letters of a feature's word."""
+    return feature.rstrip("$").lstrip("^")[:4]
+
+
+def _scorer(model: Model, most_words: int = 400_000) -> Callable[[list[str]], list[float]]:
     """Scores of texts; made once a task, it remembers words."""
-    restore = Restorer(model.characters)
-    whole = {f[:-1]: w for f, w in model.weights.items() if f[0] != "^"}.get
-    start = {f[1:]: w for f, w in model.weights.items() if f[0] == "^"}.get
-
-    def weight(word: str) -> float:
-        top = whole(word, 0.0)
-        if len(word) > 3:
-            top = max(top, start(word[:4], 0.0))
-            if len(word) > 4:
-                top = max(top, start(word[:5], 0.0))
-        return top
+    restore, weights = Restorer(model.characters), model.weights.get
+    whole = {f[:-1] for f in model.weights if f[0] != "^"}
+    coefficients = np.array(model.fit if model.fit is not None else [0.0] * 5)
+
+    def weigh(words: list[str]) -> tuple[tuple[str, float], ...]:
+        """Beginning and weight of those of a token's readings that weigh anything."""
+        found = {w[:4]: max(weights(f, 0.0) for f in features(w)) for w in words}
+        return tuple((b, x) for b, x in found.items() if x > 0)
 
     class Known(dict):
-        def __missing__(self, w: str) -> float:
-            self[w] = found = max(map(weight, restore.word(w)), default=0.0)
+        def __missing__(self, w: str) -> tuple[tuple[str, float], ...]:
+            self[w] = found = weigh(restore.word(w))
             return found
 
     known = Known()
 
+    def apart(tokens: list[str]) -> list[str]:
+        """Weighed words that neighbouring tokens spell, where decoding reads them as one."""
+        two = list(map(str.__add__, tokens, tokens[1:]))
+        spelled = [(n, i, w) for n, row in ((2, two), (3, list(map(str.__add__, two, tokens[2:])))) for i, w in enumerate(row) if w in whole]
+        return [w for n, i, w in spelled if decode(" ".join(tokens[i : i + n]), restore.model) == w]
+
     def rate(texts: list[str]) -> list[float]:
+        if model.fit is None:
+            return [0.0] * len(texts)
         if len(known) > most_words:
             known.clear()
-        out = []
+        rows = []
         for text in texts:
             plain, more = restore.tokens(text)
-            out.append(max(model.base, max(map(known.__getitem__, plain), default=0.0), max(map(weight, more), default=0.0)))
-        return out
+            held: dict[str, float] = {}
+            for found in (*filter(None, map(known.__getitem__, set(plain))), weigh(more + apart(text.lower().split()))):
+                for b, x in found:
+                    if x > held.get(b, 0.0):
+                        held[b] = x
+            rows.append(evidence(held, len(plain)))
+        return (1 / (1 + np.exp(-np.clip(np.array(rows) @ coefficients, -30, 30)))).tolist() if rows else []
 
     return rate
 
@@ -291,7 +381,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score under ``threshold``, all columns as they were."""
+    """The documents that score under ``threshold``, all columns as they were; null texts, null ids and repeated rows are judged by their text."""
     model = fit(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,15 +139,15 @@ def test_toxicity(spark):
         bad = i % 4 == 0
         rows.append((i, f"{t or ''} idiots and morons {i}" if bad else t))
         labels.append((i, int(bad)))
-    rows += [(100_000, "some 1d10ts and m0r0ns said so"), (100_001, "you i d i o t s there"), (100_002, None), (100_003, "iiidiots!!!")]
+    rows += [(100_000, "some 1d10ts and m0r0ns said so"), (100_001, "you i d i o t s there"), (100_002, None), (100_003, "iiidiots!!!"), (100_004, "what id iots they are"), (100_005, "such m o rons as these"), (None, "idiots and morons"), (None, None), (100_006, "")]
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
+    got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect() if r.doc_id is not None}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in got.items())
     held = [(r.predicted, t) for i, t in labels if (r := got[i]).held_out]
     assert sum(a == b for a, b in held) / len(held) > 0.98
-    assert [got[100_000 + i].predicted for i in range(4)] == [1, 1, 0, 1]
+    assert [got[100_000 + i].predicted for i in range(7)] == [1, 1, 0, 1, 1, 1, 0]
     kept = toxicity.drop_toxic(d, lab)
-    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if t != "idiots and morons" and (i is None or not got[i].predicted))
     assert toxicity.toxicity(d, lab.where("false")).where("predicted = 1").count() == 0
 
 
@@ -170,7 +170,51 @@ def test_toxicity_counts_alike_training_rows(spark):
     labels = [(i, int(n < 8)) for n, (i, _) in enumerate(rows)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     base = 8 / 61  # the last two are copies of each other, and of the first with another label
-    assert model.weights["zonker$"] == pytest.approx((8 + 5 * base) / (9 + 5))
+    odds = np.log((8 + 5 * base) / (1 + 5 * (1 - base))) - np.log(base / (1 - base))
+    assert model.weights["zonker$"] == pytest.approx(odds)
+
+
+def _every_reading(token: str, run: int) -> set[tuple[float, str]]:
+    """All plain texts of a token with their channel costs, by going through the whole lattice."""
+    long_run, i = set(), 0
+    while i < len(token):
+        j = i
+        while j < len(token) and token[j] == token[i]:
+            j += 1
+        if j - i >= max(2, run):
+            long_run |= set(range(i + 1, j))
+        i = j
+    made = {(0.0, "")}
+    for place, ch in enumerate(token):
+        options = [(x, toxicity.DISGUISE) for x in toxicity.IMITATES.get(ch, "")]
+        if ch.isalpha():
+            options.append((ch, 0.0))
+        else:
+            options += [("", toxicity.LOST), (" ", toxicity.LOST)] if ch in toxicity.IMITATES else [("", toxicity.DROP), (" ", 0.0)]
+        options += [("", toxicity.REPEAT)] if place in long_run else []
+        made = {(cost + extra, text + x) for cost, text in made for x, extra in options}
+    return made
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aiost10!$-. ", min_size=1, max_size=6), st.sampled_from([2, 3]), st.integers(0, 5))
+def test_decoding_is_the_best_of_all_readings(token, run, seed):
+    rng = np.random.default_rng(seed)
+    size = toxicity.SIZE
+    model = np.log(rng.dirichlet(np.ones(size), (size, size)))
+
+    def total(cost: float, text: str) -> float:
+        """Channel costs plus the language model's, with one boundary between words and at both ends."""
+        words = text.split()
+        codes = [0, 0]
+        for n, w in enumerate(words):
+            codes += ([0] if n else []) + toxicity.classes(w).tolist()
+        codes += [0] if words else []
+        return cost - sum(model[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    best = min(total(cost, text) for cost, text in _every_reading(token, run))
+    found = toxicity.decode(token, model.tolist(), run)
+    assert min(total(cost, text) for cost, text in _every_reading(token, run) if " ".join(text.split()) == found) == pytest.approx(best)
 
 
 @pytest.mark.parametrize("run", [lines.dedup_lines, repeats.remove_repeats, near.near_groups, lambda d: pii.sanitise(d)])
