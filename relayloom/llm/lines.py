@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_written, fewer, pieces, scratch, written
+from relayloom.llm.common import documents, drop_folder, fewer, pieces, scratch, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LINES = "batch int, doc_id long, nameless string, h1 long, h2 long, places array<int>"
@@ -97,7 +97,8 @@ class LineRuns:
         while len(self.levels[level]) >= self.fan:
             full = self._read(self.levels[level])
             self._write(self._merged(full), level + 1)
-            drop_written(full)
+            for path in self.levels[level]:
+                drop_folder(self.spark, path)
             self.levels[level] = []
             level += 1
 

@@ -4,24 +4,28 @@
    representatives go on, so a large group of copies costs one row a copy.
 2. A representative's one-permutation sketch (see ``sketch``) is cut into bands; each band is a
    bucket key.  Buckets with one member are dropped.
-3. Star-shaped candidates: in each bucket a center, chosen by a hash that differs from bucket to
-   bucket, is paired with the other members, so a bucket gives no more pairs than it has members.
-   The pairs are confirmed on full sets, and linked documents get a common label.
-4. A star can miss a link between two members that are no center.  So the centers leave their
+3. Star-shaped candidates: in each bucket a center, the member of least hash, is paired with the
+   other members, so a bucket gives no more pairs than it has members; as the hash is the same in all
+   buckets, a document meets few centers.  The pairs are confirmed on full sets.
+4. A round's links join labels: the links between labels, each once, are a small graph, and its
+   components (by alternating large and small stars) give the new labels.  Older links are never
+   read again; at the end the labels are the components.
+5. A star can miss a link between two members that are no center.  So the centers leave their
    buckets, and buckets whose members share one label are done.  The documents in the rest get
-   finer buckets: of n shingles, the n - ceil(0.85 n) + 1 that are rarest among these documents.
+   finer buckets: of n shingles, the n - ceil(n * percent / 100) + 1 that are rarest among these documents.
    Linked sets share one of them, and a set of mostly own shingles shares none and is done.  A
    shingle's place also bounds the intersection of a pair that has none in common before it, so
    most pairs that can't link are never made.
-5. These buckets get larger and larger lots of centers (each paired with members of other labels
+6. These buckets get larger and larger lots of centers (each paired with members of other labels
    only) until no bucket is left.  No pair is confirmed twice, none is left out, and no bucket has a cap.
-6. Components of all links by alternating large and small stars.
+   Joins of rows with their bucket's center or count are salted, so a hot bucket's rows are spread.
 
 With 42 bands of 6 values a pair at a similarity of 0.85 shares no bucket with a chance of about
-2e-9.  Words are runs without ASCII white space, A-Z lower-cased; sets hold runs of five words, or
-the whole of a shorter text.  Null texts and texts without words have an empty set, link with
-nothing and stand for themselves.  Rows with equal ``doc_id`` count as one document of the
-larger set.  Further columns are not read.
+2e-9, one at 0.8 of about 3e-6.  Words are runs without ASCII white space, A-Z lower-cased; sets hold runs
+of five words, or the whole of a shorter text.  Null texts and texts without words have an empty set,
+link with nothing and stand for themselves.  Rows with equal ``doc_id`` count as one document of the
+larger set.  A row without an id is a document that links with nothing; its component is null and it is
+kept.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, fewer, pieces, written
+from relayloom.llm.common import documents, drop_written, fewer, pieces, written
 from relayloom.llm.sketch import one_permutation, shingles
 from relayloom.llm.wordhash import MULTIPLIER, mix, words
 
 _SETS = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
+#: Into how many parts the rows of a bucket are spread.
+SALTS = 8
 
 
 def _sketched(k: int, bands: int, rows: int):
@@ -112,7 +118,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("m").alias("least"))
         joined = large.join(low, "v")
         star = joined.where("m != least").select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(low.select("v", F.col("least").alias("m")))
-        edges = written(fewer(star.where("v != m").distinct()), "edges")
+        before, edges = edges, written(fewer(star.where("v != m").distinct()), "edges")
+        drop_written(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break
@@ -120,9 +127,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(edges.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
 
 
-def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6, growth: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of all documents, and the confirmed (a, b) links between representatives."""
-    docs = documents(docs)
+def _salted(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows joined with the rows of their bucket (few a bucket), which are repeated for each salt."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(buckets.withColumn("salt", salt), ["bucket", "salt"]).drop("salt")
+
+
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels joined by new (a, b) links: the least label that each reaches."""
+    ends = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la != lb")
+    top = components(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    return label.join(top.toDF("label", "top"), "label", "left").select("rep", F.coalesce("top", "label").alias("label"))
+
+
+def near_labels(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6, growth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) of all documents with an id, and (rep, label): the least representative of its component.
+
+    Representatives without a label share no bucket with another one.
+    """
+    docs = documents(docs).where("doc_id is not null")
     sets = written(docs.mapInArrow(_sketched(k, bands, rows), _SETS), "sketches")
     full = sets.where("n_shingles > 0")
     classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -131,38 +154,42 @@ def near_links(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
     others = member.where("doc_id != rep").select("doc_id")
     keys = full.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-buckets")
-    live = written(keys.join(shared, "bucket").select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_shared")), "buckets")
-    reps = live.select("rep").distinct()
-    blobs = written(docs.mapInArrow(_compressed, "rep long, blob binary").join(reps, "rep", "left_semi"), "blobs")
-    label = reps.select("rep", F.col("rep").alias("label"))
-    tested = links = None
+    live = written(_salted(keys, shared).select("bucket", "rep", "n_shingles", F.col("n_shingles").alias("n_shared")), "buckets")
+    label = written(live.select("rep").distinct().select("rep", F.col("rep").alias("label")), "labels")
+    drop_written(sets, classes, shared)
+    blobs = written(docs.mapInArrow(_compressed, "rep long, blob binary").join(label, "rep", "left_semi"), "blobs")
+    tested: list[DataFrame] = []
     centers, number = 1, 0
     while live.limit(1).count():
         now = live.join(label, "rep").select("bucket", "rep", "n_shingles", "n_shared", "label")
-        chance = F.xxhash64(F.lit(number), "bucket", "rep")
+        chance = F.xxhash64(F.lit(number), "rep")
         center = now.groupBy("bucket", F.pmod(F.xxhash64("rep", F.lit(number)), F.lit(centers)).alias("slot")).agg(F.min(F.struct(chance.alias("chance"), F.col("rep").alias("c"), F.col("n_shingles").alias("cn"), F.col("n_shared").alias("cs"), F.col("label").alias("cl"))).alias("x"))
         center = written(fewer(center.select("bucket", "x.c", "x.cn", "x.cs", "x.cl")), "centers")
         most = F.least("n_shared", "cs")  # no larger intersection is possible
         alike = (F.col("label") != F.col("cl")) & (100 * most >= percent * (F.col("n_shingles") + F.col("cn") - most))
-        pairs = now.join(center, "bucket").where(alike).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = _salted(now, center).where(alike).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         both = pairs.join(blobs.toDF("a", "blob_a"), "a").join(blobs.toDF("b", "blob_b"), "b").select("a", "b", "blob_a", "blob_b")
         found = written(both.mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        tested.append(pairs)
+        old = [live, center, found]
         rest = live.join(center.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti")
         if found.limit(1).count():
-            label = written(fewer(_spread(_spread(label, links), links)), "labels")
+            old.append(label)
+            label = written(_relabelled(label, found), "labels")
         open_ = rest.join(label, "rep").groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        live = written(fewer(rest.join(open_, "bucket", "left_semi")), "buckets")
+        live = written(_salted(rest, open_).select(live.columns), "buckets")
         if number == 0:
-            live = written(fewer(_rarest(live.select("rep").distinct(), blobs, k, percent)), "buckets")
+            old.append(live)
+            live = written(_rarest(live.select("rep").distinct(), blobs, k, percent), "buckets")
         else:
             centers *= growth
+        drop_written(*old)
         number += 1
-    return member, links if links is not None else member.sparkSession.createDataFrame([], "a long, b long")
+    drop_written(blobs, *tested)
+    return member, label
 
 
 def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -183,33 +210,27 @@ def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFram
     rows = written(blobs.join(reps, "rep", "left_semi").select("rep", "blob").mapInArrow(sets, "rep long, shingles array<long>"), "shingles")
     rows = rows.select("rep", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("bucket"))
     often = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    own = rows.join(written(fewer(often), "often"), "bucket").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
+    own = _salted(rows, written(fewer(often), "often")).groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("shared"))
     # Shingles that occur once come first in the order; they are no buckets but use up places.
     places = F.expr(f"cast(n_shingles - (n_shingles * {percent} + 99) div 100 + 1 - (n_shingles - size(shared)) as int)")
     each = own.select("rep", "n_shingles", F.size("shared").cast("long").alias("all"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("before", "s"))
     return each.select("s.bucket", "rep", "n_shingles", (F.col("all") - F.col("before")).alias("n_shared"))
 
 
-def _spread(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Each label lowered to the least label next to it; equal labels still mean one component."""
-    ends = links.toDF("rep", "next").unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("next")))
-    near = ends.join(label.toDF("next", "other"), "next").groupBy("rep").agg(F.min("other").alias("other"))
-    return label.join(near, "rep", "left").select("rep", F.least("label", "other").alias("label"))
-
-
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6) -> DataFrame:
     """RESULT rows: ``component_id`` is the least ``doc_id`` that a document reaches over links."""
-    member, links = near_links(docs, k, percent, bands, rows)
-    found = components(links)
-    joined = member.join(found.toDF("rep", "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    member, label = near_labels(docs, k, percent, bands, rows)
+    joined = member.join(label, "rep", "left")
+    component = F.coalesce("label", "rep")
+    named = joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    nameless = documents(docs).where("doc_id is null").mapInArrow(_sketched(k, bands, rows), _SETS)
+    return named.unionByName(nameless.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6) -> DataFrame:
     """The documents that are the least ``doc_id`` of their group, all columns as they were.
 
-    A document without an id is in no group and stays.
+    A document without an id is in no group and stays; so do all rows of a kept ``doc_id``.
     """
     named = docs.where("doc_id is not null")
     kept = near_groups(named, k, percent, bands, rows).where("kept").select("doc_id")
