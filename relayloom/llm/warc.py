@@ -51,7 +51,7 @@ def _framed(payload: Column, chunk: int) -> Column:
     count = F.ceil(size / chunk).cast("int")
     piece = lambda i: F.substring(payload, i * chunk + 1, F.lit(chunk))
     parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(F.to_binary(_cat(_hex(F.octet_length(piece(i))), EOL), F.lit("utf-8")), piece(i), F.to_binary(F.lit(EOL), F.lit("utf-8"))))
-    return F.concat(F.aggregate(parts, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)), F.to_binary(F.lit("0" + EOL + EOL), F.lit("utf-8")))
+    return F.concat(F.array_join(parts.cast("array<string>"), "").cast("binary"), F.to_binary(F.lit("0" + EOL + EOL), F.lit("utf-8")))
 
 
 def records(pages: DataFrame, revisit_from: int = 1000, chunk_from: int = 4096, chunk: int = 16384, segment_bytes: int = 65536) -> DataFrame:
@@ -70,8 +70,10 @@ def records(pages: DataFrame, revisit_from: int = 1000, chunk_from: int = 4096,
     body = F.when(revisit, F.lit("").cast("binary")).when(framed, _framed(F.col("payload"), chunk)).otherwise(F.col("payload"))
     rows = rows.withColumn("block", F.concat(F.to_binary(head, F.lit("utf-8")), body)).drop("payload")
     rows = rows.withColumn("size", F.octet_length("block")).withColumn("last", F.greatest(F.lit(1), F.ceil(F.col("size") / segment_bytes).cast("int")))
-    rows = rows.withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("last"))))
-    part = F.substring(F.col("block"), (F.col("segment") - 1) * segment_bytes + 1, F.lit(segment_bytes))
+    # The block is cut before its rows are made, so a row holds its own part only.
+    cut = F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.substring(F.col("block"), (i - 1) * segment_bytes + 1, F.lit(segment_bytes)))
+    rows = rows.withColumn("parts", cut).drop("block").select("*", F.posexplode_outer("parts").alias("segment", "part")).drop("parts").withColumn("segment", F.col("segment") + 1)
+    part = F.col("part")
     first, many = F.col("segment") == 1, F.col("last") > 1
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     line = lambda name, value, when=None: (_cat(name + ": ", value, EOL) if when is None else F.when(when, _cat(name + ": ", value, EOL)).otherwise(F.lit("")))
