@@ -5,7 +5,8 @@ text is one shingle).  A fingerprint is base64 of the packed sketch; a text with
 
 The documents are put in blocks of descending ``doc_id``.  A block also gets the first document
 of the block after it, so that each document meets its successor in one pass and texts are
-shuffled once.  The cuts between blocks come from quantiles of ``doc_id``, one number a block.
+shuffled once.  There is a block for every BLOCK_BYTES of text, at least; the cuts between them come from
+quantiles of ``doc_id``, one number a block, and the blocks' first documents from a join with their ids.
 Null ids come last; equal ids are ordered by text.  Null texts are empty.  A table of one document
 is its own successor.  Further columns are not read.
 """
@@ -19,15 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, pieces
+from relayloom.llm.common import documents, pieces, written
 from relayloom.llm.sketch import flat_shingles, likeness, one_permutation, packed
 from relayloom.llm.wordhash import words
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _LEAST = -(1 << 63)
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 32 << 20
 
 
 def codes(texts: list[str], k: int, bins: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +98,9 @@ def neighbour_fingerprints(docs: DataFrame, k: int = 5, bins: int = 1024, bits:
     """
     spark = docs.sparkSession
     docs = documents(docs).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
-    blocks = blocks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     cuts = sorted(set(docs.approxQuantile("key", [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
     edges = np.array(cuts)
 
@@ -103,12 +108,11 @@ def neighbour_fingerprints(docs: DataFrame, k: int = 5, bins: int = 1024, bits:
         return pd.Series(np.searchsorted(edges, key.to_numpy(), side="left"))
 
     docs = docs.withColumn("block", F.pandas_udf(find, "int")("key"))
-    firsts = [(r.block, r.key) for r in docs.groupBy("block").agg(F.max("key").alias("key")).orderBy("block").collect()]  # a row a block
-    if not firsts:
-        return spark.createDataFrame([], RESULT)
-    before = dict(zip([k for _, k in firsts], [b for b, _ in firsts[1:]] + [firsts[0][0]], strict=True))
-    named = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    extra = docs.where(F.col("key").isin(list(before))).withColumn("block", named[F.col("key")]).withColumn("extra", F.lit(1))
+    ends = docs.groupBy("block").agg(F.max("key").alias("key"))
+    order = Window.orderBy("block")  # a row a block
+    ends = ends.select("key", F.coalesce(F.lead("block").over(order), F.first("block").over(order)).alias("before"))
+    ends = written(ends, "block-ends")  # ``blocks`` rows at most, so it may be broadcast
+    extra = docs.join(F.broadcast(ends), "key").select("doc_id", "text", "key", F.col("before").alias("block"), F.lit(1).alias("extra"))
     both = docs.withColumn("extra", F.lit(0)).unionByName(extra)
     dealt = both.repartition(blocks, "block").sortWithinPartitions("block", "extra", F.desc("key"), "text")
     return dealt.select("block", "extra", "doc_id", "text").mapInArrow(_pairs(k, bins, bits), RESULT)
