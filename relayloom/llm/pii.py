@@ -3,24 +3,30 @@
 Base spans: e-mail, ip, card and phone patterns, leftmost and non-overlapping for each kind;
 matches that fail their check (parts of an address over 255, Luhn, digit counts) are dropped.
 
-Terms: a protected entity is a distinct base match.  In each document the words near an entity's
-spans are its context.  Over the corpus, a term t discloses an entity e by the share of e's
-information that t carries, PMI(t, e) / IC(e) = 1 - log p(e | t) / log p(e), where p(e | t) is the
-share of the documents with t that have it near e.  A term counts if it stood near e in at least
-``min_contexts`` different contexts (so copies of one text prove nothing).  In documents with e, terms
-at or over ``generalise`` become a placeholder of their length class, those at or over ``remove`` go.
-
-Entities, contexts and term counts come from all documents.  What is broadcast is counted before
-(BROADCAST_ROWS) and joins by a shuffle beyond that.  Null texts are empty.  Rows with equal
-``doc_id`` are scanned each by their own text; terms found for one apply to all.
+Terms: a protected entity is a distinct base match.  Over the whole texts of the corpus, a term t
+discloses an entity e by the share of e's information that t carries,
+PMI(t, e) / IC(e) = 1 - log p(e | t) / log p(e), where p(e | t) is the share of the documents with t
+that hold e.  Terms are all words of letters and digits outside of what looks like a base match.
+A pair counts if chance does not explain it: the different texts with both (copies of one text prove
+nothing) times PMI must reach log(P / ``chance``) for the P pairs that are tested, so the bar grows
+with the corpus.  In documents with e, terms at or over ``generalise`` become a placeholder, those at
+or over ``remove`` go.
+
+Entities, pairs and term counts come from all documents; each is counted before it is joined.  What is
+broadcast is counted before (BROADCAST_ROWS) and joins by a shuffle beyond that.  Null texts are empty.
+Terms belong to a text, not to an id: rows with equal or null ``doc_id`` are rows of their own, and
+equal texts get equal spans.  An empty table gives none.  Further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, small, written
+from relayloom.llm.common import documents, drop_written, small, written
 
 #: The base kinds in order, with possessive forms of the patterns where that changes no match.
 KINDS = ("email", "ip", "card", "phone")
@@ -34,19 +40,28 @@ PATTERNS = {
 NEEDS = {"email": F.contains, "ip": F.rlike, "card": F.rlike, "phone": F.contains}
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"
+NO_WORD = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<start: int, end: int, kind: string, text: string>>"
 BROADCAST_ROWS = 200_000
 
 
-def running(lengths: Column, block: int = 128) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(lengths: Column, block: int = 64, levels: int = 3) -> Column:
     """Sums of an integer array up to and with each element, in about n * block steps."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda j: total(F.slice(lengths, j * block + 1, F.lit(block))))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1), lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block + 1)))
-    )
+
+    def sums(a: Column, level: int) -> Column:
+        if level == 1:
+            return F.transform(a, lambda x, i: total(F.slice(a, F.lit(1), i + 1)))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda j: total(F.slice(a, j * block + 1, F.lit(block))))
+        inside = lambda i: total(F.slice(a, i - i % block + 1, i % block + 1))
+        return let(blocks, lambda b: let(sums(b, level - 1), lambda before: F.transform(a, lambda x, i: inside(i) + F.coalesce(F.get(before, F.floor(i / block).cast("int") - 1), F.lit(0)))))
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, lambda a: sums(a, levels)))
 
 
 def _digits(match: Column) -> Column:
@@ -97,63 +112,92 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["text"])).otherwise(F.lower(span["text"])))
 
 
-def entities(spans: DataFrame, reach: int = 80) -> DataFrame:
-    """(doc_id, entity, context, terms): each base span's entity, a hash of the words near it, and these words."""
-    df = spans.where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("span"))
-    around = F.concat(F.expr(f"substring(text, greatest(1, span.start + 1 - {reach}), least(span.start, {reach}))"), F.lit(" \n "), F.expr(f"substring(text, span.end + 1, {reach})"))
-    near = df.select("doc_id", entity(F.col("span")).alias("entity"), F.lower(around).alias("context"))
-    return near.select("doc_id", "entity", F.xxhash64("context").alias("context"), F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0))).alias("terms"))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, min_contexts: int = 3, generalise: float = 0.6) -> DataFrame:
-    """(entity, term, disclosure): terms whose share of an entity's information is at least ``generalise``."""
-    pairs = near.select("doc_id", "entity", "context", F.explode("terms").alias("term"))
-    seen = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("x")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    seen = written(seen, "pii-terms")
-    held = F.broadcast(seen) if small(seen, BROADCAST_ROWS) else seen
-    together = pairs.join(held, ["entity", "term"], "left_semi").groupBy("entity", "term", "doc_id").agg(F.count("*").alias("x")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    n_entity = near.groupBy("entity", "doc_id").agg(F.count("*").alias("x")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = written(seen.select("term").distinct(), "pii-term-list")
-    held = F.broadcast(terms) if small(terms, BROADCAST_ROWS) else terms
-    n_term = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).join(held, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    joined = together.join(n_entity, "entity").join(n_term, "term").withColumn("n_docs", F.lit(total.first().n_docs))
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    disclosure = F.when(F.col("n_entity") < F.col("n_docs"), 1 - F.log(share) / F.log(F.col("n_entity") / F.col("n_docs"))).otherwise(F.lit(0.0))
-    return joined.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
-
-
-def sanitise(docs: DataFrame, reach: int = 80, min_contexts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+def holders(docs: DataFrame) -> DataFrame:
+    """(text_hash, entities, words) of documents that may hold base spans; the words are distinct and in lower case."""
+    likely = F.lit(False)
+    for kind in KINDS:
+        likely = likely | NEEDS[kind](F.col("text"), F.lit(NEEDED[kind]))
+    outside = F.regexp_replace("text", "|".join(f"(?:{PATTERNS[k]})" for k in KINDS), "\n")
+    return base_spans(documents(docs).where(likely)).select(F.md5(F.col("text").cast("binary")).alias("text_hash"), F.array_distinct(F.transform("base", entity)).alias("entities"), _words(outside).alias("words"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), NO_WORD)), lambda w: w != "")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
+
+
+def disclosing_terms(docs: DataFrame, held: DataFrame, generalise: float = 0.6, chance: float = 0.01) -> DataFrame:
+    """(entity, term, disclosure): terms whose share of an entity's information is at least ``generalise``, beyond chance."""
+    n_docs = docs.count()
+    seen = held.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count("*").alias("n"))
+    info = F.log(F.lit(max(n_docs, 1)) / F.col("n_entity"))
+    known = seen.groupBy("entity").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_entity")).where((F.col("n_texts") > 1) & (F.col("n_texts") * info >= -math.log(chance)))
+    known = written(known.select("entity", "n_entity"), "pii-entities")  # any other entity has no term that passes
+    pairs = held.select("text_hash", "words", F.explode("entities").alias("entity")).join(_held(known.select("entity")), "entity", "left_semi")
+    pairs = pairs.select("text_hash", "entity", F.explode("words").alias("term")).groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_both")).where("n_texts > 1"), "pii-pairs")
+    bar = math.log(max(pairs.count(), 1) / chance)
+    likely = written(pairs.join(_held(known), "entity").where(F.col("n_texts") * info >= bar), "pii-likely-pairs")  # p(e | t) is 1 at most
+    counted = docs.select(F.explode_outer(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = written(likely.select("term").distinct(), "pii-terms")
+    counted = written(counted.join(_held(terms), "term"), "pii-term-counts")
+    gain = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) + info
+    told = likely.join(_held(counted), "term").where(F.col("n_texts") * gain >= bar)
+    return told.select("entity", "term", (gain / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+
+def sanitise(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, chance: float = 0.01) -> DataFrame:
     """(doc_id, base, spans, sanitised): base spans, all spans with terms, and the text without them.
 
     Base spans become ``[KIND]``, generalised terms ``[term]``, removed ones nothing; where spans
     overlap, the one that starts first (the longer of two) is replaced and the others lie in it.
     """
-    spans = base_spans(docs)
-    near = written(entities(spans, reach), "pii-near")
-    told = written(disclosing_terms(documents(docs), near, min_contexts, generalise), "pii-disclosures")
-    told = F.broadcast(told) if small(told, BROADCAST_ROWS) else told
-    owners = near.select("doc_id", "entity").distinct()
-    terms = owners.join(told, "entity").groupBy("doc_id", "term").agg(F.max("disclosure").alias("d")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told"))
-    terms = written(terms, "pii-document-terms")
-    marked = spans.join(F.broadcast(terms) if small(terms, BROADCAST_ROWS) else terms, "doc_id", "left")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.array_sort(F.map_keys("told")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    docs = documents(docs)
+    held = written(holders(docs), "pii-holders")
+    told = written(disclosing_terms(docs, held, generalise, chance), "pii-disclosures")
+    by_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", F.col("disclosure").alias("d"))).alias("terms"))
+    owners = held.select("text_hash", F.explode("entities").alias("entity")).distinct()
+    own = owners.join(_held(by_entity), "entity").select("text_hash", F.explode("terms").alias("t")).groupBy("text_hash", "t.term").agg(F.max("t.d").alias("d"))
+    own = written(own.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told")), "pii-text-terms")
+    drop_written(held)
+    marked = base_spans(docs).withColumn("text_hash", F.md5(F.col("text").cast("binary"))).join(_held(own), "text_hash", "left")
+    # What looks like a base match is matched whole, so that no term is found inside of it.
+    base_like = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
+    pattern = F.concat(F.lit(base_like + r"|(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.array_sort(F.map_keys("told")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = _with_spans(marked, "term", "term", F.coalesce(pattern, F.lit("$.")), F.col("told").isNotNull())
     order = F.array(*[F.lit(k) for k in (*KINDS, "term")])
-    keyed = F.array_sort(F.transform(F.concat("base", "term"), lambda s: F.struct(s["start"].alias("a"), F.array_position(order, s["kind"]).alias("b"), s["end"].alias("c"), s.alias("span"))))
+    terms = F.filter("term", lambda s: F.map_contains_key(F.col("told"), F.lower(s["text"])))
+    keyed = F.array_sort(F.transform(F.concat("base", terms), lambda s: F.struct(s["start"].alias("a"), F.array_position(order, s["kind"]).alias("b"), s["end"].alias("c"), s.alias("span"))))
     marked = marked.withColumn("spans", F.transform(keyed, lambda x: x["span"]))
     return marked.select("doc_id", "base", "spans", _replaced(remove).alias("sanitised"))
 
 
-def _replaced(remove: float) -> Column:
-    label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.col("told")[F.lower(s["text"])] >= remove, F.lit("")).otherwise(F.lit("[term]"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _cut(pieces: Column, start: Column, end: Column, size: int) -> Column:
+    """The text from ``start`` to ``end`` out of its pieces of ``size`` code points."""
+    a, b = F.floor(start / size).cast("int"), F.floor(end / size).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    between = F.array_join(F.slice(pieces, a + 2, b - a - 1), "")
+    return F.when(a == b, F.substring(piece(a), start % size + 1, end - start)).otherwise(F.concat(F.substring(piece(a), start % size + 1, F.lit(size)), between, F.substring(piece(b), F.lit(1), end % size)))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        return F.when(inside, acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label(s)).alias("out")))
 
-    return F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))))
+def _replaced(remove: float, size: int = 4096) -> Column:
+    """``text`` with its ``spans`` replaced.  The text is cut into pieces first, as finding a place takes time in a long string."""
+    label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.col("told")[F.lower(s["text"])] >= remove, F.lit("")).otherwise(F.lit("[term]"))
+    none = F.array().cast("array<struct<start: int, end: int, label: string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("kept"))
+    one = lambda s: F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
+    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["kept"], one(s)).alias("kept")))
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % size), F.lit(0))
+
+    def joined(p: Column, kept: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"])
+        last = F.element_at(kept, -1)["end"]
+        return F.concat(F.array_join(F.transform(kept, lambda s, i: F.concat(_cut(p, before(i), s["start"], size), s["label"])), ""), _cut(p, last, F.length("text"), size))
+
+    return F.when(F.size("spans") == 0, F.col("text")).otherwise(let(pieces, lambda p: let(F.aggregate("spans", start, step, lambda acc: acc["kept"]), lambda kept: joined(p, kept))))
 
 
 def spelled(spans: Column) -> Column:

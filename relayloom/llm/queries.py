@@ -27,7 +27,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.sanitise(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return done.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
