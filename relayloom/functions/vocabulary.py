@@ -45,6 +45,21 @@ URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-
 NUMBER = r"\b\d+\b"
 DATES = [r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b"]
 
+TOO_LONG = "Message too long: %d characters (max 160)"
+EMPTY = "Message is empty"
+SPAM_WARNING = "Message contains potential spam indicators"
+SHORT_HINT = "Consider providing more context for better assistance"
+MARKS_HINT = "Consider adding punctuation for clarity"
+
+# Fixed values of the treasure hunt: replies by name.
+HUNT = {
+    "hint_early": "You haven't started the hunt yet. Text HUNT to begin.",
+    "no_hint": "No hint available.",
+    "clue_early": "Text HUNT to start the treasure hunt first.",
+    "locked": "You haven't unlocked Clue {asked} yet. Solve Clue {state} first.",
+    "no_clue": "Clue not found.",
+}
+
 # Fixed values of the privacy screen: name, pattern, category, sensitivity.
 PII = [
     ("phone", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "contact", "medium"),
@@ -59,12 +74,32 @@ PII = [
 RISK = {"high": 10, "medium": 5, "low": 2}
 
 # Fixed values of keyword extraction.
-STOP_WORDS = (
-    "the and or but in on at to for of with by from up about into through during before after above below between among under over this that these those "
-    "i me my myself we our ours ourselves you your yours yourself he him his himself she her hers herself it its itself they them their theirs themselves "
-    "what which who whom whose where when why how all any both each few more most other some such no nor not only own same so than too very can will just should now"
-).split()
+STOP_WORDS = [
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above", "below", "between",
+    "among", "under", "over", "this", "that", "these", "those", "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "he", "him", "his",
+    "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "whose", "where", "when", "why",
+    "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will", "just",
+    "should", "now"
+]
 
 # Fixed values of response scoring.
 WEIGHTS = {"keyword": 0.25, "entity": 0.25, "forbidden": 0.15, "length": 0.10, "latency": 0.10, "repetition": 0.15}
 PASS_AT = 0.5
+
+# Fixed values of the conference corpus: printf templates of its documents' texts.
+CORPUS_TEXTS = {
+    "schedule_overview": "%s runs %s at %s.",
+    "schedule_block": "%s \u2014 %s: %s. Location: %s.",
+    "schedule_speaker": " Presented by %s.",
+    "session": "Session: %s. Track: %s. Day %s, %s, Room %s. Type: %s. %s",
+    "speaker": "Speaker: %s, %s at %s. %s Speaking at %s session(s).",
+    "venue": "Main venue: %s, %s. Amenities: %s.",
+    "level": "Level %s: %s.",
+    "hotel": "Hotel: %s, %s from venue. %s %s.",
+    "shuttle": "Shuttle available.",
+    "restaurant": "Restaurant: %s (%s), %s from venue. Price: %s.",
+    "transport": "Transport: %s %s %s %s",
+    "weather": "Weather in %s: July average high %s, low %s. %s",
+    "emergency": "Emergency: Event security \u2014 %s. First aid at %s. Local emergency: %s. Nearest hospital: %s. Pharmacy: %s.",
+    "attraction": "%s (%s), %s from venue: %s",
+}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from relayloom.functions import vocabulary as V
-from relayloom.operators.text import strip
+from relayloom.operators.text import SPACES, strip
 
 DOCUMENT = "id string, title string, text string, category string, keywords array<string>, metadata map<string,string>, content_hash string, created_at timestamp, updated_at timestamp, word_count int, char_count int"
 
@@ -29,7 +30,7 @@ def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(text, rf"{SPACES}+"), lambda x: x != ""))
 
 
 def enrich(docs: DataFrame, now: Column) -> DataFrame:
@@ -54,11 +55,14 @@ def chunks(docs: DataFrame, size: int = 600, overlap: int = 120) -> DataFrame:
     """
     size = max(100, size)
     step = size - max(0, min(overlap, size // 2))
-    body = strip(F.coalesce("text", F.lit("")))
-    n = F.when(F.length(body) <= size, 1).otherwise(F.ceil((F.length(body) - size) / step) + 1).cast("int")
-    cut = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: strip(F.substring(body, i * step + 1, F.lit(size)))), lambda x: x != "")
-    df = docs.withColumn("_c", F.when(F.length(body) == 0, F.array(F.lit(""))).otherwise(cut)).withColumn("chunk_count", F.size("_c"))
-    df = df.select("id", "content_hash", "chunk_count", F.posexplode("_c").alias("chunk_index", "text"))
+    body = docs.select("id", "content_hash", strip(F.coalesce("text", F.lit(""))).alias("body"))
+    cut = F.regexp_extract_all("body", F.lit("(?s).{1,%d}" % step), F.lit(0))  # a chunk is a piece and the head of the next
+    n = F.when(F.length("body") <= size, 1).otherwise(F.ceil((F.length("body") - size) / step) + 1).cast("int")
+    pieces = body.select("id", "content_hash", cut.alias("pieces"), n.alias("n"))
+    whole = F.transform("pieces", lambda p, i: strip(F.concat(p, F.substring(F.coalesce(F.get("pieces", i + 1), F.lit("")), 1, size - step))))
+    texts = F.filter(F.slice(whole, 1, F.col("n")), lambda x: x != "")
+    made = pieces.select("id", "content_hash", F.when(F.size("pieces") == 0, F.array(F.lit(""))).otherwise(texts).alias("texts"))
+    df = made.select("id", "content_hash", F.size("texts").alias("chunk_count"), F.posexplode("texts").alias("chunk_index", "text"))
     return df.select(F.concat_ws("::", "id", F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", F.col("id").alias("parent_doc_id"), "chunk_index", "chunk_count", "content_hash")
 
 
@@ -115,14 +119,6 @@ def unseen(texts: DataFrame, cache: DataFrame, limit: int = 1024) -> DataFrame:
     return texts.select(F.md5("text").alias("key"), cut.alias("text")).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
-def flatten_sessions(sessions: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(doc_id, text, metadata) of sessions with their speakers' names."""
-    each = sessions.select("id", F.posexplode_outer("speakers").alias("pos", "speaker_id")).join(speakers.select(F.col("id").alias("speaker_id"), F.col("name").alias("speaker")), "speaker_id", "left")
-    named = each.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "speaker"))), lambda x: x["speaker"]), ", ").alias("names"))
-    text = F.concat(F.col("title"), F.lit(". Track: "), F.col("track"), F.lit(". Day "), F.col("day").cast("string"), F.lit(" at "), F.col("time"), F.lit(" in "), F.col("room"), F.lit(". Speakers: "), F.col("names"), F.lit(". "), F.col("description"))
-    return sessions.join(named, "id", "left").select(F.concat(F.lit("session_"), F.col("id")).alias("doc_id"), text.alias("text"), F.create_map(F.lit("category"), F.lit("sessions"), F.lit("track"), F.col("track")).alias("metadata"))
-
-
 def speaker_sessions(sessions: DataFrame, speakers: DataFrame) -> DataFrame:
     """(speaker_id, name, n_sessions, sessions) from the sessions' speaker lists."""
     each = sessions.select(F.col("id").alias("session_id"), F.explode("speakers").alias("speaker_id"))
@@ -130,14 +126,98 @@ def speaker_sessions(sessions: DataFrame, speakers: DataFrame) -> DataFrame:
     return speakers.select(F.col("id").alias("speaker_id"), "name").join(grouped, "speaker_id", "left").select("speaker_id", "name", F.coalesce("n_sessions", F.lit(0)).cast("long").alias("n_sessions"), "sessions")
 
 
-#: Schemas of the nested corpus files.
-SESSIONS = "sessions array<struct<id string, title string, track string, day int, time string, room string, type string, speakers array<string>, description string>>"
-SPEAKERS = "speakers array<struct<id string, name string, title string, company string, bio string, sessions array<string>>>"
+#: Schemas of the six nested corpus files.
+SCHEMAS = {
+    "schedule": "conference string, dates string, location string, days array<struct<date string, label string, blocks array<struct<time string, title string, location string, speaker string>>>>",
+    "sessions": "sessions array<struct<id string, title string, track string, day int, time string, room string, type string, speakers array<string>, description string>>",
+    "speakers": "speakers array<struct<id string, name string, title string, company string, bio string, sessions array<string>>>",
+    "venues": "main_venue struct<name string, address string, levels array<struct<level string, areas array<string>>>, amenities array<string>>, hotels array<struct<name string, distance string, shuttle boolean, rate string>>, "
+    "restaurants array<struct<name string, cuisine string, distance string, price string>>, transport struct<shuttle string, rideshare string, parking string, public_transit string>",
+    "city": "city string, weather struct<july_average_high string, july_average_low string, conditions string>, emergency struct<event_security string, first_aid string, local_emergency string, nearest_hospital string, pharmacy string>, "
+    "attractions array<struct<name string, type string, distance string, description string>>, tips array<string>",
+    "architecture": "architecture array<struct<id string, text string, category string>>",
+}
+
+
+def _filled(name: str, *values: Column | str) -> Column:
+    """A corpus template with its values; a null value is empty."""
+    return F.format_string(V.CORPUS_TEXTS[name], *[F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("")) for v in values])
+
+
+def _named(prefix: str, name: str) -> Column:
+    return F.concat(F.lit(prefix), F.regexp_replace(F.lower(name), " ", "_"))
+
+
+def _documents(df: DataFrame, doc_id: Column, text: Column, **metadata: Column | str) -> DataFrame:
+    pairs = [x for k, v in metadata.items() for x in (F.lit(k), F.lit(v) if isinstance(v, str) else v.cast("string"))]
+    return df.select(doc_id.alias("doc_id"), text.alias("text"), F.create_map(*pairs).alias("metadata"))
+
+
+def schedule_documents(schedule: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of a schedule: an overview and one a block."""
+    blocks = schedule.select(F.explode("days").alias("d")).select("d.date", "d.label", F.explode("d.blocks").alias("b")).select("date", "label", "b.*")
+    text = F.concat(_filled("schedule_block", "label", "time", "title", "location"), F.when(F.col("speaker").isNotNull(), _filled("schedule_speaker", "speaker")).otherwise(F.lit("")))
+    key = F.concat(F.lit("sched_"), "date", F.lit("_"), F.replace(F.replace("time", F.lit(":"), F.lit("")), F.lit("-"), F.lit("_")))
+    whole = _documents(schedule, F.lit("schedule_overview"), _filled("schedule_overview", "conference", "dates", "location"), category="schedule", priority="high")
+    return whole.unionByName(_documents(blocks, key, text, category="schedule", day=F.col("date")))
+
+
+def session_documents(sessions: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of session rows."""
+    return _documents(sessions, F.col("id"), _filled("session", "title", "track", "day", "time", "room", "type", "description"), category="sessions", track=F.col("track"), type=F.col("type"))
+
+
+def speaker_documents(speakers: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of speaker rows."""
+    return _documents(speakers, F.col("id"), _filled("speaker", "name", "title", "company", "bio", F.greatest(F.size("sessions"), F.lit(0))), category="speakers", company=F.col("company"))
+
+
+def venue_documents(venues: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of a venue file: the main venue, levels, hotels, restaurants, transport."""
+    main = venues.select("main_venue.*")
+    level = main.select(F.explode("levels").alias("x")).select("x.*")
+    hotel, food = (venues.select(F.explode(c).alias("x")).select("x.*") for c in ("hotels", "restaurants"))
+    shuttle = F.when(F.col("shuttle"), F.lit(V.CORPUS_TEXTS["shuttle"])).otherwise(F.lit(""))
+    parts = [
+        _documents(main, F.lit("venue_main"), _filled("venue", "name", "address", F.array_join("amenities", "; ")), category="venue"),
+        _documents(level, F.concat(F.lit("venue_level_"), "level"), _filled("level", "level", F.array_join("areas", ", ")), category="venue"),
+        _documents(hotel, _named("hotel_", "name"), _filled("hotel", "name", "distance", shuttle, "rate"), category="hotels"),
+        _documents(food, _named("food_", "name"), _filled("restaurant", "name", "cuisine", "distance", "price"), category="food"),
+        _documents(venues.select("transport.*"), F.lit("transport_info"), _filled("transport", "shuttle", "rideshare", "parking", "public_transit"), category="transport"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def city_documents(city: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of a city guide: weather, emergency, attractions, tips."""
+    sight, tip = city.select(F.explode("attractions").alias("x")).select("x.*"), city.select(F.posexplode("tips").alias("i", "tip"))
+    parts = [
+        _documents(city.select("city", "weather.*"), F.lit("city_weather"), _filled("weather", "city", "july_average_high", "july_average_low", "conditions"), category="weather"),
+        _documents(city.select("emergency.*"), F.lit("city_emergency"), _filled("emergency", "event_security", "first_aid", "local_emergency", "nearest_hospital", "pharmacy"), category="emergency", priority="high"),
+        _documents(sight, _named("attraction_", "name"), _filled("attraction", "name", "type", "distance", "description"), category="attractions"),
+        _documents(tip, F.concat(F.lit("tip_"), F.col("i").cast("string")), F.col("tip"), category="tips"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def architecture_documents(entries: DataFrame) -> DataFrame:
+    """(doc_id, text, metadata) of architecture rows."""
+    return _documents(entries, F.col("id"), F.col("text"), category=F.coalesce("category", F.lit("architecture")))
+
+
+def corpus_documents(files: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, text, metadata) of the six corpus files, as ``read_corpus`` gives them."""
+    rows = lambda name: files[name].select(F.explode(name).alias("x")).select("x.*")
+    parts = [
+        schedule_documents(files["schedule"]), session_documents(rows("sessions")), speaker_documents(rows("speakers")),
+        venue_documents(files["venues"]), city_documents(files["city"]), architecture_documents(rows("architecture")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One nested JSON document."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_corpus(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A nested JSON document of the kind ``name`` of SCHEMAS; one row a file."""
+    return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(path)
 
 
 def export_documents(docs: DataFrame, path: str) -> None:

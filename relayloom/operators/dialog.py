@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayloom.functions import vocabulary as V
+from relayloom.operators.folds import fold_in_order
+from relayloom.operators.text import strip
+
 
 def sessions(turns: DataFrame, gap: int = 3600, key: str = "sender") -> DataFrame:
     """Adds session, a number by sender that grows when the sender was idle for more than ``gap`` seconds."""
@@ -42,58 +46,81 @@ def history_arrays(turns: DataFrame, key: str = "sender") -> DataFrame:
     return turns.groupBy(key).agg(F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history"))
 
 
+_CLUE = re.compile(r"clue\s*(\d+)")
+
+
 class Hunt:
-    """The rules of a treasure hunt: text and state to reply and next state."""
+    """The rules of a treasure hunt: text and state to reply and next state.
+
+    What a message gets depends on its kind (start, hint, clue or said) and on whether the hunt is on.
+    """
 
     def __init__(self, intro: str, clues: list[dict]):
-        self.intro, self.clues = intro, {c["id"]: c for c in clues}
+        self.clues = {c["id"]: c for c in clues}
+        start = lambda state, asked, said: (intro, 1)
+        self.rules: dict[tuple[str, bool], Callable[[int, int, str], tuple[str | None, int]]] = {
+            ("start", False): start,
+            ("start", True): start,
+            ("hint", False): lambda state, asked, said: (V.HUNT["hint_early"], state),
+            ("hint", True): lambda state, asked, said: (self._of(state, "hint", V.HUNT["no_hint"]), state),
+            ("clue", False): lambda state, asked, said: (V.HUNT["clue_early"], state),
+            ("clue", True): lambda state, asked, said: (self._of(asked, "clue", V.HUNT["no_clue"]) if asked <= state else V.HUNT["locked"].format(asked=asked, state=state), state),
+            ("said", False): lambda state, asked, said: (None, state),
+            ("said", True): lambda state, asked, said: (self.clues[state]["success"], state + 1) if self._solves(state, said) else (None, state),
+        }
+
+    def _of(self, clue: int, field: str, missing: str) -> str:
+        return self.clues.get(clue, {}).get(field, missing)
+
+    def _solves(self, state: int, said: str) -> bool:
+        return state in self.clues and re.search(self.clues[state]["answer_pattern"], said, re.IGNORECASE) is not None
 
     def step(self, state: int, content: str) -> tuple[str | None, int]:
-        text = content.strip().lower()
-        if text == "hunt":
-            return self.intro, 1
-        if text == "hint":
-            if state == 0:
-                return "You haven't started the hunt yet. Text HUNT to begin.", state
-            return self.clues[state]["hint"] if state in self.clues else "No hint available.", state
-        asked = re.match(r"clue\s*(\d+)", text)
-        if asked:
-            n = int(asked[1])
-            if state == 0:
-                return "Text HUNT to start the treasure hunt first.", state
-            if n > state:
-                return f"You haven't unlocked Clue {n} yet. Solve Clue {state} first.", state
-            return self.clues[n]["clue"] if n in self.clues else "Clue not found.", state
-        clue = self.clues.get(state) if 0 < state <= len(self.clues) else None
-        if clue and re.search(clue["answer_pattern"], text, re.IGNORECASE):
-            return clue["success"], state + 1
-        return None, state
+        said = content.strip().lower()
+        asked = _CLUE.match(said)
+        kind = {"hunt": "start", "hint": "hint"}.get(said, "clue" if asked else "said")
+        return self.rules[kind, state > 0](state, int(asked[1]) if asked else 0, said)
 
 
 def hunt_replies(messages: DataFrame, intro: str, clues: list[dict], ttl: int = 86_400, key: str = "sender") -> DataFrame:
     """(sender, id, ts, reply, state, next_state) of the messages that are part of the hunt.
 
-    Senders who never started it are left out before the fold, unless they ask for hints or clues.
-    A state older than ``ttl`` seconds is forgotten.
+    HUNT always begins anew, so a sender's messages from one HUNT to the next are folded on their own, and
+    what can be neither a command nor an answer never reaches the fold.  A state older than ``ttl``
+    seconds is forgotten.
     """
-    text = F.lower(F.trim("content"))
-    players = messages.where(text.isin("hunt", "hint") | text.rlike(r"^clue\s*\d+")).select(key).distinct()
+    said = F.lower(strip(F.coalesce("content", F.lit(""))))
+    command = said.isin("hunt", "hint") | said.rlike(r"^(?U)clue\s*\d+")
+    answer = F.lit(False)
+    for c in clues:
+        answer = answer | said.rlike("(?i)" + c["answer_pattern"])
+    kind = dict(messages.dtypes)
+    df = messages.select(key, "id", "ts", F.col("content").cast("string").alias("content")).where(command | answer)
+    round_ = F.count_if(said == "hunt").over(Window.partitionBy(key).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_round", round_).where(command | (F.col("_round") > 0))  # nobody answers before a HUNT
+
+    def fold() -> Callable[[tuple], tuple | None]:
+        hunt, state, touched = Hunt(intro, clues), 0, None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        hunt, state, touched, out = Hunt(intro, clues), 0, None, []
-        for r in pdf.sort_values(["ts", "id"], kind="stable").itertuples():
+        def step(r: tuple) -> tuple | None:
+            nonlocal state, touched
             if touched is not None and (r.ts - touched).total_seconds() > ttl:
                 state = 0
-            reply, after = hunt.step(state, r.content or "")
-            if reply is not None:
-                out.append((getattr(r, key), r.id, r.ts, reply, state, after))
-                touched = r.ts
-            state = after
-        return pd.DataFrame(out, columns=[key, "id", "ts", "reply", "state", "next_state"])
-
-    kind = dict(messages.dtypes)
-    schema = f"{key} {kind[key]}, id {kind['id']}, ts timestamp, reply string, state int, next_state int"
-    return messages.join(players, key, "left_semi").select(key, "id", "ts", "content").groupBy(key).applyInPandas(fold, schema)
+            before = state
+            reply, state = hunt.step(state, r.content or "")
+            if reply is None:
+                return None
+            touched = r.ts
+            return (getattr(r, key), r.id, r.ts, reply, before, state)
+
+        return step
+
+    made = fold_in_order(df.withColumnRenamed("_round", "round"), [key, "round"], ["ts", "id"], fold, f"{key} {kind[key]}, id {kind['id']}, ts timestamp, reply string, state int, next_state int")
+    # What a HUNT ended is the state that the reply before it left.
+    before = Window.partitionBy(key).orderBy("ts", "id")
+    young = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(before)) <= ttl * 1_000_000
+    left = F.coalesce(F.when(young, F.lag("next_state").over(before)), F.lit(0))
+    return made.withColumn("state", F.when((F.col("reply") == intro) & (F.col("next_state") == 1), left).otherwise(F.col("state")))
 
 
 def hunt_funnel(replies: DataFrame, intro: str, n_clues: int) -> DataFrame:

@@ -14,19 +14,29 @@ def with_truth(responses: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
     return responses.join(t, "query_id"), responses.join(t.select("query_id"), "query_id", "left_anti")
 
 
-def _grams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _repeated(words: Column, n: int) -> Column:
+    """Share of repeats among the runs of n words: a run seen c > 2 times adds c - 1.  Equal runs lie together once sorted."""
+    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("seen"), F.lit(0).alias("extra"))
 
+    def step(acc: Column, run: Column) -> Column:
+        seen = F.when(acc["last"] == run, acc["seen"] + 1).otherwise(1)
+        return F.struct(run.alias("last"), seen.alias("seen"), (acc["extra"] + F.when(seen == 3, 2).when(seen > 3, 1).otherwise(0)).alias("extra"))
 
-def repetition(responses: DataFrame, key: str = "id", text: str = "response") -> DataFrame:
-    """(key, repetition): 1 less the mean share of repeated bigrams and trigrams; only those seen more than twice count."""
+    return F.aggregate(runs, start, step, lambda acc: acc["extra"]) / (F.size(words) - (n - 1))
+
+
+def with_repetition(responses: DataFrame, text: str = "response") -> DataFrame:
+    """Adds repetition: 1 less the mean share of repeated bigrams and trigrams, 1 for fewer than four words.  No shuffle."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    df = responses.select(key, words.alias("w")).withColumns({"g2": _grams(F.col("w"), 2), "g3": _grams(F.col("w"), 3)})
-    tagged = F.concat(F.transform("g2", lambda g: F.struct(F.lit(2).alias("n"), g.alias("g"))), F.transform("g3", lambda g: F.struct(F.lit(3).alias("n"), g.alias("g"))))
-    counted = df.where(F.size("w") >= 4).select(key, F.explode(tagged).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count("*").alias("c"))
-    share = counted.groupBy(key, "n").agg((F.sum(F.when(F.col("c") > 2, F.col("c") - 1).otherwise(0)) / F.sum("c")).alias("p"))
-    penalty = share.groupBy(key).agg(F.least(F.lit(1.0), F.sum("p") / 2).alias("p"))
-    return responses.select(key).distinct().join(penalty, key, "left").select(key, F.round(1 - F.coalesce("p", F.lit(0.0)), 4).alias("repetition"))
+    df = responses.withColumn("_w", words)
+    penalty = F.least(F.lit(1.0), (_repeated(F.col("_w"), 2) + _repeated(F.col("_w"), 3)) / 2)
+    return df.withColumn("repetition", F.round(1 - F.when(F.size("_w") >= 4, penalty).otherwise(0.0), 4)).drop("_w")
+
+
+def repetition(responses: DataFrame, key: str = "id", text: str = "response") -> DataFrame:
+    """(key, repetition) of each row."""
+    return with_repetition(responses, text).select(key, "repetition")
 
 
 def score(joined: DataFrame, weights: dict[str, float] | None = None, key: str = "query_id") -> DataFrame:

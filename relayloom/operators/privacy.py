@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayloom.functions import vocabulary as V
+from relayloom.operators.rate import admission
 
 
 def pii_scan(df: DataFrame, content: str = "content") -> DataFrame:
@@ -54,9 +55,16 @@ def consented(requests: DataFrame, consents: DataFrame) -> DataFrame:
     return requests.join(c, held, "left_semi")
 
 
+def consent_matches(requests: DataFrame, consents: DataFrame) -> DataFrame:
+    """(id, records): the active, unexpired records of an overlapping category that each request rests on, in order of grant."""
+    c = consents.where("is_active").select(F.col("phone_number").alias("_phone"), "data_categories", "expires_at", "granted_at", "consent_id")
+    held = (F.col("phone_number") == F.col("_phone")) & (F.col("expires_at") > F.col("ts")) & F.arrays_overlap("data_categories", "categories")
+    return requests.join(c, held).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("granted_at", "consent_id", "expires_at"))).alias("records"))
+
+
 def grant(requests: DataFrame, expiry_days: int = 365) -> DataFrame:
     """Consent records of (phone_number, categories, status, ts): id, grant and expiry times, active flag."""
-    key = F.concat_ws(":", "phone_number", F.array_join("categories", ","), F.col("ts").cast("string"))
+    key = F.concat_ws(":", "phone_number", F.array_join("categories", ","), F.unix_micros("ts").cast("string"))
     return requests.select(
         F.substring(F.md5(key), 1, 8).alias("consent_id"), "phone_number", F.col("categories").alias("data_categories"), F.col("status").alias("consent_status"),
         F.col("ts").alias("granted_at"), (F.col("ts") + F.make_interval(days=F.lit(expiry_days))).alias("expires_at"), (F.col("status") == "granted").alias("is_active"),
@@ -78,6 +86,19 @@ def verdict(messages: DataFrame) -> DataFrame:
     return messages.withColumn("reason", reason).withColumn("valid", F.col("reason") == "valid")
 
 
+def message_verdicts(messages: DataFrame, blocklist: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+    """(id, sender, ts, risk_level, blocked, within_limits, recorded, reason, valid) of (id, sender, ts, content).
+
+    Blocked senders never reach the rate limit; a high-risk message is checked against it but not
+    recorded, so only valid messages use up the budget.
+    """
+    scanned = pii_scan(messages.select("id", "sender", "ts", "content")).select("id", "sender", "ts", "risk_level", (F.col("risk_level") != "high").alias("_recordable"))
+    rejected, passed = split_blocked(scanned, blocklist)
+    admitted = admission(passed, limits, recordable="_recordable").withColumn("blocked", F.lit(False))
+    refused = rejected.withColumns({"within_limits": F.lit(True), "recorded": F.lit(False), "blocked": F.lit(True)})
+    return verdict(admitted.unionByName(refused)).drop("_recordable")
+
+
 def audit_rows(decisions: DataFrame, event_type: str, details: list[str]) -> DataFrame:
     """Decisions as audit entries: timestamp, event_type and a map of the named columns."""
     pairs = [x for c in details for x in (F.lit(c), F.col(c).cast("string"))]
@@ -88,8 +109,9 @@ def append_audit(entries: DataFrame, path: str) -> None:
     entries.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(path)
 
 
-def newest_audit(entries: DataFrame, limit: int = 100) -> DataFrame:
-    return entries.orderBy(F.desc("timestamp"), "event_type").limit(limit)
+def newest_audit(entries: DataFrame, limit: int = 100, tie: Column | None = None) -> DataFrame:
+    """The newest entries; equal times go by ``tie``, or by event type."""
+    return entries.orderBy(F.desc("timestamp"), F.col("event_type") if tie is None else tie).limit(limit)
 
 
 def privacy_stats(decisions: DataFrame) -> DataFrame:

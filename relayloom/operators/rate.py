@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,41 +25,60 @@ def rate_counts(messages: DataFrame, windows: dict[str, int], key: str = "sender
     return df.drop("_us")
 
 
-def admit(times: Iterable[tuple[int, bool]], limits: list[tuple[int, int]], edge: bool = False) -> list[tuple[bool, bool]]:
-    """(within limits, recorded) for ordered (microseconds, recordable) of one key; only recorded ones count later."""
-    kept: list[deque[int]] = [deque() for _ in limits]
-    out = []
-    for now, recordable in times:
-        for held, (seconds, _) in zip(kept, limits, strict=True):
-            while held and (now - held[0] > seconds * MICRO if edge else now - held[0] >= seconds * MICRO):
+class Limiter:
+    """Admits a time if fewer than the limit were recorded in each window before it."""
+
+    def __init__(self, limits: list[tuple[int, int]], edge: bool = False):
+        self.limits, self.edge, self.kept = limits, edge, [deque() for _ in limits]
+
+    def step(self, now: int, recordable: bool) -> tuple[bool, bool]:
+        for held, (seconds, _) in zip(self.kept, self.limits, strict=True):
+            while held and now - held[0] - (1 if self.edge else 0) >= seconds * MICRO:
                 held.popleft()
-        within = all(len(held) < most for held, (_, most) in zip(kept, limits, strict=True))
-        out.append((within, within and recordable))
+        within = all(len(held) < most for held, (_, most) in zip(self.kept, self.limits, strict=True))
         if within and recordable:
-            for held in kept:
+            for held in self.kept:
                 held.append(now)
-    return out
+        return within, within and recordable
 
 
 def admission(messages: DataFrame, limits: list[tuple[int, int]], key: str = "sender", recordable: str | None = None, edge: bool = False) -> DataFrame:
     """Adds within_limits and recorded.  Wants id and ts; ties of a key go by id.
 
-    The raw count bounds the admitted count from above, so keys that never reach a limit by it
-    are admitted by the window alone; only the others are folded, each key in one task.
+    A message after a pause longer than all windows starts anew.  The raw count bounds the admitted count
+    from above, so runs between pauses that never reach a limit by it are admitted by the window alone; only
+    the others are folded, in order, with no more in memory than the times that still count.
     """
-    df = messages.withColumn("_ok", F.col(recordable) if recordable else F.lit(True))
-    df = rate_counts(df, {f"_w{i}": s + (1 if edge else 0) for i, (s, _) in enumerate(limits)}, key)
+    longest = (max(s for s, _ in limits) + 1) * MICRO
+    ordered = Window.partitionBy(key).orderBy("_us", "id")
+    df = messages.withColumns({"_ok": F.coalesce(F.col(recordable), F.lit(False)) if recordable else F.lit(True), "_us": F.unix_micros("ts")})
+    df = df.withColumn("_new", F.coalesce(F.col("_us") - F.lag("_us").over(ordered) > longest, F.lit(True)).cast("int"))
+    df = df.withColumn("_run", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     over = F.lit(False)
-    for i, (_, most) in enumerate(limits):
-        over = over | (F.col(f"_w{i}") >= most)
-    suspects = df.where(over).select(key).distinct()
-    plain = df.drop(*[f"_w{i}" for i in range(len(limits))])
-    calm = plain.join(suspects, key, "left_anti").withColumns({"within_limits": F.lit(True), "recorded": F.col("_ok")}).drop("_ok")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "id"], kind="stable")
-        got = admit(zip(pdf["_us"], pdf["_ok"], strict=True), limits, edge)
-        return pdf.assign(within_limits=[a for a, _ in got], recorded=[b for _, b in got]).drop(columns=["_us", "_ok"])
-
-    busy = plain.join(suspects, key, "left_semi").withColumn("_us", F.unix_micros("ts"))
-    return calm.unionByName(busy.groupBy(key).applyInPandas(fold, calm.schema))
+    for seconds, most in limits:
+        frame = Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * MICRO + (0 if edge else 1), 0)
+        over = over | (F.count("*").over(frame) > most)
+    df = df.withColumn("_over", over).withColumn("_busy", F.max("_over").over(Window.partitionBy(key, "_run"))).drop("_new", "_over")
+    calm = df.where(~F.col("_busy")).withColumns({"within_limits": F.lit(True), "recorded": F.col("_ok")}).drop("_ok", "_us", "_run", "_busy")
+    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns])
+    busy = df.where("_busy").select(F.col(key).alias("key"), F.col("_run").alias("run"), F.col("_us").alias("us"), F.col("id").alias("tie"), F.col("_ok").alias("ok"), row.alias("row"))
+    return calm.unionByName(_folded(busy, limits, edge).select("row.*", "within_limits", "recorded"))
+
+
+def _folded(busy: DataFrame, limits: list[tuple[int, int]], edge: bool) -> DataFrame:
+    """Runs through the limiter, whole rows in tow."""
+    dealt = busy.repartition("key", "run").sortWithinPartitions("key", "run", "us", "tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, limiter = None, Limiter(limits, edge)
+        for batch in batches:
+            got = []
+            for key, number, us, ok in zip(*[batch.column(c).to_pylist() for c in ("key", "run", "us", "ok")], strict=True):
+                if group != (key, number):
+                    group, limiter = (key, number), Limiter(limits, edge)
+                got.append(limiter.step(us, ok))
+            flags = [pa.array([g[i] for g in got], pa.bool_()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *flags], names=["row", "within_limits", "recorded"])
+
+    kind = dealt.schema["row"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"row {kind}, within_limits boolean, recorded boolean")

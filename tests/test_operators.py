@@ -47,9 +47,12 @@ def test_validate(spark):
 
 
 def test_split_and_truncate(spark):
-    assert text.sms_parts("short") == ["short"]
-    assert [len(p) for p in text.sms_parts("word " * 60)] == [155, 156]
-    assert [len(p) for p in text.sms_parts("x" * 400)] == [158, 158, 102]
+    cut = lambda t, limit=160: column(spark, [t]).select(text.sms_parts(F.col("content"), limit).alias("p")).first().p
+    assert cut("short") == ["short"]
+    assert [len(p) for p in cut("word " * 60)] == [155, 156]
+    assert [len(p) for p in cut("x" * 400)] == [158, 158, 102]
+    assert cut("aa bb  cc dddddddddddd", 12) == ["aa (1/6)", "bb (2/6)", "cc (3/6)", "dddd (4/6)", "dddd (5/6)", "dddd (6/6)"]
+    assert cut(" " + "x" * 20, 18)[0] == " (1/3)" and cut("x" * 10 + " " * 9, 18) == ["x" * 10] and cut("x" * 155 + " " * 9) == ["x" * 152 + " (1/2)", "xxx          (2/2)"]
     rows = text.split_sms(column(spark, ["x" * 400, None], "reply")).orderBy("id", "part_no").collect()
     assert [(r.part_no, r.part_count) for r in rows] == [(1, 3), (2, 3), (3, 3), (1, 1)] and rows[0].part.endswith(" (1/3)")
     assert [len(r.t) for r in column(spark, ["x" * 160, "x" * 161]).select(text.truncate(F.col("content")).alias("t")).collect()] == [160, 160]
@@ -76,8 +79,9 @@ def test_rate_edges(spark):
     inside = {r.id: r.n for r in rate.rate_counts(m, {"n": 60}).collect()}
     assert inside == {1: 0, 2: 0, 3: 1, 4: 0}
     assert {r.id: r.n for r in rate.rate_counts(m, {"n": 60}, edge=True).collect()}[2] == 1
-    assert [a for a, _ in rate.admit([(i * 1_000_000, True) for i in range(4)], [(60, 3)])] == [True, True, True, False]
-    assert [a for a, _ in rate.admit([(0, True), (61_000_000, True)], [(60, 1)])] == [True, True]
+    fold = lambda times, limits, edge=False: [one.step(t * 1_000_000, True)[0] for one in [rate.Limiter(limits, edge)] for t in times]
+    assert fold(range(4), [(60, 3)]) == [True, True, True, False]
+    assert fold([0, 61], [(60, 1)]) == fold([0, 60], [(60, 1)]) == [True, True] and fold([0, 60], [(60, 1)], True) == [True, False]
 
 
 def test_admission_is_the_fold(spark):
@@ -140,7 +144,7 @@ CLUES = [{"id": i, "clue": f"c{i}", "answer_pattern": p, "success": f"s{i}", "hi
 
 
 def test_hunt(spark):
-    said = ["CLUE 1", "HINT", "hunt", "CLUE 3", "nothing", "It is BitNet", "hint", "red hat", "400", "clue 4", "HUNT"]
+    said = ["CLUE 1", "HINT", "hunt\n", "CLUE 3", "nothing", "It is BitNet", "hint", "red hat", "400", "clue 4", "HUNT"]
     rows = [(i, "a", at(i), c) for i, c in enumerate(said)] + [(99, "b", at(1), "bitnet")]
     m = spark.createDataFrame(rows, "id long, sender string, ts timestamp, content string")
     got = dialog.hunt_replies(m, "intro", CLUES).orderBy("id").collect()
@@ -245,3 +249,74 @@ def test_vector_search_beyond_a_block_of_queries(spark, monkeypatch, metric):
         for i, a in rows[:40]:
             near = sorted((sum((x - y) ** 2 for x, y in zip(a, b, strict=True)), j) for j, b in rows)[:3]
             assert {(j, d) for _, j, d, _ in (g for g in got if g[0] == i)} == {(j, d) for d, j in near}
+
+
+def test_vector_search_with_a_filter(spark):
+    v = spark.createDataFrame([(1, [0.0], {"c": "a"}), (2, [1.0], {"c": "b", "d": "x"}), (3, [2.0], None)], "doc_id long, vector array<double>, metadata map<string,string>")
+    q = spark.createDataFrame([(1, [0.0], {"c": "b"}), (2, [2.0], None), (3, [0.0], {"c": "b", "d": "y"})], "query_id long, vector array<double>, filter map<string,string>")
+    assert sorted((r.query_id, r.doc_id, r.distance) for r in search.vector_search(q, v, 1).collect()) == [(1, 2, 1.0), (2, 3, 0.0)]
+
+
+def test_keyword_search(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "Edge talk", "edge one and edge one", ["edge", "talk"], "x"), (2, None, "the hedge", ["hedge"], "y"), (3, "t", None, None, "x")], "doc_id long, title string, text string, keywords array<string>, category string")
+    q = spark.createDataFrame([(1, "EDGE one", None), (2, "edge", "y"), (3, " ", None), (4, "zzz", None)], "query_id long, query string, category string")
+    want = {(1, 1, 11), (1, 2, 1), (2, 2, 8)}
+    assert {(r.query_id, r.doc_id, r.score) for r in search.keyword_search(q, d).collect()} == want
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    assert {(r.query_id, r.doc_id, r.score) for r in search.keyword_search(q, d).collect()} == want
+
+
+def test_corpus_files(spark, tmp_path):
+    files = {
+        "schedule": '{"conference": "Conf", "dates": "May 1", "location": "Hall", "days": [{"date": "2026-05-01", "label": "Day 1", "blocks": [{"time": "07:00-08:30", "title": "Tea", "location": "Lobby"}, {"time": "09:00-10:00", "title": "Talk", "location": "A", "speaker": "Ann"}]}]}',
+        "sessions": '{"sessions": [{"id": "S1", "title": "T", "track": "K", "day": 2, "time": "9-10", "room": "A1", "type": "lab", "speakers": ["P1"], "description": "100% fun."}]}',
+        "speakers": '{"speakers": [{"id": "P1", "name": "Ann", "title": "Eng", "company": "Co", "bio": "Bio.", "sessions": ["S1", "S2"]}]}',
+        "venues": '{"main_venue": {"name": "C", "address": "1 St", "levels": [{"level": 1, "areas": ["a", "b"]}, {"level": "Roof", "areas": ["c"]}], "amenities": ["w", "x"]}, "hotels": [{"name": "Big Inn", "distance": "1 mile", "shuttle": true, "rate": "$9"}, {"name": "Inn", "distance": "2", "shuttle": false, "rate": "$1"}], "restaurants": [{"name": "Eat", "cuisine": "Thai", "distance": "3", "price": "$"}], "transport": {"shuttle": "S.", "rideshare": "R.", "parking": "P.", "public_transit": "B."}}',
+        "city": '{"city": "Town", "weather": {"july_average_high": "9", "july_average_low": "1", "conditions": "Sun."}, "emergency": {"event_security": "5", "first_aid": "L", "local_emergency": "911", "nearest_hospital": "H", "pharmacy": "D"}, "attractions": [{"name": "The Park", "type": "Out", "distance": "1", "description": "Green."}], "tips": ["Walk.", "Sip."]}',
+        "architecture": '{"architecture": [{"id": "a1", "text": "One.", "category": "x"}, {"id": "a2", "text": "Two."}]}',
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.doc_id: (r.text, r.metadata) for r in corpus.corpus_documents({n: corpus.read_corpus(spark, str(tmp_path / f"{n}.json"), n) for n in files}).collect()}
+    assert got == {
+        "schedule_overview": ("Conf runs May 1 at Hall.", {"category": "schedule", "priority": "high"}),
+        "sched_2026-05-01_0700_0830": ("Day 1 — 07:00-08:30: Tea. Location: Lobby.", {"category": "schedule", "day": "2026-05-01"}),
+        "sched_2026-05-01_0900_1000": ("Day 1 — 09:00-10:00: Talk. Location: A. Presented by Ann.", {"category": "schedule", "day": "2026-05-01"}),
+        "S1": ("Session: T. Track: K. Day 2, 9-10, Room A1. Type: lab. 100% fun.", {"category": "sessions", "track": "K", "type": "lab"}),
+        "P1": ("Speaker: Ann, Eng at Co. Bio. Speaking at 2 session(s).", {"category": "speakers", "company": "Co"}),
+        "venue_main": ("Main venue: C, 1 St. Amenities: w; x.", {"category": "venue"}), "venue_level_1": ("Level 1: a, b.", {"category": "venue"}), "venue_level_Roof": ("Level Roof: c.", {"category": "venue"}),
+        "hotel_big_inn": ("Hotel: Big Inn, 1 mile from venue. Shuttle available. $9.", {"category": "hotels"}), "hotel_inn": ("Hotel: Inn, 2 from venue.  $1.", {"category": "hotels"}),
+        "food_eat": ("Restaurant: Eat (Thai), 3 from venue. Price: $.", {"category": "food"}), "transport_info": ("Transport: S. R. P. B.", {"category": "transport"}),
+        "city_weather": ("Weather in Town: July average high 9, low 1. Sun.", {"category": "weather"}),
+        "city_emergency": ("Emergency: Event security — 5. First aid at L. Local emergency: 911. Nearest hospital: H. Pharmacy: D.", {"category": "emergency", "priority": "high"}),
+        "attraction_the_park": ("The Park (Out), 1 from venue: Green.", {"category": "attractions"}), "tip_0": ("Walk.", {"category": "tips"}), "tip_1": ("Sip.", {"category": "tips"}),
+        "a1": ("One.", {"category": "x"}), "a2": ("Two.", {"category": "architecture"}),
+    }
+
+
+def test_hunt_keeps_the_state_that_a_restart_ends(spark):
+    said = [(0, 0, "hunt"), (1, 1, "bitnet"), (2, 2, "HUNT\n"), (3, 100_000, "hunt"), (4, 100_001, "red hat"), (5, 200_000, "bitnet")]
+    m = spark.createDataFrame([(i, "a", at(s), c) for i, s, c in said], "id long, sender string, ts timestamp, content string")
+    assert [(r.id, r.state, r.next_state) for r in dialog.hunt_replies(m, "intro", CLUES).orderBy("id").collect()] == [(0, 0, 1), (1, 1, 2), (2, 2, 1), (3, 0, 1)]
+
+
+def test_message_verdicts(spark):
+    high = "Patient #12345 passport AB1234567 Card: 4111 1111 1111 1111"
+    rows = [(1, "a", 0, "hi"), (2, "a", 1, high), (3, "a", 2, "hi"), (4, "a", 3, high), (5, "a", 3, "hi"), (6, "b", 0, "hi"), (7, "a", 70, "hi"), (8, "a", 3700, None)]
+    m = spark.createDataFrame([(i, s, at(t), c) for i, s, t, c in rows], "id long, sender string, ts timestamp, content string")
+    blocked = spark.createDataFrame([("b", "spam")], "phone_number string, reason string")
+    got = {r.id: (r.reason, r.recorded) for r in privacy.message_verdicts(m, blocked, [(60, 2), (3600, 10)]).collect()}
+    assert got == {1: ("valid", True), 2: ("high_risk_content", False), 3: ("valid", True), 4: ("rate_limit_exceeded", False), 5: ("rate_limit_exceeded", False), 6: ("user_blocked", False), 7: ("valid", True), 8: ("valid", True)}
+
+
+def test_word_vectors(spark):
+    table = search.word_vectors(["bus", "train"], 4)
+    df = search.embed(column(spark, ["A bus and a TRAIN", "nothing", None], "text"), "text", lambda: search.word_table_encoder(["train", "bus"], 4)).orderBy("id")
+    got = [r.vector for r in df.collect()]
+    assert got[0] == pytest.approx(((table["bus"] + table["train"]) / 2).tolist()) and got[1] == got[2] == [0.0] * 4
+
+
+def test_consent_matches(spark):
+    c = spark.createDataFrame([("x", "1", ["contact"], at(10), True, at(2)), ("y", "1", ["contact", "health"], at(99), True, at(1))], "consent_id string, phone_number string, data_categories array<string>, expires_at timestamp, is_active boolean, granted_at timestamp")
+    q = spark.createDataFrame([(1, "1", at(5), ["contact"]), (2, "1", at(10), ["contact"]), (3, "1", at(5), ["other"])], "id long, phone_number string, ts timestamp, categories array<string>")
+    assert {r.id: [x.consent_id for x in r.records] for r in privacy.consent_matches(q, c).collect()} == {1: ["y", "x"], 2: ["y"]}
