@@ -299,7 +299,7 @@ def test_pipeline(spark, docs, tmp_path):
         if name == "line_dedup":
             assert {i: t or "" for i, t in after.items()} == {i: x[2] for i, x in brute.lines(list(before.items())).items()}
         elif name == "near_dedup":
-            assert set(after) == {i for i, (_, c) in brute.near(list(before.items())).items() if i == c}
+            assert set(after) == {i for i, (_, c) in brute.near(list(before.items()), 80).items() if i == c}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
             assert set(after) == {i for i, x in brute.contaminated(list(before.items()), items).items() if not x[1]}
