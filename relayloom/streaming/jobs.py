@@ -7,7 +7,8 @@ watermark are dropped by Spark before they reach a processor.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,12 +37,18 @@ def deduplicated(messages: DataFrame, ts: str = "timestamp", delay: str = DELAY)
 
 
 def start_router(records: DataFrame, good_path: str, dead_path: str, checkpoint: str, **trigger: object):
-    """Decode, understand, screen and write; dead letters apart.  Offsets move on after both writes."""
+    """Decode, understand, screen and write; dead letters apart.  Offsets move on after both writes.
+
+    A batch has its own ``batch_id`` folder in either table and replaces it, so one that is tried again is not
+    written twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, dead = dead_letters(decode(batch), F.current_timestamp())
-        understood(good).drop("detected").write.mode("append").parquet(good_path)
-        dead.write.mode("append").parquet(dead_path)
+        decoded = decode(batch).persist()
+        good, dead = dead_letters(decoded, F.current_timestamp())
+        understood(good).drop("detected").write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+        dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        decoded.unpersist()
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
@@ -60,47 +67,55 @@ def conversation_sessions(turns: DataFrame, gap: str = "3600 seconds", delay: st
 
 
 class Ordered(StatefulProcessor):
-    """Holds (us, id, content) rows of a key until the watermark has passed them, then folds them in order."""
+    """Holds a key's rows until the watermark has passed them, then folds them in order.
+
+    Waiting rows are kept by the time of their timer, so a timer reads its own rows only.  A key that was idle
+    for ``keep`` seconds, after which its state says nothing any more, loses its state.
+    """
 
-    STATE = "blob string"
+    columns: list[str]
+    keep: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, content string")
-        self.value = handle.getValueState("value", self.STATE)
+        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.value = handle.getValueState("value", "blob string, us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
+        held: dict[int, list] = {}
         for pdf in rows:
             for r in pdf.itertuples():
-                us = int(r.us)
-                self.waiting.appendValue((us, int(r.id), str(getattr(r, "content", "") or "")))
-                self.handle.registerTimer(max(us // 1000 + 1, now + 1))
+                at = max(int(r.us) // 1000 + 1, now + 1)
+                held.setdefault(at, []).append((int(r.us), int(r.id), str(getattr(r, "content", "") or ""), str(getattr(r, "reply", "") or "")))
+        for at, new in held.items():
+            before = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+            self.waiting.updateValue((at,), (json.dumps(before + new),))
+            self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = sorted(tuple(x) for x in self.waiting.get())
-        due, rest = [r for r in rows if r[0] <= limit], [r for r in rows if r[0] > limit]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        state = self.value.get()[0] if self.value.exists() else ""
-        out = []
-        for us, i, content in due:
-            made, state = self.fold(state, us, content)
-            if made is not None:
-                out.append((*key, i, *made))
-        if due:
-            self.value.update((state,))
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self.waiting.containsKey((at,)):
+            blob, last = self.value.get() if self.value.exists() else ("", 0)
+            for us, i, content, reply in sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0]))):
+                made, blob = self.fold(blob, us, content, reply)
+                last = max(last, us)
+                if made is not None:
+                    out.append((*key, i, *made))
+            self.waiting.removeKey((at,))
+            self.value.update((blob, last))
+            self.handle.registerTimer(max(last // 1000 + self.keep * 1000 + 1, at) + 1)
+        elif self.value.exists() and at > self.value.get()[1] // 1000 + self.keep * 1000 + 1:
+            self.value.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
-    def fold(self, state: str, us: int, content: str) -> tuple[tuple | None, str]:
+    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
+        """What a row gives, if anything, and the state after it; an empty state is that of a new key."""
         raise NotImplementedError
 
 
@@ -110,13 +125,12 @@ class Admission(Ordered):
     columns = ["sender", "id", "within_limits"]
 
     def __init__(self, limits: list[tuple[int, int]]):
-        self.limits = limits
+        self.limits, self.keep = limits, max(s for s, _ in limits)
 
-    def fold(self, state: str, us: int, content: str) -> tuple[tuple | None, str]:
-        longest = max(s for s, _ in self.limits) * MICRO
-        kept = [int(x) for x in state.split(",") if x and us - int(x) < longest]
+    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
+        kept = [t for t in json.loads(state or "[]") if us - t < self.keep * MICRO]
         within = all(sum(us - t < s * MICRO for t in kept) < most for s, most in self.limits)
-        return (within,), ",".join(map(str, [*kept, us] if within else kept))
+        return (within,), json.dumps([*kept, us] if within else kept)
 
 
 class Hunting(Ordered):
@@ -125,65 +139,83 @@ class Hunting(Ordered):
     columns = ["sender", "id", "reply", "state", "next_state"]
 
     def __init__(self, intro: str, clues: list[dict], ttl: int = 86_400):
-        self.hunt, self.ttl = Hunt(intro, clues), ttl
+        self.hunt, self.keep = Hunt(intro, clues), ttl
 
-    def fold(self, state: str, us: int, content: str) -> tuple[tuple | None, str]:
-        number, touched = (int(x) for x in (state or "0,0").split(","))
-        if touched and us - touched > self.ttl * MICRO:
+    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
+        number, touched = json.loads(state or "[0, 0]")
+        if touched and us - touched > self.keep * MICRO:
             number = 0
-        reply, after = self.hunt.step(number, content)
-        made = None if reply is None else (reply, number, after)
-        return made, f"{after},{us if reply is not None else touched}"
+        said, after = self.hunt.step(number, content)
+        return None if said is None else (said, number, after), json.dumps([after, us if said is not None else touched])
 
 
 class History(Ordered):
-    """Chat history by sender: how many of the newest turns each message sees; idle senders start anew."""
+    """Chat history by sender: the newest turns that each message sees; idle senders start anew, ``/reset`` forgets.
+
+    Messages have content and reply; ``history`` holds {user, assistant} of the turns before.
+    """
 
-    columns = ["sender", "id", "n_before"]
+    columns = ["sender", "id", "history"]
+    SCHEMA = "sender string, id long, history array<struct<user: string, assistant: string>>"
 
     def __init__(self, turns: int = 10, ttl: int = 3600):
-        self.turns, self.ttl = turns, ttl
+        self.turns, self.keep = turns, ttl
 
-    def fold(self, state: str, us: int, content: str) -> tuple[tuple | None, str]:
-        seen, touched = (int(x) for x in (state or "0,0").split(","))
-        if touched and us - touched > self.ttl * MICRO:
-            seen = 0
+    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
+        turns, touched = json.loads(state or "[[], 0]")
+        if touched and us - touched > self.keep * MICRO:
+            turns = []
         if content.strip().lower() == "/reset":
-            return (seen,), f"0,{us}"
-        return (seen,), f"{min(self.turns, seen + 1)},{us}"
+            return ([],), json.dumps([[], us])
+        seen = [{"user": u, "assistant": a} for u, a in turns]
+        return (seen,), json.dumps([[*turns, [content, reply]][-self.turns :], us])
 
 
 class NodeStatus(StatefulProcessor):
-    """Online at a heartbeat, offline when none came for ``silence`` seconds of event time."""
+    """A node's newest heartbeat with its metrics, online; and offline when none came for ``silence`` seconds of event time."""
+
+    METRICS = ("messages_received", "avg_latency_ms", "rag_direct")
+    SCHEMA = "node_id string, us long, status string, messages_received long, avg_latency_ms double, rag_direct long"
 
     def __init__(self, silence: int = 60):
         self.silence = silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+        self.last = handle.getValueState("last", "us long, metrics string")
+
+    def _row(self, key, us: int, status: str, metrics: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, us, status, *[metrics.get(m) for m in self.METRICS])], columns=["node_id", "us", "status", *self.METRICS]).astype({m: t for m, t in zip(self.METRICS, ("Int64", "Float64", "Int64"), strict=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = max(int(pdf["us"].max()) for pdf in rows)
-        before = self.last.get()[0] if self.last.exists() else None
-        if before is None or newest > before:
-            self.last.update((newest,))
-            self.handle.registerTimer(newest // 1000 + self.silence * 1000)
-            yield pd.DataFrame([(*key, newest, "online")], columns=["node_id", "us", "status"])
+        newest = max(((int(r.us), {m: None if pd.isna(v := getattr(r, m)) else float(v) for m in self.METRICS}) for pdf in rows for r in pdf.itertuples()), key=lambda x: x[0])
+        if not self.last.exists() or newest[0] > self.last.get()[0]:
+            self.last.update((newest[0], json.dumps(newest[1])))
+            self.handle.registerTimer(newest[0] // 1000 + self.silence * 1000)
+            yield self._row(key, newest[0], "online", newest[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0]
-        if expiredTimerInfo.getExpiryTimeInMs() >= last // 1000 + self.silence * 1000:
-            yield pd.DataFrame([(*key, last, "offline")], columns=["node_id", "us", "status"])
+        us, metrics = self.last.get()
+        if expiredTimerInfo.getExpiryTimeInMs() >= us // 1000 + self.silence * 1000:
+            yield self._row(key, us, "offline", json.loads(metrics))
 
     def close(self) -> None:
         pass
 
 
+def node_changes(heartbeats: DataFrame, registrations: DataFrame, silence: int = 60, delay: str = DELAY) -> DataFrame:
+    """A stream of NodeStatus rows of (node_id, ts, metrics) heartbeats; those of unregistered nodes are left out."""
+    known = registrations.select("node_id").distinct()
+    return stateful(heartbeats.join(known, "node_id", "left_semi"), NodeStatus(silence), NodeStatus.SCHEMA, "node_id", delay)
+
+
+def node_table(changes: DataFrame) -> DataFrame:
+    """The newest row of each node, one of equal time being offline last."""
+    newest = F.max_by(F.struct(*[c for c in changes.columns if c != "node_id"]), F.struct("us", (F.col("status") == "offline").alias("off")))
+    return changes.groupBy("node_id").agg(newest.alias("x")).select("node_id", "x.*")
+
+
 def stateful(messages: DataFrame, processor: StatefulProcessor, schema: str | StructType, key: str = "sender", delay: str = DELAY) -> DataFrame:
     """A stream of (key, id, ts, content) through a processor; needs the RocksDB state store provider."""
     df = messages.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
     return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
-
-Responder = Callable[[list[str]], list[str]]

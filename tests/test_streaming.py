@@ -35,7 +35,7 @@ SCHEMA = "id long, sender string, ts timestamp, content string"
 def streamed(spark, tmp_path, rows, build, schema=SCHEMA, mode="append"):
     """Rows that ``build`` makes of two files read as a stream; a last row far ahead moves the watermark."""
     src = str(tmp_path / "src")
-    far = [(10_000 + i, s, T0 + dt.timedelta(days=40), "hello") for i, s in enumerate(["zz"])]
+    far = [(10_000 + i, s, T0 + dt.timedelta(days=40), "hello", "")[: schema.count(",") + 1] for i, s in enumerate(["zz"])]
     for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :], far):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     name = "t" + uuid.uuid4().hex
@@ -74,15 +74,37 @@ def test_hunt(rocks, tmp_path, rows):
 
 
 def test_history(rocks, tmp_path, rows):
-    b = dialog.sessions(rocks.createDataFrame(rows, SCHEMA), 200).withColumns({"reset": F.lit(False), "reply": F.lit("r")})
-    want = {(r.sender, r.id, len(r.history)) for r in dialog.visible_history(b, 4).collect()}
-    got = streamed(rocks, tmp_path, rows, lambda s: jobs.stateful(s, jobs.History(4, 200), "sender string, id long, n_before int")).where("sender <> 'zz'")
-    assert {tuple(r) for r in got.collect()} == want
+    said = [(*r[:3], "/reset" if r[0] % 9 == 0 else r[3], f"re {r[0]}") for r in rows]
+    schema = SCHEMA + ", reply string"
+    b = dialog.sessions(rocks.createDataFrame(said, schema), 200).withColumn("reset", F.col("content") == "/reset")
+    want = {(r.sender, r.id, tuple(map(tuple, r.history))) for r in dialog.visible_history(b, 4).collect()}
+    got = streamed(rocks, tmp_path, said, lambda s: jobs.stateful(s, jobs.History(4, 200), jobs.History.SCHEMA), schema).where("sender <> 'zz'")
+    assert {(r.sender, r.id, tuple(map(tuple, r.history))) for r in got.collect()} == want and any(h for _, _, h in want)
+
+
+def test_node_table(rocks, tmp_path, rows):
+    beats = [(r[1], r[2], r[0], None if r[0] % 2 else r[0] / 2, 1) for r in rows] + [("new", T0, 1, 1.0, 1)]
+    schema = "node_id string, ts timestamp, messages_received long, avg_latency_ms double, rag_direct long"
+    known = rocks.createDataFrame([("a",), ("b",), ("c",), ("zz",)], "node_id string")
+    src = str(tmp_path / "beats")
+    far = [("zz", T0 + dt.timedelta(days=40), 0, 0.0, 0)]
+    for part in (beats[:60], beats[60:], far):
+        rocks.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    q = jobs.node_changes(rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), known).writeStream.format("memory").queryName("nodes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    table = {r.node_id: r for r in jobs.node_table(rocks.table("nodes")).collect()}
+    last = {n: max((b for b in beats if b[0] == n), key=lambda b: b[1]) for n in "abc"}
+    assert set(table) == {"a", "b", "c", "zz"} and table["zz"].status == "online"
+    for n, b in last.items():
+        assert table[n].status == "offline" and table[n].messages_received in {x[2] for x in beats if x[:2] == b[:2]}
 
 
-def test_node_status(rocks, tmp_path, rows):
-    got = streamed(rocks, tmp_path, rows, lambda s: jobs.stateful(s, jobs.NodeStatus(60), "node_id string, us long, status string"))
-    assert {r.node_id for r in got.where("status = 'offline'").collect()} == {"a", "b", "c"}
+def test_idle_state_goes(rocks, tmp_path, rows):
+    late = rows + [(500 + i, "a", T0 + dt.timedelta(days=2, seconds=i), "hint") for i in range(3)]
+    want = {(r.sender, r.id, r.reply, r.state, r.next_state) for r in dialog.hunt_replies(rocks.createDataFrame(late, SCHEMA), "intro", CLUES, 600).collect()}
+    got = streamed(rocks, tmp_path, late, lambda s: jobs.stateful(s, jobs.Hunting("intro", CLUES, 600), "sender string, id long, reply string, state int, next_state int"))
+    assert {tuple(r) for r in got.where("sender <> 'zz'").collect()} == want
 
 
 def test_router_with_dead_letters_and_redelivery(rocks, tmp_path):
@@ -94,6 +116,9 @@ def test_router_with_dead_letters_and_redelivery(rocks, tmp_path):
     q.awaitTermination(60)
     assert [r.message_type for r in rocks.read.parquet(str(tmp_path / "good")).collect()] == ["emergency"]
     assert [r.raw for r in rocks.read.parquet(str(tmp_path / "dead")).collect()] == ["broken"]
+    again = jobs.start_router(s, str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "cp2"), availableNow=True)  # batch 0 once more
+    again.awaitTermination(60)
+    assert rocks.read.parquet(str(tmp_path / "good")).count() == rocks.read.parquet(str(tmp_path / "dead")).count() == 1
 
 
 def test_deduplicated(rocks, tmp_path, rows):
