@@ -32,15 +32,21 @@ def route_to_nodes(messages: DataFrame, heartbeats: DataFrame, nodes: DataFrame,
     """(id, node_id, load): as of each message's time, the online node of least load, ties to the first registered.
 
     Heartbeats become validity intervals, until the node's next one or until it has been silent too
-    long; a message joins the intervals that hold its time on the time bucket (``silence`` seconds),
-    so the join has an equality key and its cost grows with the nodes that are online.
+    long, and these a timeline of best nodes: one entry each time a node comes, goes or changes, worked
+    out in time buckets of ``silence`` seconds.  A message takes the last entry of its bucket before it, so a
+    row a message is sorted and none is multiplied by the nodes.
     """
     nxt = F.lead("ts").over(Window.partitionBy("node_id").orderBy("ts"))
     width = silence * 1_000_000
     beat = heartbeats.select("node_id", F.unix_micros("ts").alias("a"), F.unix_micros(nxt).alias("n"), "load")
     beat = beat.withColumn("b", F.least(F.coalesce("n", F.lit(1 << 62)), F.col("a") + width)).where("a < b")
     beat = beat.join(nodes.select("node_id", "registered_at"), "node_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
-    m = messages.select("id", F.unix_micros("ts").alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
-    held = m.join(beat, "bucket").where("t >= a and t < b")
-    best = held.groupBy("id").agg(F.min(F.struct("load", "registered_at", "node_id")).alias("x"))
-    return messages.select("id").join(best, "id", "left").select("id", "x.node_id", "x.load")
+    comes = beat.select("bucket", F.greatest("a", F.col("bucket") * width).alias("at"))
+    goes = beat.where(F.col("b") < (F.col("bucket") + 1) * width).select("bucket", F.col("b").alias("at"))
+    points = comes.unionByName(goes).distinct()
+    best = points.join(beat, "bucket").where("at >= a and at < b").groupBy("bucket", "at").agg(F.min(F.struct("load", "registered_at", "node_id")).alias("x"))
+    timeline = points.join(best, ["bucket", "at"], "left").select("bucket", "at", F.struct("x").alias("entry"))  # x is null where no node is online
+    m = messages.select("id", F.unix_micros("ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / width)).withColumn("asks", F.lit(True))
+    both = m.unionByName(timeline.withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    seen = F.last("entry", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("entry", seen).where("asks").select("id", "entry.x.node_id", "entry.x.load")

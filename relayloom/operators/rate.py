@@ -60,7 +60,7 @@ def admission(messages: DataFrame, limits: list[tuple[int, int]], key: str = "se
         over = over | (F.count("*").over(frame) > most)
     df = df.withColumn("_over", over).withColumn("_busy", F.max("_over").over(Window.partitionBy(key, "_run"))).drop("_new", "_over")
     calm = df.where(~F.col("_busy")).withColumns({"within_limits": F.lit(True), "recorded": F.col("_ok")}).drop("_ok", "_us", "_run", "_busy")
-    row = F.struct(*[F.col(f"`{c}`") for c in messages.columns])
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in messages.columns])
     busy = df.where("_busy").select(F.col(key).alias("key"), F.col("_run").alias("run"), F.col("_us").alias("us"), F.col("id").alias("tie"), F.col("_ok").alias("ok"), row.alias("row"))
     return calm.unionByName(_folded(busy, limits, edge).select("row.*", "within_limits", "recorded"))
 
