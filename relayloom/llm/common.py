@@ -59,6 +59,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The two columns that every operator reads, whatever else the table carries."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_folder, fewer, pieces, scratch, written
+from relayloom.llm.common import documents, drop_folder, fewer, pieces, quoted, scratch, written
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LINES = "batch int, doc_id long, nameless string, h1 long, h2 long, places array<int>"
@@ -139,11 +139,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & ((F.col("doc_id") < F.col("last_doc")) | (F.col("doc_id").isNull() & F.col("last_doc").isNotNull()))
     stay = lines.join(frequent.hint("merge"), same, "left_anti").groupBy(F.col("doc_id").alias("id"), F.col("nameless").alias("of")).agg(F.flatten(F.collect_list("places")).alias("kept"))
     own = {"kept_text", "n_lines", "n_dropped"}
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     whole = whole.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.md5(text.cast("binary"))))
     done = whole.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("nameless").eqNullSafe(F.col("of")), "left").withColumn("new", _rewriter(min_chars)(text, "kept"))
-    return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], "new.kept_text", "new.n_lines", "new.n_dropped")
+    return done.select(*[F.col(f"row.{quoted(c)}") for c in docs.columns if c.lower() not in own], "new.kept_text", "new.n_lines", "new.n_dropped")
 
 
 def _written_batches(lines: DataFrame) -> str:

@@ -17,8 +17,8 @@ levels; where they hold a window at all, every word of every copy goes.
 Words are runs of bytes other than ASCII white space, unchanged.  Hashes of windows have 64 bits
 (a chance of 2 ** -57 or less for two windows to be mistaken for one); word sequences 128.  Null
 and empty texts have no words.  Rows with equal ``doc_id`` are marked together: a place that is
-repeated in one of them goes from all.  Input columns stay, but for those that the result names
-itself.
+repeated in one of them goes from all that have it.  A row without an id counts for the others but loses
+nothing itself.  Input columns stay, but for those that the result names itself.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_written, fewer, pieces, written
+from relayloom.llm.common import documents, drop_written, fewer, pieces, quoted, written
 from relayloom.llm.wordhash import MULTIPLIER, inside_texts, mix, window_minima, windows, words
 
 _FOUND = "doc_id long, n_words long, s1 long, s2 long, places array<int>, hashes array<long>"
@@ -159,16 +159,16 @@ def _repeated(runs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, repeated array<int>) of repeated windows' first words, and (doc_id) of texts that have a copy before them.
+    """(doc_id, repeated array<int>) of repeated windows' first words, and (doc_id, copied array) of texts that have a copy.
 
-    The second holds all but the least ``doc_id`` of each group of equal word sequences.
+    ``copied`` has the lengths in words of an id's texts that are in a group of equal word sequences.
     """
     lengths = levels(window)
     docs = documents(docs)
     found = written(docs.mapInArrow(_first_level(lengths[min(1, len(lengths) - 1)], lengths[0]), _FOUND), "windows")
     groups = found.where(F.col("n_words") >= window).groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = written(fewer(groups), "copies")
-    member = found.select("doc_id", "s1", "s2", "n_words").join(groups, ["s1", "s2", "n_words"]).select("doc_id", "one")
+    member = found.select("doc_id", "s1", "s2", "n_words").join(groups, ["s1", "s2", "n_words"]).select("doc_id", "one", "n_words")
     member = written(fewer(member), "members")
     others = member.where("doc_id != one").select("doc_id")
     runs = found.select("doc_id", "places", "hashes").join(others, "doc_id", "left_anti")
@@ -183,7 +183,7 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
             by_doc = hits.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("hash").alias("hashes"))
             runs = written(by_doc.mapInArrow(_doubled(length - before), _RUNS), "windows")
         hits = _repeated(runs)
-    return hits.groupBy("doc_id").agg(F.collect_list("place").alias("repeated")), member.select("doc_id").distinct()
+    return hits.groupBy("doc_id").agg(F.collect_list("place").alias("repeated")), member.groupBy("doc_id").agg(F.collect_set("n_words").alias("copied"))
 
 
 def _remover(window: int):
@@ -192,11 +192,12 @@ def _remover(window: int):
         for t, whole, r in zip(text, copied, repeated, strict=True):
             w = t.encode().split()
             gone = np.zeros(len(w) + 1, dtype=np.int64)
-            if whole:
+            if whole is not None and len(w) in whole:
                 gone[:] = 1
                 gone = gone[:-1] > 0
             else:
                 at = np.asarray(() if r is None else r, dtype=np.int64)
+                at = at[at + window <= len(w)]  # places of another text with the same id may lie beyond this one
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + window, -1)
                 gone = np.cumsum(gone)[:-1] > 0
@@ -210,8 +211,8 @@ def _remover(window: int):
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with ``kept_text`` (kept words, one space between), ``n_words`` and ``n_removed``."""
     repeated, copied = repeated_windows(docs, window)
-    marks = repeated.join(copied.withColumn("copied", F.lit(True)), "doc_id", "full_outer")
+    marks = repeated.join(copied, "doc_id", "full_outer")
     own = {"kept_text", "n_words", "n_removed"}
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    done = whole.join(marks, "doc_id", "left").withColumn("new", _remover(window)(F.coalesce(F.col("row.text"), F.lit("")), F.coalesce("copied", F.lit(False)), "repeated"))
-    return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], "new.kept_text", "new.n_words", "new.n_removed")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    done = whole.join(marks, "doc_id", "left").withColumn("new", _remover(window)(F.coalesce(F.col("row.text"), F.lit("")), "copied", "repeated"))
+    return done.select(*[F.col(f"row.{quoted(c)}") for c in docs.columns if c.lower() not in own], "new.kept_text", "new.n_words", "new.n_removed")

@@ -296,7 +296,10 @@ def test_pipeline(spark, docs, tmp_path):
         made = stage(spark, now, str(tmp_path))
         assert made.columns == d.columns, name
         after = {r.doc_id: r.text for r in made.collect()}
-        if name == "line_dedup":
+        if name == "toxicity":
+            told = toxicity.toxicity(now, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+            assert set(after) == {r.doc_id for r in told if not r.predicted}
+        elif name == "line_dedup":
             assert {i: t or "" for i, t in after.items()} == {i: x[2] for i, x in brute.lines(list(before.items())).items()}
         elif name == "near_dedup":
             assert set(after) == {i for i, (_, c) in brute.near(list(before.items()), 80).items() if i == c}
@@ -306,4 +309,10 @@ def test_pipeline(spark, docs, tmp_path):
         made.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
-    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in now.collect()}
+    rows, held = last.collect(), {}
+    for r in rows:
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert set(held) == {r.doc_id for r in now.collect()}
+    for parts in held.values():  # each token lies in exactly one piece
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))] and sum(p[1] for p in parts) == parts[0][2]
