@@ -23,7 +23,7 @@ def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
 
     Stop words go before the shuffle; the key is (id, word), so a long document spreads out.
     """
-    words = docs.select("id", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(V.STOP_WORDS))
+    words = docs.select("id", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "word")).where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(V.STOP_WORDS))
     counted = words.groupBy("id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "pos"))).where(F.col("r") <= most)
     return ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("keywords"))
@@ -62,7 +62,8 @@ def chunks(docs: DataFrame, size: int = 600, overlap: int = 120) -> DataFrame:
     whole = F.transform("pieces", lambda p, i: strip(F.concat(p, F.substring(F.coalesce(F.get("pieces", i + 1), F.lit("")), 1, size - step))))
     texts = F.filter(F.slice(whole, 1, F.col("n")), lambda x: x != "")
     made = pieces.select("id", "content_hash", F.when(F.size("pieces") == 0, F.array(F.lit(""))).otherwise(texts).alias("texts"))
-    df = made.select("id", "content_hash", F.size("texts").alias("chunk_count"), F.posexplode("texts").alias("chunk_index", "text"))
+    # An outer explode: the filter that an inner one infers would be pushed down and cut every text again.
+    df = made.select("id", "content_hash", F.size("texts").alias("chunk_count"), F.posexplode_outer("texts").alias("chunk_index", "text"))
     return df.select(F.concat_ws("::", "id", F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", F.col("id").alias("parent_doc_id"), "chunk_index", "chunk_count", "content_hash")
 
 

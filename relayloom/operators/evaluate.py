@@ -16,7 +16,7 @@ def with_truth(responses: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataF
 
 def _repeated(words: Column, n: int) -> Column:
     """Share of repeats among the runs of n words: a run seen c > 2 times adds c - 1.  Equal runs lie together once sorted."""
-    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))))
+    runs = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("seen"), F.lit(0).alias("extra"))
 
     def step(acc: Column, run: Column) -> Column:

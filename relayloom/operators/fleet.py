@@ -33,13 +33,14 @@ def route_to_nodes(messages: DataFrame, heartbeats: DataFrame, nodes: DataFrame,
 
     Heartbeats become validity intervals, until the node's next one or until it has been silent too
     long, and these a timeline of best nodes: one entry each time a node comes, goes or changes, worked
-    out in time buckets of ``silence`` seconds.  A message takes the last entry of its bucket before it, so a
+    out in time buckets of an interval's mean length, so that an interval is in two of them on average and a
+    bucket holds a few for each node.  A message takes the last entry of its bucket before it, so a
     row a message is sorted and none is multiplied by the nodes.
     """
     nxt = F.lead("ts").over(Window.partitionBy("node_id").orderBy("ts"))
-    width = silence * 1_000_000
     beat = heartbeats.select("node_id", F.unix_micros("ts").alias("a"), F.unix_micros(nxt).alias("n"), "load")
-    beat = beat.withColumn("b", F.least(F.coalesce("n", F.lit(1 << 62)), F.col("a") + width)).where("a < b")
+    beat = beat.withColumn("b", F.least(F.coalesce("n", F.lit(1 << 62)), F.col("a") + silence * 1_000_000)).where("a < b")
+    width = int(beat.agg(F.coalesce(F.ceil(F.avg(F.col("b") - F.col("a"))), F.lit(1))).first()[0])
     beat = beat.join(nodes.select("node_id", "registered_at"), "node_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
     comes = beat.select("bucket", F.greatest("a", F.col("bucket") * width).alias("at"))
     goes = beat.where(F.col("b") < (F.col("bucket") + 1) * width).select("bucket", F.col("b").alias("at"))
