@@ -179,13 +179,18 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
-    def word(self, w: str) -> list[str]:
-        """Restored words of one token; all but letters without a repeat may be a disguise and give all readings."""
+    def word(self, w: str, worth: Callable[[str], bool] | None = None) -> list[str]:
+        """Restored words of one token; all but letters without a repeat may be a disguise and give all readings.
+
+        Of a token of letters alone, whose readings differ by repeats only, ``worth`` may say that none matters.
+        """
         core = w.lower().strip(MARKS)
         if not core or (core.isalpha() and not _TWICE.search(core)):
             return [core] if core else []
         plain = core.rstrip("!$@|+(0123456789")
         if core.isalpha():
+            if worth is not None and not worth(core):
+                return [core]
             found = [core]
         else:
             found = [x for x in re.split(r"[\W\d_]+", core) if x]
@@ -327,23 +332,34 @@ def _scorer(model: Model, most_words: int = 400_000) -> Callable[[list[str]], li
     whole = {f[:-1] for f in model.weights if f[0] != "^"}
     coefficients = np.array(model.fit if model.fit is not None else [0.0] * 5)
 
+    starts = {begins(f) for f in model.weights}
+    single = {_RUNS.sub(r"\1", b) for b in starts}
+    heads = {w[:n] for w in whole for n in range(1, len(w))}
+
+    def worth(core: str) -> bool:
+        """Whether dropping repeats can give a word that begins like a weighed one."""
+        bare = _RUNS.sub(r"\1", core)
+        return any(bare[:n] in single for n in range(1, 5)) or len(core) > 24
+
     def weigh(words: list[str]) -> tuple[tuple[str, float], ...]:
         """Beginning and weight of those of a token's readings that weigh anything."""
-        found = {w[:4]: max(weights(f, 0.0) for f in features(w)) for w in words}
+        found: dict[str, float] = {}
+        for w in words:
+            if w[:4] in starts:
+                found[w[:4]] = max(found.get(w[:4], 0.0), *[weights(f, 0.0) for f in features(w)])
         return tuple((b, x) for b, x in found.items() if x > 0)
 
     class Known(dict):
         def __missing__(self, w: str) -> tuple[tuple[str, float], ...]:
-            self[w] = found = weigh(restore.word(w))
+            self[w] = found = weigh(restore.word(w, worth))
             return found
 
     known = Known()
 
     def apart(tokens: list[str]) -> list[str]:
-        """Weighed words that neighbouring tokens spell, where decoding reads them as one."""
-        two = list(map(str.__add__, tokens, tokens[1:]))
-        spelled = [(n, i, w) for n, row in ((2, two), (3, list(map(str.__add__, two, tokens[2:])))) for i, w in enumerate(row) if w in whole]
-        return [w for n, i, w in spelled if decode(" ".join(tokens[i : i + n]), restore.model) == w]
+        """Weighed words that two or three neighbouring tokens spell, where decoding reads them as one."""
+        spelled = [(i, n, "".join(tokens[i : i + n])) for i, t in enumerate(tokens) if t in heads for n in (2, 3)]
+        return [w for i, n, w in spelled if w in whole and decode(" ".join(tokens[i : i + n]), restore.model) == w]
 
     def rate(texts: list[str]) -> list[float]:
         if model.fit is None:
@@ -352,9 +368,9 @@ def _scorer(model: Model, most_words: int = 400_000) -> Callable[[list[str]], li
             known.clear()
         rows = []
         for text in texts:
-            plain, more = restore.tokens(text)
+            plain, more = restore.tokens(text.lower())
             held: dict[str, float] = {}
-            for found in (*filter(None, map(known.__getitem__, set(plain))), weigh(more + apart(text.lower().split()))):
+            for found in (*filter(None, map(known.__getitem__, set(plain))), weigh(more + apart(plain))):
                 for b, x in found:
                     if x > held.get(b, 0.0):
                         held[b] = x
@@ -389,4 +405,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for batch in pieces(batches, "text", 1 << 20):
             yield batch.filter(pa.array([x < threshold for x in rate([t or "" for t in batch.column("text").to_pylist()])], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # mapInArrow can't name every column
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
