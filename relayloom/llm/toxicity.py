@@ -351,7 +351,8 @@ def _scorer(model: Model, most_words: int = 400_000) -> Callable[[list[str]], li
 
     class Known(dict):
         def __missing__(self, w: str) -> tuple[tuple[str, float], ...]:
-            self[w] = found = weigh(restore.word(w, worth))
+            core = w.strip(MARKS)
+            self[w] = found = () if core.isalpha() and not worth(core) else weigh(restore.word(w, worth))
             return found
 
     known = Known()
