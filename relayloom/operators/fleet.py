@@ -42,9 +42,8 @@ def route_to_nodes(messages: DataFrame, heartbeats: DataFrame, nodes: DataFrame,
     beat = beat.withColumn("b", F.least(F.coalesce("n", F.lit(1 << 62)), F.col("a") + silence * 1_000_000)).where("a < b")
     width = int(beat.agg(F.coalesce(F.ceil(F.avg(F.col("b") - F.col("a"))), F.lit(1))).first()[0])
     beat = beat.join(nodes.select("node_id", "registered_at"), "node_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
-    comes = beat.select("bucket", F.greatest("a", F.col("bucket") * width).alias("at"))
-    goes = beat.where(F.col("b") < (F.col("bucket") + 1) * width).select("bucket", F.col("b").alias("at"))
-    points = comes.unionByName(goes).distinct()
+    ends = F.array(F.greatest("a", F.col("bucket") * width), F.when(F.col("b") < (F.col("bucket") + 1) * width, F.col("b")))  # where a node comes and goes
+    points = beat.select("bucket", F.explode(ends).alias("at")).where("at is not null").distinct()
     best = points.join(beat, "bucket").where("at >= a and at < b").groupBy("bucket", "at").agg(F.min(F.struct("load", "registered_at", "node_id")).alias("x"))
     timeline = points.join(best, ["bucket", "at"], "left").select("bucket", "at", F.struct("x").alias("entry"))  # x is null where no node is online
     m = messages.select("id", F.unix_micros("ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / width)).withColumn("asks", F.lit(True))
