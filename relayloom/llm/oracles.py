@@ -44,3 +44,30 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT r.a AS doc_id, coalesce(max(n), 0) AS n_shingles, min(b) AS component_id, min(b) = r.a AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
+RESAMPLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+fd AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM d, (SELECT unnest([1, 2, 3]) AS m)),
+fb AS (SELECT unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM b, (SELECT unnest([1, 2, 3]) AS m)),
+gd AS (SELECT doc_id, g, count(*) AS n FROM fd GROUP BY ALL), gb AS (SELECT g, count(*) AS n FROM fb GROUP BY ALL),
+tab(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tab WHERE k < 8),
+crc(g, h, i, c) AS (SELECT g, hex(encode(g)), 0, CAST(4294967295 AS BIGINT) FROM (SELECT g FROM gd UNION SELECT g FROM gb)
+ UNION ALL SELECT g, h, i + 1, xor(crc.c >> 8, t.c) FROM crc JOIN (SELECT i AS byte, c FROM tab WHERE k = 8) t ON t.byte = xor(crc.c & 255, CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)) WHERE 2 * i < length(h)),
+bucket AS (SELECT g, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * i = length(h)),
+s AS (SELECT bucket, sum(n) AS s FROM gd JOIN bucket USING (g) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM gb JOIN bucket USING (g) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+ FROM s FULL JOIN t USING (bucket)),
+wt AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM gd JOIN bucket USING (g) JOIN gain USING (bucket) GROUP BY doc_id),
+sc AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN wt USING (doc_id)),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (doc_id)"""
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT a, b, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT pos.a AS anchor_id, pos.b AS positive_id, CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY p.s DESC, p.b) AS INT) AS rank, p.b AS negative_id, pos.s AS positive_score, p.s AS negative_score
+FROM pos JOIN p ON p.a = pos.a AND NOT p.same AND 30 * pos.s <= 100 * p.s AND 100 * p.s <= 90 * pos.s QUALIFY rank <= 10"""

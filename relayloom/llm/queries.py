@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayloom.llm import decontaminate, fingerprints, lines, near, oracles, packing, pii, repeats, token_store, toxicity, warc
+from relayloom.llm import bpe, decontaminate, fingerprints, lines, near, negatives, oracles, packing, pii, repeats, resample, token_store, toxicity, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,12 +65,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    noisy = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(noisy, "id % 100 = 0", positives=5, negatives=10, least=30, most=90, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_pii, op3_line_dedup, op4_warc, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_store, op2_pii, op3_line_dedup, op4_warc, op5_decontamination, op6_substring_dedup, op7_packing, op8_fingerprints, op9_near_dedup, op10_toxicity, op11_resample, op12_bpe, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
     return {
         "op3_line_dedup": oracles.LINE_DEDUP, "op4_warc": oracles.WARC, "op5_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_near_dedup": oracles.NEAR_DEDUP,
+        "op11_resample": oracles.RESAMPLE, "op13_hard_negatives": oracles.HARD_NEGATIVES,
     }
