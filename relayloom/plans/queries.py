@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relayloom.functions import vocabulary as V
-from relayloom.operators import corpus, dialog, evaluate, fleet, privacy, rate, search, stats, text
+from relayloom.operators import corpus, dialog, evaluate, fleet, privacy, rate, search, stats, text, vector_index
+from relayloom.operators.shared import shared_folder
 from relayloom.plans.inputs import DOCS, EVENTS, MESSAGES, RECORDS, TURNS, WS, ascii_letters, ascii_letters_sql, docs, events, messages, records, table, turns
 from relayloom.sources import messages as wire
 from relayloom.streaming import jobs
@@ -509,9 +510,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM {_HITS} WHERE score > 0) WHERE r <= 5")
 def j6_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    d = d.join(corpus.keywords(d), "id", "left")
-    return search.keyword_search(_questions(spark, sf_dir), d, 5).select("query_id", "doc_id", F.col("score").cast("long").alias("score"))
+    return search.keyword_search(_questions(spark, sf_dir), docs(spark, sf_dir), 5).select("query_id", "doc_id", F.col("score").cast("long").alias("score"))
 
 
 @query("SELECT query_id, doc_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, d AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS r FROM (SELECT q.vec_id AS qid, v.vec_id AS vid, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) x JOIN embeddings q ON q.vec_id = x.qid JOIN embeddings v ON v.vec_id = x.vid) WHERE r <= 5")
@@ -521,6 +520,15 @@ def j7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(q, v, 5).select("query_id", "doc_id", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def j7_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    path = shared_folder(spark, "vector-index")
+    vector_index.build_index(v, path)
+    q = v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return vector_index.index_search(q, path, 10).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"SELECT sender, id FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY value DESC, id) AS r FROM {EVENTS}) WHERE r <= 3")
 def t1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(events(spark, sf_dir), 3, "sender", "value", "id").select("sender", "id")
