@@ -49,17 +49,45 @@ def split_blocked(messages: DataFrame, blocked: DataFrame) -> tuple[DataFrame, D
 
 
 def consented(requests: DataFrame, consents: DataFrame) -> DataFrame:
-    """Requests (phone_number, ts, categories) with an active, unexpired record of an overlapping category."""
-    c = consents.where("is_active").select(F.col("phone_number").alias("_phone"), "data_categories", "expires_at")
-    held = (F.col("phone_number") == F.col("_phone")) & (F.col("expires_at") > F.col("ts")) & F.arrays_overlap("data_categories", "categories")
-    return requests.join(c, held, "left_semi")
+    """Requests (phone_number, ts, categories) with an active, unexpired record of an overlapping category.
+
+    The latest expiry of each category decides, so a phone's records are one map by category before they meet a
+    request: a request meets one row, however many records and requests its phone has.
+    """
+    each = consents.where("is_active").select(F.col("phone_number").alias("_phone"), F.explode("data_categories").alias("_category"), "expires_at").where("_category is not null")
+    latest = each.groupBy("_phone", "_category").agg(F.max("expires_at").alias("until")).groupBy("_phone").agg(F.map_from_entries(F.collect_list(F.struct("_category", "until"))).alias("_until"))
+    held = (F.col("phone_number") == F.col("_phone")) & F.exists("categories", lambda c: F.try_element_at("_until", c) > F.col("ts"))
+    return requests.join(latest, held, "left_semi")
+
+
+def _sweep(requests: DataFrame, consents: DataFrame, record_at: str) -> DataFrame:
+    """Active records (at ``record_at``) and requests (at ts) in one table by phone and category: (phone, category, at, id, ts, record)."""
+    record = F.struct("granted_at", "consent_id", "expires_at")
+    c = consents.where("is_active").select(F.col("phone_number").alias("phone"), F.explode(F.array_distinct("data_categories")).alias("category"), F.col(record_at).alias("at"), record.alias("record"))
+    r = requests.select(F.col("phone_number").alias("phone"), F.explode(F.array_distinct("categories")).alias("category"), F.col("ts").alias("at"), "id", "ts")
+    return c.where("at is not null").unionByName(r, allowMissingColumns=True).where("phone is not null and category is not null")
 
 
 def consent_matches(requests: DataFrame, consents: DataFrame) -> DataFrame:
-    """(id, records): the active, unexpired records of an overlapping category that each request rests on, in order of grant."""
-    c = consents.where("is_active").select(F.col("phone_number").alias("_phone"), "data_categories", "expires_at", "granted_at", "consent_id")
-    held = (F.col("phone_number") == F.col("_phone")) & (F.col("expires_at") > F.col("ts")) & F.arrays_overlap("data_categories", "categories")
-    return requests.join(c, held).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("granted_at", "consent_id", "expires_at"))).alias("records"))
+    """(id, records): the active, unexpired records of an overlapping category that each request rests on, in order of grant.
+
+    No join: records by expiry and requests by time are swept from late to early, so that what has been met when a
+    request comes is what has not expired for it.  Beside the lists themselves the work is a sort.
+    """
+    late_first = Window.partitionBy("phone", "category").orderBy(F.desc("at"), F.col("id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = _sweep(requests, consents, "expires_at").withColumn("records", F.collect_list("record").over(late_first)).where("id is not null and size(records) > 0")
+    return met.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("records")))).alias("records"))
+
+
+def consent_flags(requests: DataFrame, consents: DataFrame) -> DataFrame:
+    """(id, consented): whether a record that was granted by the time of the request covers it.
+
+    Grants and requests are swept in order of time with the latest expiry so far.
+    """
+    in_order = Window.partitionBy("phone", "category").orderBy("at", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = _sweep(requests, consents, "granted_at").withColumn("until", F.max("record.expires_at").over(in_order)).where("id is not null")
+    flags = swept.groupBy("id").agg(F.max(F.coalesce(F.col("until") > F.col("ts"), F.lit(False))).alias("consented"))
+    return requests.select("id").distinct().join(flags, "id", "left").select("id", F.coalesce("consented", F.lit(False)).alias("consented"))
 
 
 def grant(requests: DataFrame, expiry_days: int = 365) -> DataFrame:

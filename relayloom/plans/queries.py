@@ -223,9 +223,13 @@ def _consents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT r.id, string_agg(substring(md5(CAST(c.id AS VARCHAR)), 1, 8), ',' ORDER BY c.us, substring(md5(CAST(c.id AS VARCHAR)), 1, 8)) AS records FROM {EVENTS} r JOIN {EVENTS} c ON c.sender = r.sender AND c.id % 2 = 0 AND c.us + 259200000000 > r.us AND c.event_type = r.event_type GROUP BY r.id")
 def j2_consented_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = events(spark, sf_dir).select("id", F.col("sender").alias("phone_number"), "ts", F.array("event_type").alias("categories"))
-    consents = _consents(spark, sf_dir)
-    allowed = privacy.consented(requests, consents)
-    return privacy.consent_matches(allowed, consents).select("id", F.array_join(F.transform("records", lambda r: r["consent_id"]), ",").alias("records"))
+    return privacy.consent_matches(requests, _consents(spark, sf_dir)).select("id", F.array_join(F.transform("records", lambda r: r["consent_id"]), ",").alias("records"))
+
+
+@query(f"SELECT r.id, coalesce(bool_or(c.id IS NOT NULL), false) AS consented FROM {EVENTS} r LEFT JOIN {EVENTS} c ON c.sender = r.sender AND c.id % 2 = 0 AND c.us <= r.us AND c.us + 259200000000 > r.us AND c.event_type = r.event_type GROUP BY r.id")
+def j2_consent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = events(spark, sf_dir).select("id", F.col("sender").alias("phone_number"), "ts", F.array("event_type").alias("categories"))
+    return privacy.consent_flags(requests, _consents(spark, sf_dir))
 
 
 @query(f"SELECT sender AS phone_number, substring(md5(sender || ':' || event_type || ':' || us), 1, 8) AS consent_id, us // 1000000 + 31536000 AS expires, event_type = 'click' AS is_active FROM {EVENTS}")
