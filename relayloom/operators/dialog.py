@@ -10,34 +10,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayloom.functions import vocabulary as V
+from relayloom.operators.buckets import MICRO, before, bucket, carried, in_bucket
 from relayloom.operators.folds import fold_in_order
 from relayloom.operators.text import strip
 
 
-def sessions(turns: DataFrame, gap: int = 3600, key: str = "sender") -> DataFrame:
-    """Adds session, a number by sender that grows when the sender was idle for more than ``gap`` seconds."""
-    w = Window.partitionBy(key).orderBy("ts", "id")
-    idle = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) > gap * 1_000_000
-    return turns.withColumn("_new", F.coalesce(idle, F.lit(False)).cast("int")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def sessions(turns: DataFrame, gap: int = 3600, key: str = "sender", bucket_seconds: int = 86_400) -> DataFrame:
+    """Adds session, a number by sender that grows when the sender was idle for more than ``gap`` seconds.
+
+    A sender's turns are numbered in time buckets; from bucket to bucket go the last time and the number so far.
+    """
+    w = in_bucket(key)
+    idle = F.col("_us") - F.lag("_us").over(w) > gap * MICRO
+    df = turns.withColumn("_us", F.unix_micros("ts")).withColumn("_bucket", bucket(F.col("_us"), bucket_seconds))
+    df = df.withColumn("_new", F.coalesce(idle, F.lit(False)).cast("int")).withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = df.groupBy(key, "_bucket").agg(F.min("_us").alias("first"), F.max("_us").alias("last"), F.max("_nth").alias("new"))
+    fresh = F.coalesce(F.col("first") - F.last("last", ignorenulls=True).over(before(key)) > gap * MICRO, F.lit(False)).cast("int")
+    each = each.withColumn("fresh", fresh)
+    earlier = F.coalesce(F.sum(F.col("new") + F.col("fresh")).over(before(key)), F.lit(0)) + F.col("fresh")
+    return carried(df, each, key, {"_earlier": earlier}).withColumn("session", F.col("_earlier") + F.col("_nth")).drop("_us", "_bucket", "_new", "_nth", "_earlier")
 
 
 def last_turns(turns: DataFrame, n: int = 10, key: str = "sender") -> DataFrame:
-    """The newest ``n`` turns of each sender's session."""
+    """The newest ``n`` turns of each sender's session; Spark keeps n a session in each task before it shuffles."""
     w = Window.partitionBy(key, "session").orderBy(F.desc("ts"), F.desc("id"))
     return turns.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def visible_history(turns: DataFrame, n: int = 10, key: str = "sender") -> DataFrame:
+def visible_history(turns: DataFrame, n: int = 10, key: str = "sender", bucket_seconds: int = 86_400) -> DataFrame:
     """Adds history: the up to ``n`` turns before each one in its session and since the last ``/reset``.
 
-    Turns have id, ts, content, reply and reset (true for a turn that clears the history).
+    Turns have id, ts, content, reply and reset (true for a turn that clears the history).  A sender's turns are cut
+    to time buckets; from bucket to bucket go the number of resets so far and the newest ``n`` turns.
     """
-    w = Window.partitionBy(key).orderBy("ts", "id")
-    part = F.sum(F.coalesce(F.col("reset"), F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = turns.withColumn("_part", part)
-    before = Window.partitionBy(key, "session", "_part").orderBy("ts", "id").rowsBetween(-n, -1)
-    turn = F.when(~F.coalesce(F.col("reset"), F.lit(False)), F.struct(F.col("content").alias("user"), F.col("reply").alias("assistant")))
-    return df.withColumn("history", F.collect_list(turn).over(before)).drop("_part")
+    w = in_bucket(key)
+    reset = F.coalesce(F.col("reset"), F.lit(False))
+    turn = F.when(~reset, F.struct(F.col("content").alias("user"), F.col("reply").alias("assistant")))
+    df = turns.withColumn("_bucket", bucket(F.unix_micros("ts"), bucket_seconds))
+    df = df.withColumns({"_resets": F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_turn": turn})
+    newest = Window.partitionBy(key, "_bucket").orderBy(F.desc("ts"), F.desc("id"))
+    tail = df.select(key, "_bucket", "session", "_resets", "_turn", F.row_number().over(newest).alias("_r")).where(F.col("_r") <= n)
+    each = tail.groupBy(key, "_bucket").agg(F.max("_resets").alias("resets"), F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("at"), "session", "_resets", "_turn"))).alias("tail"))
+    each = each.withColumn("earlier", F.coalesce(F.sum("resets").over(before(key)), F.lit(0)))
+    each = each.withColumn("tail", F.transform("tail", lambda x: F.struct(x["session"].alias("session"), (x["_resets"] + F.col("earlier")).alias("part"), x["_turn"].alias("turn"))))
+    carry = {"_earlier": F.col("earlier"), "_tail": F.flatten(F.collect_list("tail").over(before(key).rowsBetween(-n, -1)))}
+    df = carried(df, each, key, carry).withColumn("_part", F.col("_earlier") + F.col("_resets"))
+    mine = Window.partitionBy(key, "_bucket", "session", "_part").orderBy("ts", "id")
+    df = df.withColumns({"_here": F.collect_list("_turn").over(mine.rowsBetween(-n, -1)), "_at": F.row_number().over(mine)})
+    same = F.filter("_tail", lambda x: x["session"].eqNullSafe(F.col("session")) & (x["part"] == F.col("_part")))
+    more = F.greatest(F.lit(n + 1) - F.col("_at"), F.lit(0))  # turns that the bucket itself doesn't have
+    from_before = F.slice(same, F.greatest(F.size(same) - more + 1, F.lit(1)), more)
+    history = F.concat(F.array_compact(F.transform(from_before, lambda x: x["turn"])), F.col("_here"))
+    return df.withColumn("history", history).drop("_bucket", "_resets", "_turn", "_earlier", "_tail", "_part", "_here", "_at")
 
 
 def history_arrays(turns: DataFrame, key: str = "sender") -> DataFrame:
