@@ -31,6 +31,11 @@ from relayloom.llm.tokens import _Memo
 END = "﷐"
 #: Longer words are encoded but not remembered.
 MOST_REMEMBERED = 256
+#: Pairs of tokens whose compatibility a worker remembers.
+MOST_PAIRS = 1 << 19
+#: With this pattern ASCII letters, and marks without an apostrophe after them, are one piece each.
+LETTERS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 #: A normalizer and pre-tokenizer of these kinds treat the parts of a text between two spaces on their own.
 APART = ("NFC", "Replace", "Lowercase", "Split", "ByteLevel")
 
@@ -91,16 +96,26 @@ class PrefixCoder:
             if symbols and number not in self.merges.never and (number in made or len(symbols) == 1 + ends):  # what no merge makes is no token of a word
                 self.tokens.add_word(symbols, (len(symbols), number))
         self.tokens.make_automaton()
+        self.fits: dict[int, bool] = {}
+
+    def _fits(self, a: int, b: int) -> bool:
+        key = a << 32 | b
+        known = self.fits.get(key)
+        if known is None:
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()
+            known = self.fits[key] = self.merges.compatible(a, b)
+        return known
 
     def encode(self, word: str) -> list[int]:
         if not word:
             return []
         text = word + END if self.suffix else word
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        compatible = self.merges.compatible
+        fits = self._fits
         for at, (n, token) in self.tokens.iter(text):
             before, to = at + 1 - n, at + 1
-            if last[to] < 0 and (before == 0 or (last[before] >= 0 and compatible(last[before], token))):
+            if last[to] < 0 and (not before or (last[before] >= 0 and fits(last[before], token))):
                 last[to], size[to] = token, n
         out, at = [], len(text)
         while at:
@@ -130,6 +145,7 @@ class Codec:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
         parts = [*_kinds(spec["normalizer"], "normalizers"), *_kinds(spec["pre_tokenizer"], "pretokenizers")]
         self.apart = all(kind in APART for kind in parts) and "Split" in parts
+        self.plain = parts == [*APART] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": LETTERS_AND_MARKS}
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.names = pa.array([names.get(i, "") for i in range(max(names, default=-1) + 1)], pa.string())
         self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
@@ -140,6 +156,8 @@ class Codec:
     def _word(self, text: str) -> bytes:
         """Ids of a text, usually one between two spaces: added tokens cut out, the rest normalized and cut to words."""
         normal, known, out = self.tokenizer.normalizer, self.pieces, []
+        if self.plain and (plain := _PLAIN_WORD.fullmatch(text)) and len(text) <= MOST_REMEMBERED:
+            return known[plain[1].lower()] + known[plain[2]]
         for part in self.cut(text):
             if part in self.added:
                 out.append(array("I", [self.added[part]]).tobytes())
