@@ -22,7 +22,8 @@ _WORD, _PLAIN, _STOP = re.compile(r"\w+"), re.compile("[a-z]{3,}"), frozenset(V.
 
 def frequent_words(text: str, most: int = 10) -> list[str]:
     """A lower-case text's most frequent words of three ASCII letters or more that are no stop words, ties by first place."""
-    return [w for w, _ in Counter(w for w in _WORD.findall(text) if _PLAIN.fullmatch(w) and w not in _STOP).most_common(most)]
+    counted = [(n, w) for w, n in Counter(_WORD.findall(text)).items() if w not in _STOP and _PLAIN.fullmatch(w)]
+    return [w for _, w in sorted(counted, key=lambda x: -x[0])[:most]]
 
 
 def _automaton(words: Iterable[str]):
@@ -54,7 +55,10 @@ class QueryIndex:
             for w in q.split():
                 of_word.setdefault(w, []).append(i)
         as_array = lambda lists: [np.array(x, dtype=np.int64) for x in lists]
-        self.words, self.by_word = _automaton(of_word), as_array(of_word.values())
+        self.words = _automaton(of_word)
+        self.n_postings = np.array([len(x) for x in of_word.values()], dtype=np.int64)
+        self.postings = np.array([i for x in of_word.values() for i in x], dtype=np.int64)
+        self.first_posting = np.cumsum(self.n_postings) - self.n_postings
         self.phrases, self.by_phrase, self.said = _automaton(of_phrase), as_array(of_phrase.values()), list(of_phrase)
         grams: dict[str, list[int]] = {}
         for number, q in enumerate(self.said):
@@ -90,16 +94,19 @@ class QueryIndex:
 
     def scores(self, title: str, text: str, keywords: list[str], category: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(queries, points) of all queries of the category that get any."""
-        at = [self.by_word[w] for w in {w for _, w in self.words.iter(text)}]
-        points = [1] * len(at)
+        held = {w for _, w in self.words.iter(text)}
+        words = np.fromiter(held, dtype=np.int64, count=len(held))
+        n = self.n_postings[words]
+        at = [self.postings[np.repeat(self.first_posting[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+        points = [1]
         more = [(self.overlaps(x), KEYWORD) for x in keywords]
         more += [(self.by_phrase[n], TITLE) for n in {n for _, n in self.phrases.iter(title)}]
         more += [(self.by_phrase[n], PHRASE * times) for n, times in self._times(text).items()]
         at += [x for x, _ in more]
         points += [x for _, x in more]
-        if not at:
-            return _NONE, _NONE
         flat, each = np.concatenate(at), np.repeat(points, [len(x) for x in at])
+        if not len(flat):
+            return _NONE, _NONE
         if 8 * len(flat) < self.n:
             found, back = np.unique(flat, return_inverse=True)
             total = np.bincount(back, each)

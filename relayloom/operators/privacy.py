@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relayloom.functions import vocabulary as V
 from relayloom.operators.rate import admission
+from relayloom.operators.shared import kept
 
 
 def pii_scan(df: DataFrame, content: str = "content") -> DataFrame:
@@ -118,12 +119,14 @@ def message_verdicts(messages: DataFrame, blocklist: DataFrame, limits: list[tup
     """(id, sender, ts, risk_level, blocked, within_limits, recorded, reason, valid) of (id, sender, ts, content).
 
     Blocked senders never reach the rate limit; a high-risk message is checked against it but not
-    recorded, so only valid messages use up the budget.
+    recorded, so only valid messages use up the budget.  Every text is screened once, in its own task; what is written
+    and dealt by sender afterwards is its risk alone.
     """
     scanned = pii_scan(messages.select("id", "sender", "ts", "content")).select("id", "sender", "ts", "risk_level", (F.col("risk_level") != "high").alias("_recordable"))
-    rejected, passed = split_blocked(scanned, blocklist)
-    admitted = admission(passed, limits, recordable="_recordable").withColumn("blocked", F.lit(False))
-    refused = rejected.withColumns({"within_limits": F.lit(True), "recorded": F.lit(False), "blocked": F.lit(True)})
+    keys = blocklist.select(F.col("phone_number").alias("sender")).distinct().withColumn("_listed", F.lit(True))
+    screened = kept(scanned.join(keys, "sender", "left").withColumn("blocked", F.coalesce("_listed", F.lit(False))).drop("_listed"), "screened")
+    admitted = admission(screened.where("not blocked"), limits, recordable="_recordable")
+    refused = screened.where("blocked").withColumns({"within_limits": F.lit(True), "recorded": F.lit(False)})
     return verdict(admitted.unionByName(refused)).drop("_recordable")
 
 

@@ -83,3 +83,51 @@ def test_a_hot_sender_takes_more_than_one_task(spark, turns):
     finally:
         for name, value in (("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "3"), ("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))):
             spark.conf.set(name, value)
+
+
+def plain_admission(rows, limits, edge=False):
+    """(id -> within, recorded) by one fold a sender over (id, sender, ts, ok)."""
+    out, folds = {}, {}
+    for i, sender, ts, ok in sorted(rows, key=lambda r: (r[2] is None, r[2] or T0, r[0])):
+        if ts is None:
+            out[i] = (True, bool(ok))
+        else:
+            fold = folds.setdefault(sender, rate.Limiter(limits, edge))
+            out[i] = fold.step(round((ts - T0).total_seconds() * 1_000_000), bool(ok))
+    return out
+
+
+@pytest.mark.parametrize("edge", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_admission_in_pieces_is_the_single_fold(spark, seed, edge):
+    r = random.Random(seed)
+    limits = [(10, 2), (30, 4)]
+    # Every 7 seconds or so without a pause: a limit of 2 in 10 seconds keeps a rhythm that a wrong begin would shift for good.
+    hot = [(i, "hot", T0 + dt.timedelta(seconds=r.choice([3, 7]) * i * (0.5 if seed else 1)), r.random() < 0.9) for i in range(400)]
+    more = [(1000 + i, r.choice(["a", "b", "", None]), r.choice([None, T0 + dt.timedelta(seconds=r.randrange(2000) / 2)]), r.choice([True, None])) for i in range(200)]
+    rows = hot + more
+    df = spark.createDataFrame(rows, "id long, sender string, ts timestamp, ok boolean").repartition(4)
+    got = rate.admission(df, limits, recordable="ok", edge=edge, piece_windows=2, piece_rows=r.choice([0, 100]))
+    assert {x.id: (x.within_limits, x.recorded) for x in got.collect()} == plain_admission(rows, limits, edge)
+    assert got.columns == [*df.columns, "within_limits", "recorded"]
+
+
+def test_a_run_without_a_pause_is_folded_in_several_tasks(spark):
+    df = spark.range(2000).select("id", F.lit("hot").alias("sender"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = rate.admission(df, [(10, 3)], piece_windows=8, piece_rows=1000)
+        spread = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(spread) > 1 and got.where("recorded").count() == 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_texts_are_screened_once(spark):
+    from relayloom.operators import privacy
+
+    m = spark.createDataFrame([(i, "a", T0 + dt.timedelta(seconds=i), "call 555-123-4567") for i in range(30)], "id long, sender string, ts timestamp, content string")
+    blocked = spark.createDataFrame([("b", "spam")], "phone_number string, reason string")
+    got = privacy.message_verdicts(m, blocked, [(60, 2)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and got.where("valid").count() == 2
