@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +34,69 @@ def fleet_summary(nodes: DataFrame) -> DataFrame:
     )
 
 
+_ROUTED = "id {}, node_id string, load double"
+_DEALT = "part int, at long, kind int, id {}, until long, load double, since long, node_id string"
+
+
 def route_to_nodes(messages: DataFrame, heartbeats: DataFrame, nodes: DataFrame, silence: int = 60) -> DataFrame:
     """(id, node_id, load): as of each message's time, the online node of least load, ties to the first registered.
 
-    Heartbeats become validity intervals, until the node's next one or until it has been silent too
-    long, and these a timeline of best nodes: one entry each time a node comes, goes or changes, worked
-    out in time buckets of an interval's mean length, so that an interval is in two of them on average and a
-    bucket holds a few for each node.  A message takes the last entry of its bucket before it, so a
-    row a message is sorted and none is multiplied by the nodes.
+    Heartbeats become validity intervals, until the node's next one or until it has been silent too long.  Quantiles of
+    all times, one a task, cut time to parts; a message goes to the part of its time (if many share an instant that
+    is several cuts at once, to any part between those), an interval to each part that it reaches.  In a part both are
+    swept in order of time over a heap of the nodes that are online, so a message meets one node and a busy
+    minute is the work of many tasks.  A message without a time has no node.
     """
-    nxt = F.lead("ts").over(Window.partitionBy("node_id").orderBy("ts"))
-    beat = heartbeats.select("node_id", F.unix_micros("ts").alias("a"), F.unix_micros(nxt).alias("n"), "load")
-    beat = beat.withColumn("b", F.least(F.coalesce("n", F.lit(1 << 62)), F.col("a") + silence * 1_000_000)).where("a < b")
-    width = int(beat.agg(F.coalesce(F.ceil(F.avg(F.col("b") - F.col("a"))), F.lit(1))).first()[0])
-    beat = beat.join(nodes.select("node_id", "registered_at"), "node_id").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
-    ends = F.array(F.greatest("a", F.col("bucket") * width), F.when(F.col("b") < (F.col("bucket") + 1) * width, F.col("b")))  # where a node comes and goes
-    points = beat.select("bucket", F.explode(ends).alias("at")).where("at is not null").distinct()
-    best = points.join(beat, "bucket").where("at >= a and at < b").groupBy("bucket", "at").agg(F.min(F.struct("load", "registered_at", "node_id")).alias("x"))
-    timeline = points.join(best, ["bucket", "at"], "left").select("bucket", "at", F.struct("x").alias("entry"))  # x is null where no node is online
-    m = messages.select("id", F.unix_micros("ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / width)).withColumn("asks", F.lit(True))
-    both = m.unionByName(timeline.withColumn("asks", F.lit(False)), allowMissingColumns=True)
-    seen = F.last("entry", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("entry", seen).where("asks").select("id", "entry.x.node_id", "entry.x.load")
+    spark = messages.sparkSession
+    nxt = F.lead("at").over(Window.partitionBy("node_id").orderBy("at"))
+    beat = heartbeats.select("node_id", F.unix_micros("ts").alias("at"), F.col("load").cast("double").alias("load")).where("at is not null")
+    beat = beat.withColumn("until", F.least(F.coalesce(nxt, F.lit(1 << 62)), F.col("at") + silence * 1_000_000)).where("at < until")
+    beat = beat.join(nodes.select("node_id", F.col("registered_at").cast("long").alias("since")), "node_id").withColumn("kind", F.lit(0))
+    kind = dict(messages.dtypes)["id"]
+    asked = messages.select("id", F.unix_micros("ts").alias("at"), F.lit(1).alias("kind"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.lit([(i + 1) / n for i in range(n - 1)] or [0.5])
+    cuts = np.array(asked.agg(F.percentile_approx("at", shares)).first()[0] or [], dtype=np.int64)  # a number a task
+    columns = ["part", "at", "kind", "id", "until", "load", "since", "node_id"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, until = (pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in ("at", "until"))
+            is_beat = batch.column("kind").to_numpy() == 0
+            first = np.searchsorted(cuts, at, "left")
+            last = np.searchsorted(cuts, np.where(is_beat, until - 1, at), "right")
+            times = np.where(is_beat, last - first + 1, 1)
+            row = np.repeat(np.arange(len(at)), times)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            part = first[row] + np.where(is_beat[row], step, row % (last - first + 1)[row])
+            out = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[out.column(c) for c in columns[1:]]], columns)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        online: list[tuple] = []
+        most = 1024
+        for batch in batches:
+            got: list[tuple] = []
+            keep = pc.equal(batch.column("kind"), 1)
+            for at, is_message, until, *entry in zip(*[batch.column(c).to_pylist() for c in ("at", "kind", "until", "load", "since", "node_id")], strict=True):
+                if not is_message:
+                    heapq.heappush(online, (*_rank(*entry), until))
+                    if len(online) > most:  # what is over below the top goes as well
+                        online = [x for x in online if x[-1] > at]
+                        heapq.heapify(online)
+                        most = max(1024, 2 * len(online))
+                    continue
+                while online and at is not None and online[0][-1] <= at:
+                    heapq.heappop(online)
+                got.append((online[0][5], online[0][1]) if online and at is not None else (None, None))
+            ids = batch.column("id").filter(keep)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "node_id", "load"])
+
+    both = beat.unionByName(asked, allowMissingColumns=True).select("at", "kind", "id", "until", "load", "since", "node_id")
+    dealt = both.mapInArrow(deal, _DEALT.format(kind)).repartitionById(n, "part").sortWithinPartitions("at", "kind")
+    return dealt.mapInArrow(sweep, _ROUTED.format(kind))
+
+
+def _rank(load: float | None, since: int | None, node_id: str) -> tuple:
+    """What orders nodes: Spark's order of (load, since, node_id), null before any number."""
+    return (load is not None, load, since is not None, since, "", node_id)
