@@ -101,3 +101,21 @@ def test_warc(docs):
     pages = docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("url", F.lit(None).cast("string"))
     got = warc.archive_round_trip(pages).withColumnRenamed("page_id", "doc_id")
     assert ids(got) == EVERY and warc.archive_round_trip(pages.where("false")).count() == 0
+
+
+def test_stages_of_the_pipeline(spark, docs, labels, tmp_path):
+    """Odd and clashing columns, the operators' own result names among them, go through all five stages unchanged."""
+    import corpus_pipeline
+
+    docs = docs.withColumns({"n_dropped": F.lit(8), "kept_text": F.lit("mine"), "kept": F.lit("k"), "contaminated": F.lit("c"), "score": F.lit(3), "n_chars": F.lit(-1).cast("long")})
+    docs = docs.select("*", F.lit("dotted").alias("a.b"))
+    labels.where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such words anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    values = lambda df: {tuple(r[c] for c in own) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        assert ids(got) == EVERY and values(got) == values(docs), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 6
