@@ -3,30 +3,31 @@
 Base spans: e-mail, ip, card and phone patterns, leftmost and non-overlapping for each kind;
 matches that fail their check (parts of an address over 255, Luhn, digit counts) are dropped.
 
-Terms: a protected entity is a distinct base match.  Over the whole texts of the corpus, a term t
-discloses an entity e by the share of e's information that t carries,
-PMI(t, e) / IC(e) = 1 - log p(e | t) / log p(e), where p(e | t) is the share of the documents with t
-that hold e.  Terms are all words of letters and digits outside of what looks like a base match.
-A pair counts if chance does not explain it: the different texts with both (copies of one text prove
-nothing) times PMI must reach log(P / ``chance``) for the P pairs that are tested, so the bar grows
-with the corpus.  In documents with e, terms at or over ``generalise`` become a placeholder, those at
-or over ``remove`` go.
-
-Entities, pairs and term counts come from all documents; each is counted before it is joined.  What is
-broadcast is counted before (BROADCAST_ROWS) and joins by a shuffle beyond that.  Null texts are empty.
+Terms: a protected entity is a distinct base match, and so is what a match belongs to (its kind, a mail domain, the head of
+a number).  Over the whole texts of the corpus, a term t discloses an entity e by the share of e's information that t
+carries, PMI(t, e) / IC(e) = 1 - log p(e | t) / log p(e).  p(e) is the share of documents that hold e, and p(e | t) that of
+the documents with t that also hold e, as if there were ``prior`` more documents with t that don't; so a rare word of the
+only text with an entity counts, but less than one that many of its texts share.  Terms are all words of letters and
+digits outside of what looks like a base match.  A term at or over ``generalise`` for any entity becomes a placeholder
+in every text of the corpus, one at or over ``remove`` goes.  What all documents hold carries no information and
+has no terms.
+
+Entities, pairs and term counts come from all documents; each is counted before it is joined.  Entities that stand in the
+same texts have the same terms and are one group, so a page of thousands of addresses is paired with its words once.
+What is broadcast is counted before, in rows and bytes (BROADCAST_ROWS, BROADCAST_BYTES), and joins by a shuffle beyond
+that, common words filtered out by a bitmap of fixed size.  Null texts are empty.
 Terms belong to a text, not to an id: rows with equal or null ``doc_id`` are rows of their own, and
 equal texts get equal spans.  An empty table gives none.  Further columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm.common import documents, drop_written, small, written
+from relayloom.llm.common import documents, drop_written, written
 
 #: The base kinds in order, with possessive forms of the patterns where that changes no match.
 KINDS = ("email", "ip", "card", "phone")
@@ -39,10 +40,12 @@ PATTERNS = {
 #: What a text needs to be worth a search for the kind.
 NEEDS = {"email": F.contains, "ip": F.rlike, "card": F.rlike, "phone": F.contains}
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"  # of a part that has a digit; all may be zeros
 NO_WORD = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<start: int, end: int, kind: string, text: string>>"
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bits of the filter of terms.
+BITMAP = 1 << 22
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -112,44 +115,68 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["text"])).otherwise(F.lower(span["text"])))
 
 
+def entities(span: Column) -> Column:
+    """The entity of a base match, and the classes it belongs to: its kind, and a mail domain or the head of a number."""
+    kind, digits = span["kind"], _digits(span["text"])
+    head = F.when(kind == "email", F.lower(F.substring_index(span["text"], "@", -1))).when(kind == "ip", F.substring_index(span["text"], ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(entity(span), F.concat(kind, F.lit(" of "), head), F.concat(kind, F.lit("s")))
+
+
 def holders(docs: DataFrame) -> DataFrame:
     """(text_hash, entities, words) of documents that may hold base spans; the words are distinct and in lower case."""
     likely = F.lit(False)
     for kind in KINDS:
         likely = likely | NEEDS[kind](F.col("text"), F.lit(NEEDED[kind]))
     outside = F.regexp_replace("text", "|".join(f"(?:{PATTERNS[k]})" for k in KINDS), "\n")
-    return base_spans(documents(docs).where(likely)).select(F.md5(F.col("text").cast("binary")).alias("text_hash"), F.array_distinct(F.transform("base", entity)).alias("entities"), _words(outside).alias("words"))
+    named = F.array_distinct(F.flatten(F.transform("base", entities)))
+    return base_spans(documents(docs).where(likely)).where(F.size("base") > 0).select(F.md5(F.col("text").cast("binary")).alias("text_hash"), named.alias("entities"), _words(outside).alias("words"))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), NO_WORD)), lambda w: w != "")
 
 
-def _held(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
+def _held(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` for a broadcast if its rows, and the bytes of ``text`` in them, are few; counted, not guessed."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of (term, ...) joined with ``terms`` by term.  Beyond a broadcast's bounds, a bitmap drops nearly all other words before the shuffle."""
+    held = _held(terms, F.col("term"))
+    if held is terms:
+        bit = F.pmod(F.xxhash64("term"), F.lit(BITMAP))
+        bits = terms.select(F.floor(bit / 64).alias("_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(term), 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+        words = words.withColumn("_word", F.floor(bit / 64)).join(F.broadcast(bits), "_word")  # BITMAP / 64 rows at most
+        words = words.where(F.expr("_bits & shiftleft(1L, cast(pmod(xxhash64(term), 64) as int)) <> 0")).drop("_word", "_bits")
+    return words.join(held, "term")
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, generalise: float = 0.6, chance: float = 0.01) -> DataFrame:
-    """(entity, term, disclosure): terms whose share of an entity's information is at least ``generalise``, beyond chance."""
+def disclosing_terms(docs: DataFrame, held: DataFrame, generalise: float = 0.85, prior: float = 1.0) -> DataFrame:
+    """(term, entity_group, disclosure): terms whose share of an entity's information is at least ``generalise``.
+
+    ``entity_group`` stands for all entities that are held by the same texts.
+    """
     n_docs = docs.count()
-    seen = held.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count("*").alias("n"))
-    info = F.log(F.lit(max(n_docs, 1)) / F.col("n_entity"))
-    known = seen.groupBy("entity").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_entity")).where((F.col("n_texts") > 1) & (F.col("n_texts") * info >= -math.log(chance)))
-    known = written(known.select("entity", "n_entity"), "pii-entities")  # any other entity has no term that passes
-    pairs = held.select("text_hash", "words", F.explode("entities").alias("entity")).join(_held(known.select("entity")), "entity", "left_semi")
-    pairs = pairs.select("text_hash", "entity", F.explode("words").alias("term")).groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_both")).where("n_texts > 1"), "pii-pairs")
-    bar = math.log(max(pairs.count(), 1) / chance)
-    likely = written(pairs.join(_held(known), "entity").where(F.col("n_texts") * info >= bar), "pii-likely-pairs")  # p(e | t) is 1 at most
-    counted = docs.select(F.explode_outer(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    terms = written(likely.select("term").distinct(), "pii-terms")
-    counted = written(counted.join(_held(terms), "term"), "pii-term-counts")
-    gain = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) + info
-    told = likely.join(_held(counted), "term").where(F.col("n_texts") * gain >= bar)
-    return told.select("entity", "term", (gain / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
-
-
-def sanitise(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, chance: float = 0.01) -> DataFrame:
+    texts = written(held.groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words")), "pii-texts")
+    seen = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    group = F.md5(F.concat_ws(" ", F.count("*"), F.bit_xor(F.xxhash64("text_hash")), F.bit_xor(F.xxhash64(F.lit("2"), F.col("text_hash")))))
+    known = seen.groupBy("entity").agg(group.alias("entity_group"), F.sum("n").alias("n_entity")).where(F.col("n_entity") < n_docs)
+    groups = written(seen.join(known, "entity").select("text_hash", "entity_group", "n_entity").distinct(), "pii-groups")
+    # log p(e | t) must reach (1 - generalise) * log p(e), and p(e | t) is n_entity / (n_term + prior) at most
+    most = F.col("n_entity") * F.pow(F.lit(max(n_docs, 1)) / F.col("n_entity"), F.lit(1 - generalise)) - prior
+    bound = groups.agg(F.max(most)).first()[0] or 0
+    terms = texts.select(F.explode("words").alias("term")).distinct()
+    counted = docs.select(F.explode_outer(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= bound)
+    counted = written(counted.join(terms, "term", "left_semi"), "pii-term-counts")
+    pairs = _among(texts.select("text_hash", "n", F.explode("words").alias("term")), counted).join(groups, "text_hash").where(F.col("n_term") <= most)
+    pairs = pairs.groupBy("term", "n_term", "entity_group", "n_entity").agg(F.sum("n").alias("n_both"))
+    share = 1 - F.log(F.col("n_both") / (F.col("n_term") + prior)) / F.log(F.col("n_entity") / F.lit(float(max(n_docs, 1))))
+    return pairs.select("term", "entity_group", share.alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+
+def sanitise(docs: DataFrame, generalise: float = 0.85, remove: float = 0.95, prior: float = 1.0) -> DataFrame:
     """(doc_id, base, spans, sanitised): base spans, all spans with terms, and the text without them.
 
     Base spans become ``[KIND]``, generalised terms ``[term]``, removed ones nothing; where spans
@@ -157,13 +184,12 @@ def sanitise(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, chan
     """
     docs = documents(docs)
     held = written(holders(docs), "pii-holders")
-    told = written(disclosing_terms(docs, held, generalise, chance), "pii-disclosures")
-    by_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", F.col("disclosure").alias("d"))).alias("terms"))
-    owners = held.select("text_hash", F.explode("entities").alias("entity")).distinct()
-    own = owners.join(_held(by_entity), "entity").select("text_hash", F.explode("terms").alias("t")).groupBy("text_hash", "t.term").agg(F.max("t.d").alias("d"))
-    own = written(own.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told")), "pii-text-terms")
+    told = written(disclosing_terms(docs, held, generalise, prior).groupBy("term").agg(F.max("disclosure").alias("d")), "pii-disclosures")
     drop_written(held)
-    marked = base_spans(docs).withColumn("text_hash", F.md5(F.col("text").cast("binary"))).join(_held(own), "text_hash", "left")
+    text_hash = F.md5(F.col("text").cast("binary"))
+    own = _among(docs.select(text_hash.alias("text_hash"), F.explode(_words(F.col("text"))).alias("term")), told).groupBy("text_hash", "term").agg(F.first("d").alias("d"))
+    own = written(own.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("told")), "pii-text-terms")
+    marked = base_spans(docs).withColumn("text_hash", text_hash).join(_held(own, F.array_join(F.map_keys("told"), " ")), "text_hash", "left")
     # What looks like a base match is matched whole, so that no term is found inside of it.
     base_like = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
     pattern = F.concat(F.lit(base_like + r"|(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.array_sort(F.map_keys("told")), "|"), F.lit(r")(?![\p{L}\p{N}])"))

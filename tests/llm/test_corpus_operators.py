@@ -316,3 +316,72 @@ def test_pipeline(spark, docs, tmp_path):
     for parts in held.values():  # each token lies in exactly one piece
         parts.sort()
         assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))] and sum(p[1] for p in parts) == parts[0][2]
+
+
+def plain_disclosures(rows, generalise, prior):
+    """Terms and their greatest share of an entity's information, counted one by one."""
+    import math
+    import re
+
+    base = re.compile("|".join(f"(?:{p})" for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[\x20-]?[0-9]){11,}", r"\+[0-9][\x20().0-9-]+[0-9]")))
+    words = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    n, held = len(rows), {}
+    for i, text in rows:
+        for kind, a, b in brute.personal(text or ""):
+            said = text[a:b]
+            digits = re.sub("[^0-9]", "", said)
+            one = digits if kind in ("card", "phone") else said.lower()
+            head = {"email": said.rsplit("@")[-1].lower(), "ip": ".".join(said.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            for e in (f"{kind}:{one}", f"{kind} of {head}", f"{kind}s"):
+                held.setdefault(e, set()).add(i)
+    out = {}
+    texts = dict(rows)
+    for e, ids in held.items():
+        for t in set().union(*(words(base.sub("\n", texts[i])) for i in ids)):
+            if len(ids) < n:
+                both = sum(t in words(base.sub("\n", texts[i])) for i in ids)
+                share = 1 - math.log(both / (sum(t in words(x or "") for x in texts.values()) + prior)) / math.log(len(ids) / n)
+                if share >= generalise:
+                    out[t] = max(out.get(t, 0), share)
+    return out
+
+
+@pytest.mark.parametrize(("generalise", "most"), [(0.85, 200_000), (0.5, 0)])
+def test_pii_terms_are_those_of_the_counts(spark, monkeypatch, generalise, most):
+    import random
+
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
+    r = random.Random(9)
+    word = lambda: "w%d" % int(r.paretovariate(0.6))
+    private = ["ann@corp.com", "bob@corp.com", "joe@home.org", "10.0.0.7", "+1 212 555 0199 00", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(120):
+        text = [word() for _ in range(r.randrange(3, 25))]
+        if i % 4 == 0:
+            text.insert(2, r.choice(private))
+            text.append("Zanzibar" if "corp.com" in " ".join(text) else "x")
+        rows.append((i, " ".join(text)))
+    rows += [(500, "Zanzibar is at home"), (501, None), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_disclosures(rows, generalise, 1.0)
+    held = pii.holders(docs)
+    got = {x.term: x.d for x in pii.disclosing_terms(pii.documents(docs), held, generalise).groupBy("term").agg(F.max("disclosure").alias("d")).collect()}
+    assert got == pytest.approx(want) and len(want) > (5 if generalise < 0.8 else 0) and "zanzibar" in want
+    done = {x.doc_id: x for x in pii.sanitise(docs, generalise).collect()}
+    assert done[500].sanitised.split() == [w for w in ("[term]" if want["zanzibar"] < 0.95 else "", "is", "at", "home") if w]
+    for i, text in rows:
+        terms = [s.text.lower() for s in done[i].spans if s.kind == "term"]
+        assert set(terms) <= set(want) and (i < 500 or len(terms) == (i == 500))
+
+
+def test_pii_entities_seen_once(spark):
+    """A word that stands with an entity in the only text of either gives it away."""
+    rows = [(0, "Mail boss@corp.com in Zanzibar now")] + [(i, f"now some text number {i % 7} in here") for i in range(1, 400)]
+    got = {x.doc_id: x for x in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {s.text for s in got[0].spans if s.kind == "term"} == {"Mail", "Zanzibar"} and got[1].sanitised == rows[1][1]
+
+
+def test_pii_address_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "000.00.255.1", "256.0.0.1", "1.2.3.0256", "0255.1.2.3", "a 10.0.0.256 b", "255.255.255.255", "1.2.3.4.5.6.7.8", "100.20.00300.1"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute.personal(t) for i, t in enumerate(texts)} and len(got[0]) == len(got[1]) == 1
