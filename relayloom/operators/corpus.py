@@ -103,10 +103,17 @@ def sync_plan(docs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def index_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, change): added, removed or changed between two (id, content_hash) indexes."""
-    gone, come = before.select("id").subtract(after.select("id")), after.select("id").subtract(before.select("id"))
-    changed = after.join(come, "id", "left_anti").select("id", "content_hash").exceptAll(before.select("id", "content_hash")).select("id")
-    return gone.withColumn("change", F.lit("removed")).unionByName(come.withColumn("change", F.lit("added"))).unionByName(changed.withColumn("change", F.lit("changed")))
+    """(id, change): added, removed or changed between two (id, content_hash) indexes.
+
+    One aggregate over both: what each side says of an id is how often it stands there and a digest of its hashes,
+    whatever their order, so repeated ids are compared as a whole.
+    """
+    side = lambda df, name: df.select("id", "content_hash", F.lit(name).alias("side"))
+    both = side(before, "before").unionByName(side(after, "after"))
+    told = lambda name: F.struct(*[f(F.when(F.col("side") == name, F.col("content_hash"))).alias(n) for n, f in (("n", F.count), ("least", F.min), ("most", F.max))], F.bit_xor(F.when(F.col("side") == name, F.xxhash64("content_hash"))).alias("mix"))
+    seen = both.groupBy("id").agg(F.max(F.col("side") == "before").alias("was"), F.max(F.col("side") == "after").alias("stays"), told("before").alias("a"), told("after").alias("b"))
+    change = F.when(~F.col("was"), "added").when(~F.col("stays"), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return seen.select("id", change.alias("change")).where("change is not null")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -64,10 +64,36 @@ def visible_history(turns: DataFrame, n: int = 10, key: str = "sender", bucket_s
     return df.withColumn("history", history).drop("_bucket", "_resets", "_turn", "_earlier", "_tail", "_part", "_here", "_at")
 
 
+def history_blocks(turns: DataFrame, size: int = 256, key: str = "sender", bucket_seconds: int = 86_400) -> DataFrame:
+    """(sender, block, first_ts, last_ts, n, turns): each sender's turns in order, ``size`` in a row as {role, content}.
+
+    Turns are numbered in time buckets, with the number of turns in the buckets before carried over; so neither a row nor
+    a task holds more of a busy sender than a block or a bucket.
+    """
+    df = turns.withColumn("_bucket", bucket(F.unix_micros("ts"), bucket_seconds)).withColumn("_nth", F.row_number().over(in_bucket(key)))
+    each = df.groupBy(key, "_bucket").agg(F.count("*").alias("n"))
+    df = carried(df, each, key, {"_earlier": F.coalesce(F.sum("n").over(before(key)), F.lit(0))}).withColumn("_at", F.col("_earlier") + F.col("_nth") - 1)
+    block = F.floor(F.col("_at") / F.lit(size)).cast("long")
+    said = F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), "role", "content")))
+    grouped = df.groupBy(key, block.alias("block")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), said.alias("turns"))
+    return grouped.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+
+
+def newest_history(blocks: DataFrame, n: int = 10, size: int = 256, key: str = "sender") -> DataFrame:
+    """(sender, history): the newest ``n`` turns of each sender, from its newest blocks (of ``size`` turns) alone.
+
+    All blocks but a sender's last are full, so as many as hold ``n`` turns and one more are enough.
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc("block"))
+    few = blocks.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= -(-n // size) + 1)
+    joined = few.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "turns"))), lambda b: b["turns"])).alias("all"))
+    return joined.select(key, F.slice("all", F.greatest(F.size("all") - n + 1, F.lit(1)), n).alias("history"))
+
+
 def history_arrays(turns: DataFrame, key: str = "sender") -> DataFrame:
-    """(sender, history): all turns in order as an array of {role, content}."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "role", "content")))
-    return turns.groupBy(key).agg(F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history"))
+    """(sender, history): all turns in order as an array of {role, content}, its blocks joined; for senders whose history fits a row."""
+    blocks = history_blocks(turns, key=key)
+    return blocks.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "turns"))), lambda b: b["turns"])).alias("history"))
 
 
 _CLUE = re.compile(r"clue\s*(\d+)")

@@ -327,6 +327,20 @@ def a12_history_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sender", F.size("history").cast("long").alias("n"), F.md5(F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("history"))
 
 
+@query(f"""SELECT sender, block, count(*) AS n, md5(string_agg(role || ':' || content, '|' ORDER BY us, id)) AS turns
+ FROM (SELECT *, (row_number() OVER (PARTITION BY sender ORDER BY us, id) - 1) // 3 AS block FROM {TURNS}) GROUP BY sender, block""")
+def a12_history_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = dialog.history_blocks(turns(spark, sf_dir), 3)
+    return b.select("sender", "block", "n", F.md5(F.array_join(F.transform("turns", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("turns"))
+
+
+@query(f"""SELECT sender, count(*) AS n, md5(string_agg(role || ':' || content, '|' ORDER BY us, id)) AS history
+ FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY us DESC, id DESC) AS r FROM {TURNS}) WHERE r <= 5 GROUP BY sender""")
+def p14_newest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = dialog.newest_history(dialog.history_blocks(turns(spark, sf_dir), 3), 5, 3)
+    return h.select("sender", F.size("history").cast("long").alias("n"), F.md5(F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["role"], x["content"])), "|")).alias("history"))
+
+
 _INTRO = "Find the clues."
 _CLUES = [{"id": i, "clue": f"Clue {i}", "answer_pattern": p, "success": f"Right, {i} solved.", "hint": f"Hint {i}"} for i, p in enumerate(("click|view", "purchase", "login|signup"), 1)]
 

@@ -7,11 +7,13 @@ watermark are dropped by Spark before they reach a processor.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -53,6 +55,27 @@ def start_router(records: DataFrame, good_path: str, dead_path: str, checkpoint:
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def start_router_table(records: DataFrame, path: str, checkpoint: str, **trigger: object):
+    """Decode, understand, screen and write to one table by Spark's own file sink, dead letters in the partition readable=false.
+
+    The sink's commit log makes each batch visible as a whole and once, over restarts.  It knows batches by number, so a
+    query has a folder of its own, named by its checkpoint: another query on the same table adds to it.
+    """
+    decoded = understood(decode(records).withColumn("failed_at", F.when(~F.col("ok"), F.current_timestamp()))).drop("detected")
+    table = decoded.withColumnRenamed("ok", "readable").withColumn("raw", F.when(~F.col("readable"), F.col("raw")))
+    folder = f"{path}/query-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    writer = table.writeStream.format("parquet").partitionBy("readable").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start(folder)
+
+
+def read_routed(spark: SparkSession, path: str) -> DataFrame:
+    """What the queries of ``start_router_table`` have committed to a table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted(f.getPath().toString() for f in files.listStatus(hadoop) if f.isDirectory() and f.getPath().getName().startswith("query-"))
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f) for f in folders]).withColumn("readable", F.col("readable").cast("boolean"))
+
+
 def traffic(messages: DataFrame, ts: str = "ts", kind: str = "message_type", length: str = "1 minute", slide: str | None = None, delay: str = DELAY) -> DataFrame:
     """Counts by window and type; with ``slide`` the windows overlap."""
     df = messages.withWatermark(ts, delay) if messages.isStreaming else messages
@@ -87,7 +110,7 @@ class Ordered(StatefulProcessor):
         for pdf in rows:
             for r in pdf.itertuples():
                 at = max(int(r.us) // 1000 + 1, now + 1)
-                held.setdefault(at, []).append((int(r.us), int(r.id), str(getattr(r, "content", "") or ""), str(getattr(r, "reply", "") or "")))
+                held.setdefault(at, []).append((int(r.us), int(r.id), str(getattr(r, "content", "") or ""), str(getattr(r, "reply", "") or ""), bool(getattr(r, "recordable", True))))
         for at, new in held.items():
             before = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
             self.waiting.updateValue((at,), (json.dumps(before + new),))
@@ -98,7 +121,8 @@ class Ordered(StatefulProcessor):
         at, out = expiredTimerInfo.getExpiryTimeInMs(), []
         if self.waiting.containsKey((at,)):
             blob, last = self.value.get() if self.value.exists() else ("", 0)
-            for us, i, content, reply in sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0]))):
+            for us, i, content, reply, recordable in sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0]))):
+                self.recordable = recordable
                 made, blob = self.fold(blob, us, content, reply)
                 last = max(last, us)
                 if made is not None:
@@ -120,17 +144,31 @@ class Ordered(StatefulProcessor):
 
 
 class Admission(Ordered):
-    """Rate admission by sender: state is the admitted times that may still count."""
+    """Rate admission by sender: state is the recorded times that may still count.
+
+    A message whose ``recordable`` is false is held against the limits but uses up none of them, as in the batch
+    operator; with ``recorded`` the rows say as well whether a message was recorded.
+    """
 
     columns = ["sender", "id", "within_limits"]
+    SCHEMA = "sender string, id long, within_limits boolean, recorded boolean"
 
-    def __init__(self, limits: list[tuple[int, int]]):
-        self.limits, self.keep = limits, max(s for s, _ in limits)
+    def __init__(self, limits: list[tuple[int, int]], recorded: bool = False):
+        self.limits, self.keep, self.tells = limits, max(s for s, _ in limits), recorded
+        if recorded:
+            self.columns = [*self.columns, "recorded"]
 
     def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
         kept = [t for t in json.loads(state or "[]") if us - t < self.keep * MICRO]
         within = all(sum(us - t < s * MICRO for t in kept) < most for s, most in self.limits)
-        return (within,), json.dumps([*kept, us] if within else kept)
+        recorded = within and self.recordable
+        return ((within, recorded) if self.tells else (within,)), json.dumps([*kept, us] if recorded else kept)
+
+
+def admitted(messages: DataFrame, limits: list[tuple[int, int]], delay: str = DELAY) -> DataFrame:
+    """A stream of Admission rows of (sender, id, ts, content): texts are screened first, and high-risk ones aren't recorded."""
+    screened = privacy.pii_scan(messages).withColumn("recordable", F.col("risk_level") != "high").select("sender", "id", "ts", "recordable")
+    return stateful(screened, Admission(limits, recorded=True), Admission.SCHEMA, delay=delay)
 
 
 class Hunting(Ordered):

@@ -131,3 +131,17 @@ def test_texts_are_screened_once(spark):
     got = privacy.message_verdicts(m, blocked, [(60, 2)])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan and got.where("valid").count() == 2
+
+
+def test_histories_in_blocks(spark, turns):
+    df = turns.withColumn("role", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"))
+    rows = sorted((r for r in df.collect()), key=lambda r: (r.ts is not None, r.ts or T0, r.id))
+    said = {}
+    for r in rows:
+        said.setdefault(r.sender, []).append((r.role, r.content))
+    blocks = dialog.history_blocks(df, 7, bucket_seconds=600)
+    got = {(b.sender, b.block): [tuple(t) for t in b.turns] for b in blocks.collect()}
+    assert got == {(s, n): t[7 * n : 7 * n + 7] for s, t in said.items() for n in range(-(-len(t) // 7))}
+    assert blocks.where("n > 7 or n <> size(turns)").count() == 0 and len(said["hot"]) > 100
+    assert {r.sender: [tuple(t) for t in r.history] for r in dialog.newest_history(blocks, 10, 7).collect()} == {s: t[-10:] for s, t in said.items()}
+    assert {r.sender: [tuple(t) for t in r.history] for r in dialog.history_arrays(df).collect()} == said

@@ -320,3 +320,12 @@ def test_consent_matches(spark):
     c = spark.createDataFrame([("x", "1", ["contact"], at(10), True, at(2)), ("y", "1", ["contact", "health"], at(99), True, at(1))], "consent_id string, phone_number string, data_categories array<string>, expires_at timestamp, is_active boolean, granted_at timestamp")
     q = spark.createDataFrame([(1, "1", at(5), ["contact"]), (2, "1", at(10), ["contact"]), (3, "1", at(5), ["other"])], "id long, phone_number string, ts timestamp, categories array<string>")
     assert {r.id: [x.consent_id for x in r.records] for r in privacy.consent_matches(q, c).collect()} == {1: ["y", "x"], 2: ["y"]}
+
+
+def test_index_changes_by_one_aggregate(spark):
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("d", "2"), (None, "1"), ("n", None)], "id string, content_hash string")
+    after = spark.createDataFrame([("b", "1"), ("c", "2"), ("d", "2"), ("d", "1"), ("e", "1"), (None, "2"), ("n", None)], "id string, content_hash string")
+    got = corpus.index_changes(before, after)
+    assert {(r.id, r.change) for r in got.collect()} == {("a", "removed"), ("c", "changed"), ("e", "added"), (None, "changed")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan

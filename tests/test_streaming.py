@@ -125,3 +125,37 @@ def test_deduplicated(rocks, tmp_path, rows):
     twice = rows + rows[:30]
     got = streamed(rocks, tmp_path, twice, lambda s: jobs.deduplicated(s, "ts", "2 hours")).where("sender <> 'zz'")
     assert got.count() == len(rows)
+
+
+def test_admission_with_risk_is_the_batch_rule(rocks, tmp_path, rows):
+    high = "Patient #12345 passport AB1234567 Card: 4111 1111 1111 1111"
+    said = [(i, s, ts, high if i % 3 == 0 else c) for i, s, ts, c in rows]
+    limits = [(60, 2), (600, 5)]
+    got = streamed(rocks, tmp_path, said, lambda s: jobs.admitted(s, limits)).where("sender <> 'zz'")
+    marked = jobs.understood(rocks.createDataFrame(said, SCHEMA)).withColumn("calm", F.col("risk_level") != "high")
+    want = {(r.id, r.within_limits, r.recorded) for r in rate.admission(marked, limits, recordable="calm").collect()}
+    assert {(r.id, r.within_limits, r.recorded) for r in got.collect()} == want
+    assert any(w and not r for _, w, r in want) and not all(w for _, w, _ in want)
+
+
+def test_router_table(rocks, tmp_path):
+    src, table = str(tmp_path / "src"), str(tmp_path / "table")
+    schema = "partition int, offset long, value string"
+    good = lambda said: '{"sender": "1", "content": "%s", "timestamp": "2024-01-01T00:00:00"}' % said
+
+    def run(checkpoint):
+        q = jobs.start_router_table(rocks.readStream.schema(schema).parquet(src), table, str(tmp_path / checkpoint), availableNow=True)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        return sorted((r.id, r.readable, r.content, r.raw) for r in jobs.read_routed(rocks, table).collect())
+
+    rocks.createDataFrame([(0, 0, good("fire")), (0, 1, "broken")], schema).coalesce(1).write.parquet(src)
+    first = [("0-0", True, "fire", None), ("0-1", False, "", "broken")]
+    assert run("cp") == first and run("cp") == first  # a restart writes nothing twice
+    rocks.createDataFrame([(0, 2, good("hello"))], schema).coalesce(1).write.mode("append").parquet(src)
+    more = [*first, ("0-2", True, "hello", None)]
+    assert run("cp") == more
+    assert run("other") == sorted(more * 2)  # another query adds to the table and loses nothing of it
+    routed = jobs.read_routed(rocks, table)
+    assert routed.where("id = '0-0'").first().message_type == "emergency" and routed.where("not readable and failed_at is null").count() == 0
+    assert routed.where("readable").inputFiles() and "readable" in routed._jdf.queryExecution().optimizedPlan().toString()
