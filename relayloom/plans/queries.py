@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relayloom.functions import vocabulary as V
 from relayloom.operators import corpus, dialog, evaluate, fleet, privacy, rate, search, stats, text, vector_index
-from relayloom.operators.shared import shared_folder
+from relayloom.operators.shared import kept, shared_folder
 from relayloom.plans.inputs import DOCS, EVENTS, MESSAGES, RECORDS, TURNS, WS, ascii_letters, ascii_letters_sql, docs, events, messages, records, table, turns
 from relayloom.sources import messages as wire
 from relayloom.streaming import jobs
@@ -564,6 +564,22 @@ def t2_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("document").alias("doc"), F.round("score", 6).alias("score"), F.col("metadata")["id"].cast("long").alias("id"))
 
 
+@query(f"""WITH k AS (SELECT query_id, doc_id, score FROM {_HITS} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3),
+ d AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 / (1 + list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings v),
+ v AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3),
+ s AS (SELECT x.*, text FROM (SELECT query_id, doc_id, score FROM v UNION ALL SELECT query_id, doc_id, least(score / 15, 1) FROM k) x JOIN {DOCS} USING (doc_id)),
+ g AS (SELECT query_id, sha256(text) AS key, min(text) AS text, max(score) AS score FROM s GROUP BY ALL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM g WHERE score >= 0.5 QUALIFY r <= 3),
+ b AS (SELECT query_id, max(score) FILTER (r = 1) AS best, max(text) FILTER (r = 1) AS top, string_agg(text, chr(10) || chr(10) ORDER BY r) AS context, count(*) AS n FROM t GROUP BY query_id)
+SELECT query_id, n, CASE WHEN best >= 0.7 AND length(top) <= 160 THEN 'direct' ELSE 'model' END AS route, md5(CASE WHEN best >= 0.7 AND length(top) <= 160 THEN top END) AS answer, md5(context) AS context FROM b""")
+def flow_hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = _questions(spark, sf_dir).join(v.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    hits = kept(search.hybrid_search(asked, docs(spark, sf_dir), v, 3), "hits")
+    routed = search.answer_route(hits).join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    return routed.select("query_id", "n", "route", F.md5("answer").alias("answer"), F.md5("context").alias("context"))
+
+
 @query("SELECT a.vec_id AS vec_id, b.vec_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0")
 def f2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

@@ -329,3 +329,10 @@ def test_index_changes_by_one_aggregate(spark):
     assert {(r.id, r.change) for r in got.collect()} == {("a", "removed"), ("c", "changed"), ("e", "added"), (None, "changed")}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
+
+
+def test_strip_takes_the_white_space_of_the_pattern(spark):
+    points = spark.range(0x3100).where("id not between 55296 and 57343").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"))
+    t = points.select(F.concat("c", F.lit("x y"), "c", "c").alias("t"))
+    plain = F.regexp_replace("t", rf"^{text.SPACES}+|{text.SPACES}+$", "")
+    assert t.where(~text.strip(F.col("t")).eqNullSafe(plain)).count() == 0 and t.where(F.length(text.strip(F.col("t"))) == 3).count() > 20
