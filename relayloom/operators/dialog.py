@@ -132,12 +132,13 @@ class Hunt:
         return self.rules[kind, state > 0](state, int(asked[1]) if asked else 0, said)
 
 
-def hunt_replies(messages: DataFrame, intro: str, clues: list[dict], ttl: int = 86_400, key: str = "sender") -> DataFrame:
+def hunt_replies(messages: DataFrame, intro: str, clues: list[dict], ttl: int = 86_400, key: str = "sender", bucket_seconds: int = 86_400) -> DataFrame:
     """(sender, id, ts, reply, state, next_state) of the messages that are part of the hunt.
 
-    HUNT always begins anew, so a sender's messages from one HUNT to the next are folded on their own, and
-    what can be neither a command nor an answer never reaches the fold.  A state older than ``ttl``
-    seconds is forgotten.
+    What can be neither a command nor an answer never reaches the fold.  A state older than ``ttl`` seconds is forgotten.
+    A sender's messages are cut to pieces at the first command of each time bucket: a command gets a reply in any
+    state.  Pieces are folded side by side from each of the few states there are; by sender, piece after piece, that tells
+    the state in which each one begins, and with it the pieces are folded once more for their replies.
     """
     said = F.lower(strip(F.coalesce("content", F.lit(""))))
     command = said.isin("hunt", "hint") | said.rlike(r"^(?U)clue\s*\d+")
@@ -145,32 +146,86 @@ def hunt_replies(messages: DataFrame, intro: str, clues: list[dict], ttl: int =
     for c in clues:
         answer = answer | said.rlike("(?i)" + c["answer_pattern"])
     kind = dict(messages.dtypes)
-    df = messages.select(key, "id", "ts", F.col("content").cast("string").alias("content")).where(command | answer)
-    round_ = F.count_if(said == "hunt").over(Window.partitionBy(key).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_round", round_).where(command | (F.col("_round") > 0))  # nobody answers before a HUNT
+    df = messages.select(key, "id", "ts", F.col("content").cast("string").alias("content"), command.alias("_command"))
+    df = df.where(F.col("_command") | answer).withColumn("_us", F.unix_micros("ts")).withColumn("_bucket", bucket(F.col("_us"), bucket_seconds))
+    so_far = in_bucket(key).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_first", F.col("_command") & (F.count_if("_command").over(so_far) == 1))
+    df = df.withColumn("_here", F.last(F.when(F.col("_first"), F.col("_us")), ignorenulls=True).over(so_far))
+    each = df.groupBy(key, "_bucket").agg(F.max(F.when(F.col("_first"), F.col("_us"))).alias("cut"))
+    df = carried(df, each, key, {"_earlier": F.last("cut", ignorenulls=True).over(before(key))})
+    df = df.select(key, "id", "ts", "content", F.col("_us").alias("us"), F.coalesce("_here", "_earlier", F.lit(-(1 << 62))).alias("piece"))
+    begins = _begins(df, intro, clues, ttl, key, kind[key])
+    both = df.withColumns({"kind": F.lit(1), "begin": F.lit(0)}).unionByName(begins.withColumn("kind", F.lit(0)), allowMissingColumns=True)
 
     def fold() -> Callable[[tuple], tuple | None]:
         hunt, state, touched = Hunt(intro, clues), 0, None
 
         def step(r: tuple) -> tuple | None:
             nonlocal state, touched
-            if touched is not None and (r.ts - touched).total_seconds() > ttl:
+            if r.kind == 0:
+                state = int(r.begin)
+                return None
+            if touched is not None and r.ts.value // 1000 - touched > ttl * MICRO:
                 state = 0
-            before = state
+            before_it = state
             reply, state = hunt.step(state, r.content or "")
             if reply is None:
                 return None
-            touched = r.ts
-            return (getattr(r, key), r.id, r.ts, reply, before, state)
+            touched = r.ts.value // 1000
+            return (getattr(r, key), int(r.id), r.ts, reply, before_it, state)
+
+        return step
+
+    return fold_in_order(both, [key, "piece"], ["kind", "ts", "id"], fold, f"{key} {kind[key]}, id {kind['id']}, ts timestamp, reply string, state int, next_state int")
+
+
+def _begins(rows: DataFrame, intro: str, clues: list[dict], ttl: int, key: str, key_type: str) -> DataFrame:
+    """(key, piece, begin): the state in which each piece begins."""
+    states = range(max((c["id"] for c in clues), default=0) + 2)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row a piece: its first time, and for each state it may begin in the state and reply time it ends with (0: none)."""
+        hunt, group, first = Hunt(intro, clues), None, 0
+        now: dict[tuple[int, int], list[int]] = {}  # (state, reply time): the states it comes from
+        done: list[tuple] = []
+
+        def finish() -> None:
+            if group is not None:
+                end = {s: x for x, of in now.items() for s in of}
+                done.append((*group, first, [end[s][0] for s in states], [end[s][1] for s in states]))
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                here, us = (getattr(r, key), int(r.piece)), int(r.us)
+                if here != group:
+                    finish()
+                    group, first, now = here, us, {(s, 0): [s] for s in states}
+                after: dict[tuple[int, int], list[int]] = {}
+                for (state, touched), of in now.items():
+                    state = 0 if touched and us - touched > ttl * MICRO else state
+                    reply, state = hunt.step(state, r.content or "")
+                    after.setdefault((state, us if reply is not None else touched), []).extend(of)
+                now = after
+            yield pd.DataFrame(done, columns=[key, "piece", "first", "states", "times"])
+            done.clear()
+        finish()
+        yield pd.DataFrame(done, columns=[key, "piece", "first", "states", "times"])
+
+    dealt = rows.where(F.col("us").isNotNull()).select(key, "piece", "us", "id", "content").repartition(key, "piece").sortWithinPartitions(key, "piece", "us", "id")
+    pieces = dealt.mapInPandas(ends, f"{key} {key_type}, piece long, first long, states array<int>, times array<long>")
+
+    def chain() -> Callable[[tuple], tuple | None]:
+        state, touched = 0, 0
+
+        def step(r: tuple) -> tuple:
+            nonlocal state, touched
+            begin = 0 if touched and r.first - touched > ttl * MICRO else state
+            state, touched = int(r.states[begin]), int(r.times[begin]) or touched
+            return (getattr(r, key), r.piece, begin)
 
         return step
 
-    made = fold_in_order(df.withColumnRenamed("_round", "round"), [key, "round"], ["ts", "id"], fold, f"{key} {kind[key]}, id {kind['id']}, ts timestamp, reply string, state int, next_state int")
-    # What a HUNT ended is the state that the reply before it left.
-    before = Window.partitionBy(key).orderBy("ts", "id")
-    young = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(before)) <= ttl * 1_000_000
-    left = F.coalesce(F.when(young, F.lag("next_state").over(before)), F.lit(0))
-    return made.withColumn("state", F.when((F.col("reply") == intro) & (F.col("next_state") == 1), left).otherwise(F.col("state")))
+    return fold_in_order(pieces, [key], ["piece"], chain, f"{key} {key_type}, piece long, begin int")
 
 
 def hunt_funnel(replies: DataFrame, intro: str, n_clues: int) -> DataFrame:

@@ -145,3 +145,26 @@ def test_histories_in_blocks(spark, turns):
     assert blocks.where("n > 7 or n <> size(turns)").count() == 0 and len(said["hot"]) > 100
     assert {r.sender: [tuple(t) for t in r.history] for r in dialog.newest_history(blocks, 10, 7).collect()} == {s: t[-10:] for s, t in said.items()}
     assert {r.sender: [tuple(t) for t in r.history] for r in dialog.history_arrays(df).collect()} == said
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_hunt_in_pieces_is_the_single_fold(spark, seed):
+    r = random.Random(seed)
+    clues = [{"id": i, "clue": f"c{i}", "answer_pattern": f"answer{i}", "success": f"s{i}", "hint": f"h{i}"} for i in (1, 2, 3)]
+    said = ["answer1", "answer2", "answer3", "hint", "clue 2", "CLUE 3", "nothing", None] * 3 + ["HUNT"] * (1 + seed)
+    rows = [(i, r.choice(["hot", "hot", "a", None]), T0 + dt.timedelta(seconds=r.randrange(40_000)), r.choice(said)) for i in range(500)]
+    want = []
+    for sender in {s for _, s, _, _ in rows}:
+        hunt, state, touched = dialog.Hunt("intro", clues), 0, None
+        for i, _, ts, content in sorted((x for x in rows if x[1] == sender), key=lambda x: (x[2], x[0])):
+            if touched is not None and (ts - touched).total_seconds() > 900:
+                state = 0
+            old = state
+            reply, state = hunt.step(state, content or "")
+            if reply is not None:
+                touched = ts
+                want.append((i, sender, reply, old, state))
+    df = spark.createDataFrame(rows, "id long, sender string, ts timestamp, content string").repartition(4)
+    got = dialog.hunt_replies(df, "intro", clues, ttl=900, bucket_seconds=1800)
+    assert sorted((x.id, x.sender, x.reply, x.state, x.next_state) for x in got.collect()) == sorted(want, key=lambda x: x[0])
+    assert {x[3] for x in want} >= {0, 1, 2}
