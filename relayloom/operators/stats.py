@@ -37,6 +37,28 @@ def latency_percentiles(samples: DataFrame, by: str, value: str = "total_ms", ap
     return df.select(by, *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))], "completed", "failed", F.round(F.try_divide(F.col("completed") * 1000.0, F.col("_most")), 4).alias("throughput_per_s"))
 
 
+#: Of quantile sketches (rank error about 0.4 %) and of distinct counts (standard error about 1.6 %).
+QUANTILE_K, DISTINCT_LOG_K = 800, 12
+
+
+def sketched(events: DataFrame, by: list[str], value: str, key: str, ts: str = "ts", length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """(start, by..., n, quantiles, keys): for each window and group its count, a quantile sketch of ``value`` and a distinct sketch of ``key``.
+
+    Sketches have a fixed size whatever the group's, combine map-side, and are kept to be rolled up later; the same on a
+    stream, where a window is final when the watermark is ``delay`` past it.
+    """
+    df = events.withWatermark(ts, delay) if events.isStreaming else events
+    grouped = df.groupBy(F.window(ts, length).alias("w"), *by)
+    made = grouped.agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), QUANTILE_K).alias("quantiles"), F.hll_sketch_agg(F.col(key).cast("string"), DISTINCT_LOG_K).alias("keys"))
+    return made.select(F.col("w.start").alias("start"), *by, "n", "quantiles", "keys")
+
+
+def rolled_up(sketches: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(by..., n, p50, p95, p99, keys) of ``sketched`` rows over any windows and groups: percentiles and distinct keys, to the sketches' errors."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("quantiles").alias("q"), F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("q", F.lit(p)).alias(f"p{round(100 * p)}") for p in shares], "keys")
+
+
 def bottleneck(samples: DataFrame, stages: list[str], by: str) -> DataFrame:
     """(by, stage, mean_ms): the stage with the largest mean, ties to the first listed."""
     long = samples.unpivot([by], stages, "stage", "ms")

@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from relayloom.operators import dialog, rate
+from relayloom.operators import dialog, rate, stats
 from relayloom.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -159,3 +159,24 @@ def test_router_table(rocks, tmp_path):
     routed = jobs.read_routed(rocks, table)
     assert routed.where("id = '0-0'").first().message_type == "emergency" and routed.where("not readable and failed_at is null").count() == 0
     assert routed.where("readable").inputFiles() and "readable" in routed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hourly_sketches_roll_up(rocks, tmp_path):
+    r = random.Random(5)
+    rows = [(i, r.choice("abc"), T0 + dt.timedelta(seconds=r.randrange(20_000)), str(int(r.expovariate(0.001)))) for i in range(6000)]
+    batch = rocks.createDataFrame(rows, SCHEMA)
+    kept = stats.sketched(batch, ["sender"], "content", "id")
+    assert kept.where("n <> 0").count() == kept.select("start", "sender").distinct().count() > 6
+
+    def near(got):
+        for x in got.collect():
+            mine = sorted(float(c) for _, s, _, c in rows if "sender" not in x or s == x.sender)
+            assert x.n == len(mine) and abs(x["keys"] - len(mine)) < 0.06 * len(mine)
+            for share, value in ((0.5, x.p50), (0.95, x.p95), (0.99, x.p99)):
+                low, high = sum(v < value for v in mine) / len(mine), sum(v <= value for v in mine) / len(mine)
+                assert low - 0.01 <= share <= high + 0.01
+
+    near(stats.rolled_up(kept, ["sender"]))
+    near(stats.rolled_up(kept, []))
+    live = streamed(rocks, tmp_path, rows, lambda s: stats.sketched(s.withColumn("content", F.expr("try_cast(content as double)")), ["sender"], "content", "id", delay="1 day")).where("sender <> 'zz'")
+    near(stats.rolled_up(live, ["sender"]))
