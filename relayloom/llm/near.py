@@ -192,6 +192,31 @@ def near_labels(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 42,
     return member, label
 
 
+def without_copies(docs: DataFrame, within: str, k: int = 5, percent: int = 85, bands: int = 42, rows: int = 6) -> DataFrame:
+    """(doc_id) of a table of bounded size without near copies that have the same ``within``, in a few jobs.
+
+    One document of each class of equal sets goes on, and one round of stars finds its links.  A document with a
+    confirmed link to one of lesser hash goes.  So each group keeps one document at least; it may keep more, where no
+    star meets two of them.  Empty texts are one class.  Rows with equal ``doc_id`` count as one of the larger set.
+    """
+    named = docs.where("doc_id is not null")
+    sets = documents(named).mapInArrow(_sketched(k, bands, rows), _SETS)
+    sets = sets.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "s1", "s2", "bands"), F.struct("n_shingles", "s1", "s2")).alias("x")).select("doc_id", "x.*")
+    sets = sets.join(named.groupBy("doc_id").agg(F.min(within).alias("within")), "doc_id")
+    order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
+    first = written(sets.groupBy("within", "s1", "s2", "n_shingles").agg(F.min_by(F.struct("doc_id", "bands"), order).alias("x")).select("within", "n_shingles", "x.*"), "sample-sets")
+    keys = first.where("n_shingles > 0").select("within", "doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    center = keys.groupBy("within", "bucket").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("n_shingles").alias("an")), order).alias("x"), F.count("*").alias("n")).where("n > 1").select("within", "bucket", "x.*")
+    alike = 100 * F.least("n_shingles", "an") >= percent * F.greatest("n_shingles", "an")
+    pairs = written(keys.join(center, ["within", "bucket"]).where((F.col("doc_id") != F.col("a")) & alike).select("a", F.col("doc_id").alias("b")).distinct(), "sample-pairs")
+    blobs = documents(named).mapInArrow(_compressed, "rep long, blob binary")
+    both = pairs.join(blobs.toDF("a", "blob_a"), "a").join(blobs.toDF("b", "blob_b"), "b").select("a", "b", "blob_a", "blob_b")
+    gone = both.mapInArrow(_confirmed(k, percent), "a long, b long").select(F.col("b").alias("doc_id"))
+    kept = written(first.select("doc_id").join(gone, "doc_id", "left_anti"), "sample-kept")
+    drop_written(first, pairs)
+    return kept
+
+
 def _rarest(reps: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
     """(bucket, rep, n_shingles, n_shared): each set's rarest shingles, enough of them for linked sets to share one.
 

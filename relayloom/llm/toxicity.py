@@ -17,7 +17,7 @@
 
 The classifier is fitted on at most ``sample_rows`` labelled documents, those with the least hashed ids
 of the training part, and keeps at most ``most_features`` weights; near copies among the documents
-(confirmed links at 85 percent of word shingles, as in ``near``) with equal labels count once.  The
+(links of one round of stars, confirmed at 85 percent of word shingles, see ``near.without_copies``) with equal labels count once.  The
 training part leaves out every ``doc_id`` whose crc32 as text is a multiple of 5.  Labels, language,
 source and id never enter a score.  Null and empty texts get the score of no evidence.  Rows with equal
 or null ``doc_id`` are scored each by its own text; a label that is null or repeated with another value
@@ -296,8 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_feat
     clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other and toxic in (0, 1) and doc_id is not null")
     chosen = clean.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")  # sample_rows labels
-    group = near.near_groups(sample, k=5, percent=85).select("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))  # empty texts are one group
-    first = sample.select("doc_id", "toxic").join(group, "doc_id").groupBy("group", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    first = near.without_copies(sample, within="toxic", k=5, percent=85)
     train = written(sample.join(first, "doc_id", "left_semi").mapInArrow(_described(characters), FEATURES).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "toxic-train")
     halves = [_weights(train.where(F.col("half") != h), most_features, prior_docs, least_docs) for h in (0, 1)]
 

@@ -174,6 +174,24 @@ def test_toxicity_counts_alike_training_rows(spark):
     assert model.weights["zonker$"] == pytest.approx(odds)
 
 
+def test_sample_without_copies(spark, docs):
+    """What goes repeats what stays, with the same label; copies and near copies go."""
+    rows = [(r.doc_id, r.text, r.doc_id % 2) for r in docs.collect()] + [(900, None, 0), (902, "", 0), (903, " ", 1), (None, "no id", 1)]
+    kept = [r.doc_id for r in near.without_copies(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), "toxic").collect()]
+    assert len(set(kept)) == len(kept)
+    parts = [brute.near([(i, t) for i, t, y in rows if y == label and i is not None]) for label in (0, 1)]
+    group = {i: (label, part[i][1]) for label, part in enumerate(parts) for i in part}
+    empty = {i: (y, None) for i, t, y in rows if i is not None and not (t or "").split()}
+    group |= empty
+    assert {group[i] for i in kept} == set(group.values())  # each group stays
+    assert sum(group[i] == (0, None) for i in kept) == 1 and len(kept) < len(group)
+    alike = brute.sets([(i, t) for i, t, _ in rows])
+    for i in set(group) - set(kept) - set(empty):
+        near_one = [j for j in group if j != i and j % 2 == i % 2 and 100 * len(alike[i] & alike[j]) >= 85 * len(alike[i] | alike[j])]
+        assert near_one
+    assert near.without_copies(spark.createDataFrame([], "doc_id long, text string, toxic int"), "toxic").count() == 0
+
+
 def _every_reading(token: str, run: int) -> set[tuple[float, str]]:
     """All plain texts of a token with their channel costs, by going through the whole lattice."""
     long_run, i = set(), 0
