@@ -13,7 +13,8 @@ occurrence of some window covers it.
 3. Matches are extended within their slices: the windows that cover the place join the items' windows
    on the words themselves, so that no hash decides.  No text is read again for that.
 
-The benchmark is broadcast while it has few rows (checked), else the same joins shuffle.  Null
+The benchmark is broadcast while it has few rows (checked).  Beyond that a fingerprint is shuffled with its text's
+hash alone, each different text once, and what matches goes back to the text; rows are the same.  Null
 texts have no words; items without words match nothing; items with equal text all count.  Hits belong to
 a text, so each row gets its own answer, rows with null or repeated ``doc_id`` too.  A table without
 documents gives no rows, one without items no hits.
@@ -67,8 +68,27 @@ def _covering(m: int) -> Column:
     return F.transform(covers, lambda i: F.struct((F.col("place") - F.col("before") + i - 1).alias("place"), F.lit(m).alias("length"), F.array_join(F.slice("around", i, m), " ").alias("gram")))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if small(df, rows) else df
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
+
+
+def _matched(docs: DataFrame, keys: DataFrame, window: int, k: int, short: bool) -> DataFrame:
+    """(text_hash, words, grams, key) of each fingerprint of a text that is one of ``keys``; ``short``: words are offered too."""
+
+    def cut(texts: DataFrame, *more: str) -> DataFrame:
+        return _grams(texts.select("text_hash", words(F.col("text")).alias("words"), *more), k)
+
+    offered = _minima(window - k + 1)
+    if short:
+        offered = F.array_distinct(F.concat(offered, F.transform("words", lambda x: F.xxhash64(x))))
+    # An outer explode infers no filter: pushed below, it would work out the keys twice, and their parts for each of them.
+    if small(keys, BROADCAST_ROWS):
+        rows = cut(docs.select(text_hash(), "text")).withColumn("keys", offered)
+        return rows.select("text_hash", "words", "grams", F.explode_outer("keys").alias("key")).join(F.broadcast(keys), "key")
+    texts = docs.select(text_hash(), "text").groupBy("text_hash").agg(F.first("text").alias("text"))
+    each = cut(texts).select("text_hash", F.explode_outer(offered).alias("key")).join(keys, "key")
+    found = each.groupBy("text_hash").agg(F.collect_list("key").alias("found"))  # at most the text's own
+    return cut(texts.join(found, "text_hash"), "found").select("text_hash", "words", "grams", F.explode_outer("found").alias("key"))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
@@ -84,11 +104,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> Dat
     cut = F.transform(_runs(F.greatest("n", F.lit(window)), window), lambda i: F.array_join(F.slice("words", i, window), " "))
     wanted = written(items.select("item_id", F.explode(cut).alias("gram")).distinct(), "benchmark-windows")
 
-    offered = _grams(docs.select(text_hash(), words(F.col("text")).alias("words")), k).withColumn("keys", _minima(spans))
-    if any(n < window for n in lengths):
-        offered = offered.withColumn("keys", F.array_distinct(F.concat("keys", F.transform("words", lambda x: F.xxhash64(x)))))
-    # An outer explode infers no filter: pushed below, it would work out the keys twice, and their parts for each of them.
-    matched = offered.select("text_hash", "words", "grams", F.explode_outer("keys").alias("key")).join(_maybe_broadcast(keys), "key")
+    matched = _matched(docs, keys, window, k, short=any(n < window for n in lengths))
     around = matched.select("text_hash", F.explode_outer(_slices(window, k)).alias("s")).select("text_hash", "s.*")
     runs = [_covering(m) for m in lengths] or [F.array().cast("array<struct<place: int, length: int, gram: string>>")]
     each = around.select("text_hash", F.explode_outer(F.flatten(F.array(*runs))).alias("r")).select("text_hash", "r.*")

@@ -69,6 +69,34 @@ def test_decontamination(spark, docs):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, table.where("false")).collect())
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_decontamination_by_a_large_benchmark(spark, monkeypatch):
+    """Without a broadcast the rows are the same and a text isn't sent along with its fingerprints."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"{x:05x}" for x in rng.integers(0, 1 << 20, n))
+    texts = [say(n) for n in (20_000, 5000, *[400] * 60)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[1]) for i in range(40)] + [(200, None), (201, "")]
+    cut = lambda t, a, n: " ".join(t.split()[a : a + n])
+    items = [(i, f"{say(3)} {cut(t, 7 * i, 12)} {say(3)}") for i, t in enumerate(texts[:20])] + [(70, cut(texts[30], 5, 4)), (71, say(40)), (72, texts[2])]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = _shuffled(spark)
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, table).collect()}
+        sent = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute.contaminated(rows, items)
+    assert 0 < sent < 4 * sum(len(t or "") for _, t in rows)
+
+
 TEXTS = [
     "mail a.b@c-d.org,x@y.z.w or a@b", "1.2.3.4.5.6.7.8 and 300.1.1.1 and 001.02.3.255 and 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1111 42 4111111111111112", "+1 (754) 555-3087 and +49 30 123 and +1.2.3.4.5.6.7.8.9",
     "é@b.co üa@b.co\U0001f600 c@d.ee", "a@b.c_x@d.e..f@g.h", "", None, "9" * 400, "+" * 50, "x" * 5000 + "@", ("a@b.cc " * 3000), "0 0 0 0 0 0 0 0 0 0 0 0",
