@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,20 +90,46 @@ def conversation_sessions(turns: DataFrame, gap: str = "3600 seconds", delay: st
     return df.groupBy("sender", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("turns")).select("sender", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "turns")
 
 
+def _plain(value: object) -> object:
+    """A state's value as lists and tuples, whether it comes from the store or from a pandas row."""
+    if isinstance(value, dict):
+        return tuple(value.values())
+    if isinstance(value, tuple):
+        return tuple(map(_plain, value))
+    if isinstance(value, (list, np.ndarray)):
+        return [_plain(v) for v in value]
+    return value.item() if isinstance(value, np.generic) else value
+
+
 class Ordered(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then folds them in order.
 
     Waiting rows are kept by the time of their timer, so a timer reads its own rows only.  A key that was idle
-    for ``keep`` seconds, after which its state says nothing any more, loses its state.
+    for ``keep`` seconds, after which its state says nothing any more, loses its state (by a timer, as states that Spark
+    itself lets expire go by the clock and not by the messages' times).  ``after`` makes the state of a table, so that a
+    stream can go on where a batch ended (``initial`` of ``stateful``).
     """
 
     columns: list[str]
     keep: int
+    #: Columns of a key's state with their types, and their values for a new key; ``us`` follows, the time of its last message.
+    STATE: dict[str, str]
+    START: tuple
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "rows string")
-        self.value = handle.getValueState("value", "blob string, us long")
+        self.waiting = handle.getMapState("waiting", "at long", "rows array<struct<us: long, id: long, content: string, reply: string, recordable: boolean>>")
+        self.value = handle.getValueState("value", ", ".join(f"{c} {t}" for c, t in {**self.STATE, "us": "long"}.items()))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        for r in initialState.itertuples():
+            state = tuple(_plain(getattr(r, c)) for c in self.STATE)
+            self.value.update((*state, int(r.us)))
+            self.handle.registerTimer(self._idle(int(r.us)) + 1)
+
+    def _idle(self, us: int) -> int:
+        """The last time, in milliseconds, at which a key whose last message was at ``us`` has a state."""
+        return us // 1000 + self.keep * 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
@@ -112,25 +139,25 @@ class Ordered(StatefulProcessor):
                 at = max(int(r.us) // 1000 + 1, now + 1)
                 held.setdefault(at, []).append((int(r.us), int(r.id), str(getattr(r, "content", "") or ""), str(getattr(r, "reply", "") or ""), bool(getattr(r, "recordable", True))))
         for at, new in held.items():
-            before = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-            self.waiting.updateValue((at,), (json.dumps(before + new),))
+            before = _plain(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+            self.waiting.updateValue((at,), (before + new,))
             self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at, out = expiredTimerInfo.getExpiryTimeInMs(), []
         if self.waiting.containsKey((at,)):
-            blob, last = self.value.get() if self.value.exists() else ("", 0)
-            for us, i, content, reply, recordable in sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0]))):
+            *state, last = _plain(self.value.get()) if self.value.exists() else (*self.START, 0)
+            for us, i, content, reply, recordable in sorted(_plain(self.waiting.getValue((at,))[0])):
                 self.recordable = recordable
-                made, blob = self.fold(blob, us, content, reply)
+                made, state = self.fold(tuple(state), us, content, reply)
                 last = max(last, us)
                 if made is not None:
                     out.append((*key, i, *made))
             self.waiting.removeKey((at,))
-            self.value.update((blob, last))
-            self.handle.registerTimer(max(last // 1000 + self.keep * 1000 + 1, at) + 1)
-        elif self.value.exists() and at > self.value.get()[1] // 1000 + self.keep * 1000 + 1:
+            self.value.update((*state, last))
+            self.handle.registerTimer(max(self._idle(last), at) + 1)
+        elif self.value.exists() and at > self._idle(self.value.get()[-1]):
             self.value.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
@@ -138,8 +165,12 @@ class Ordered(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
-        """What a row gives, if anything, and the state after it; an empty state is that of a new key."""
+    def fold(self, state: tuple, us: int, content: str, reply: str) -> tuple[tuple | None, tuple]:
+        """What a row gives, if anything, and the state after it."""
+        raise NotImplementedError
+
+    def after(self, table: DataFrame) -> DataFrame:
+        """(sender, columns of the state, us) from the batch operator's rows: a stream's initial state."""
         raise NotImplementedError
 
 
@@ -152,39 +183,59 @@ class Admission(Ordered):
 
     columns = ["sender", "id", "within_limits"]
     SCHEMA = "sender string, id long, within_limits boolean, recorded boolean"
+    STATE, START = {"times": "array<long>"}, ([],)
 
     def __init__(self, limits: list[tuple[int, int]], recorded: bool = False):
         self.limits, self.keep, self.tells = limits, max(s for s, _ in limits), recorded
         if recorded:
             self.columns = [*self.columns, "recorded"]
 
-    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
-        kept = [t for t in json.loads(state or "[]") if us - t < self.keep * MICRO]
+    def fold(self, state: tuple, us: int, content: str, reply: str) -> tuple[tuple | None, tuple]:
+        kept = [t for t in state[0] if us - t < self.keep * MICRO]
         within = all(sum(us - t < s * MICRO for t in kept) < most for s, most in self.limits)
         recorded = within and self.recordable
-        return ((within, recorded) if self.tells else (within,)), json.dumps([*kept, us] if recorded else kept)
+        return ((within, recorded) if self.tells else (within,)), ([*kept, us] if recorded else kept,)
+
+    def after(self, table: DataFrame) -> DataFrame:
+        """Of (sender, ts, recorded) rows as ``rate.admission`` makes them; no sender has more times than a limit allows."""
+        rows = table.select("sender", F.unix_micros("ts").alias("at"), "recorded").where("at is not null")
+        last = rows.groupBy("sender").agg(F.max("at").alias("us"))
+        recent = rows.where("recorded").join(last, "sender").where(F.col("us") - F.col("at") < self.keep * MICRO)
+        times = recent.groupBy("sender").agg(F.array_sort(F.collect_list("at")).alias("times"))
+        return last.join(times, "sender", "left").select("sender", F.coalesce("times", F.array().cast("array<bigint>")).alias("times"), "us")
 
 
-def admitted(messages: DataFrame, limits: list[tuple[int, int]], delay: str = DELAY) -> DataFrame:
-    """A stream of Admission rows of (sender, id, ts, content): texts are screened first, and high-risk ones aren't recorded."""
+def admitted(messages: DataFrame, limits: list[tuple[int, int]], delay: str = DELAY, decided: DataFrame | None = None) -> DataFrame:
+    """A stream of Admission rows of (sender, id, ts, content): texts are screened first, and high-risk ones aren't recorded.
+
+    It goes on from ``decided``, rows of the batch operator on earlier messages, if there are any.
+    """
     screened = privacy.pii_scan(messages).withColumn("recordable", F.col("risk_level") != "high").select("sender", "id", "ts", "recordable")
-    return stateful(screened, Admission(limits, recorded=True), Admission.SCHEMA, delay=delay)
+    processor = Admission(limits, recorded=True)
+    return stateful(screened, processor, Admission.SCHEMA, delay=delay, initial=None if decided is None else processor.after(decided))
 
 
 class Hunting(Ordered):
     """The treasure hunt by sender: state is clue number and last touched time."""
 
     columns = ["sender", "id", "reply", "state", "next_state"]
+    STATE, START = {"number": "int", "touched": "long"}, (0, 0)
 
     def __init__(self, intro: str, clues: list[dict], ttl: int = 86_400):
         self.hunt, self.keep = Hunt(intro, clues), ttl
 
-    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
-        number, touched = json.loads(state or "[0, 0]")
+    def fold(self, state: tuple, us: int, content: str, reply: str) -> tuple[tuple | None, tuple]:
+        number, touched = state
         if touched and us - touched > self.keep * MICRO:
             number = 0
         said, after = self.hunt.step(number, content)
-        return None if said is None else (said, number, after), json.dumps([after, us if said is not None else touched])
+        return None if said is None else (said, number, after), (after, us if said is not None else touched)
+
+    def after(self, table: DataFrame) -> DataFrame:
+        """Of rows as ``dialog.hunt_replies`` makes them."""
+        at = F.unix_micros("ts")
+        newest = F.max_by(F.struct(F.col("next_state").cast("int").alias("number"), at.alias("touched")), F.struct(at, F.col("id")))
+        return table.groupBy("sender").agg(newest.alias("x")).select("sender", "x.*", F.col("x.touched").alias("us"))
 
 
 class History(Ordered):
@@ -195,18 +246,28 @@ class History(Ordered):
 
     columns = ["sender", "id", "history"]
     SCHEMA = "sender string, id long, history array<struct<user: string, assistant: string>>"
+    STATE, START = {"turns": "array<struct<user: string, assistant: string>>", "touched": "long"}, ([], 0)
 
     def __init__(self, turns: int = 10, ttl: int = 3600):
         self.turns, self.keep = turns, ttl
 
-    def fold(self, state: str, us: int, content: str, reply: str) -> tuple[tuple | None, str]:
-        turns, touched = json.loads(state or "[[], 0]")
+    def fold(self, state: tuple, us: int, content: str, reply: str) -> tuple[tuple | None, tuple]:
+        turns, touched = state
         if touched and us - touched > self.keep * MICRO:
             turns = []
         if content.strip().lower() == "/reset":
-            return ([],), json.dumps([[], us])
+            return ([],), ([], us)
         seen = [{"user": u, "assistant": a} for u, a in turns]
-        return (seen,), json.dumps([[*turns, [content, reply]][-self.turns :], us])
+        return (seen,), ([*turns, (content, reply)][-self.turns :], us)
+
+    def after(self, table: DataFrame) -> DataFrame:
+        """Of rows as ``dialog.visible_history`` makes them of as many turns: what the next message would see."""
+        at = F.unix_micros("ts")
+        own = F.array(F.struct(F.coalesce("content", F.lit("")).alias("user"), F.coalesce("reply", F.lit("")).alias("assistant")))
+        seen = F.concat("history", own)
+        turns = F.when(F.coalesce("reset", F.lit(False)), F.slice(own, 1, 0)).otherwise(F.slice(seen, F.greatest(F.size(seen) - self.turns + 1, F.lit(1)), self.turns))
+        newest = F.max_by(F.struct(turns.alias("turns"), at.alias("touched")), F.struct(at, F.col("id")))
+        return table.groupBy("sender").agg(newest.alias("x")).select("sender", "x.*", F.col("x.touched").alias("us"))
 
 
 class NodeStatus(StatefulProcessor):
@@ -253,7 +314,11 @@ def node_table(changes: DataFrame) -> DataFrame:
     return changes.groupBy("node_id").agg(newest.alias("x")).select("node_id", "x.*")
 
 
-def stateful(messages: DataFrame, processor: StatefulProcessor, schema: str | StructType, key: str = "sender", delay: str = DELAY) -> DataFrame:
-    """A stream of (key, id, ts, content) through a processor; needs the RocksDB state store provider."""
+def stateful(messages: DataFrame, processor: StatefulProcessor, schema: str | StructType, key: str = "sender", delay: str = DELAY, initial: DataFrame | None = None) -> DataFrame:
+    """A stream of (key, id, ts, content) through a processor; needs the RocksDB state store provider.
+
+    ``initial`` is the state of a table that the stream continues, a row a key (``after`` of the processor).
+    """
     df = messages.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
-    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    begun = initial.groupBy(key) if initial is not None else None
+    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", initialState=begun)

@@ -180,3 +180,47 @@ def test_hourly_sketches_roll_up(rocks, tmp_path):
     near(stats.rolled_up(kept, []))
     live = streamed(rocks, tmp_path, rows, lambda s: stats.sketched(s.withColumn("content", F.expr("try_cast(content as double)")), ["sender"], "content", "id", delay="1 day")).where("sender <> 'zz'")
     near(stats.rolled_up(live, ["sender"]))
+
+
+def two_days(rows):
+    """The rows, and later ones of the same senders a moment after; some senders only before or only after."""
+    end = max(r[2] for r in rows)
+    later = [(1000 + i, s if s != "c" else "d", end + (ts - T0) / 6 + dt.timedelta(seconds=1), *rest) for i, s, ts, *rest in rows[::2]]
+    return later, rows + later
+
+
+def test_admission_goes_on_from_a_table(rocks, tmp_path, rows):
+    high = "Patient #12345 passport AB1234567 Card: 4111 1111 1111 1111"
+    limits = [(600, 5), (60, 2)]
+    later, both = two_days([(i, s, ts, high if i % 3 == 0 else c) for i, s, ts, c in rows])
+    decide = lambda said: rate.admission(jobs.understood(rocks.createDataFrame(said, SCHEMA)).withColumn("calm", F.col("risk_level") != "high"), limits, recordable="calm")
+    first = decide([r for r in both if r[0] < 1000])
+    want = {(r.sender, r.id, r.within_limits, r.recorded) for r in decide(both).where("id >= 1000").collect()}
+    got = streamed(rocks, tmp_path, later, lambda s: jobs.admitted(s, limits, decided=first)).where("sender <> 'zz'")
+    assert {tuple(r) for r in got.collect()} == want
+    alone = {(r.sender, r.id, r.within_limits, r.recorded) for r in decide(later).collect()}
+    assert alone != want  # the table's days count
+
+
+def test_hunt_goes_on_from_a_table(rocks, tmp_path, rows):
+    later, both = two_days(rows)
+    hunt = jobs.Hunting("intro", CLUES)
+    replies = lambda said: dialog.hunt_replies(rocks.createDataFrame(said, SCHEMA), "intro", CLUES)
+    names = ["sender", "id", "reply", "state", "next_state"]
+    want = {tuple(r) for r in replies(both).where("id >= 1000").select(names).collect()}
+    got = streamed(rocks, tmp_path, later, lambda s: jobs.stateful(s, hunt, "sender string, id long, reply string, state int, next_state int", initial=hunt.after(replies(rows)))).where("sender <> 'zz'")
+    assert {tuple(r) for r in got.collect()} == want != {tuple(r) for r in replies(later).select(names).collect()}
+
+
+def test_history_goes_on_from_a_table(rocks, tmp_path, rows):
+    later, both = two_days([(*r[:3], "/reset" if r[0] % 9 == 0 else r[3], f"re {r[0]}") for r in rows])
+    schema = SCHEMA + ", reply string"
+    history = jobs.History(4, 200)
+
+    def seen(said):
+        return dialog.visible_history(dialog.sessions(rocks.createDataFrame(said, schema), 200).withColumn("reset", F.col("content") == "/reset"), 4)
+
+    told = lambda df: {(r.sender, r.id, tuple(map(tuple, r.history))) for r in df.collect()}
+    want = told(seen(both).where("id >= 1000"))
+    got = streamed(rocks, tmp_path, later, lambda s: jobs.stateful(s, history, jobs.History.SCHEMA, initial=history.after(seen([r for r in both if r[0] < 1000]))), schema).where("sender <> 'zz'")
+    assert told(got) == want != told(seen(later))
