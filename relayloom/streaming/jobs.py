@@ -8,7 +8,6 @@ watermark are dropped by Spark before they reach a processor.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -281,22 +280,23 @@ class NodeStatus(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, metrics string")
+        self.last = handle.getValueState("last", "us long, messages_received long, avg_latency_ms double, rag_direct long")
 
-    def _row(self, key, us: int, status: str, metrics: dict) -> pd.DataFrame:
-        return pd.DataFrame([(*key, us, status, *[metrics.get(m) for m in self.METRICS])], columns=["node_id", "us", "status", *self.METRICS]).astype({m: t for m, t in zip(self.METRICS, ("Int64", "Float64", "Int64"), strict=True)})
+    def _row(self, key, us: int, status: str, metrics: tuple) -> pd.DataFrame:
+        return pd.DataFrame([(*key, us, status, *metrics)], columns=["node_id", "us", "status", *self.METRICS]).astype({m: t for m, t in zip(self.METRICS, ("Int64", "Float64", "Int64"), strict=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = max(((int(r.us), {m: None if pd.isna(v := getattr(r, m)) else float(v) for m in self.METRICS}) for pdf in rows for r in pdf.itertuples()), key=lambda x: x[0])
+        metrics = lambda r: tuple(None if pd.isna(v := getattr(r, m)) else kind(v) for m, kind in zip(self.METRICS, (int, float, int), strict=True))
+        newest = max(((int(r.us), metrics(r)) for pdf in rows for r in pdf.itertuples()), key=lambda x: x[0])
         if not self.last.exists() or newest[0] > self.last.get()[0]:
-            self.last.update((newest[0], json.dumps(newest[1])))
+            self.last.update((newest[0], *newest[1]))
             self.handle.registerTimer(newest[0] // 1000 + self.silence * 1000)
             yield self._row(key, newest[0], "online", newest[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        us, metrics = self.last.get()
+        us, *metrics = self.last.get()
         if expiredTimerInfo.getExpiryTimeInMs() >= us // 1000 + self.silence * 1000:
-            yield self._row(key, us, "offline", json.loads(metrics))
+            yield self._row(key, us, "offline", tuple(metrics))
 
     def close(self) -> None:
         pass

@@ -100,6 +100,21 @@ def test_node_table(rocks, tmp_path, rows):
         assert table[n].status == "offline" and table[n].messages_received in {x[2] for x in beats if x[:2] == b[:2]}
 
 
+def test_node_table_has_the_newest_metrics(rocks, tmp_path):
+    """Exactly those of the latest heartbeat, nulls too, whichever file it comes in."""
+    at = lambda n: T0 + dt.timedelta(seconds=n)
+    beats = [("a", at(50), 5, 5.5, 1), ("b", at(10), 1, 1.5, 9), ("a", at(40), 4, 4.5, 2), ("b", at(30), 3, None, None), ("b", at(20), 2, 2.5, 8), ("x", at(20), 7, 7.5, 7)]
+    schema, src = "node_id string, ts timestamp, messages_received long, avg_latency_ms double, rag_direct long", str(tmp_path / "beats")
+    for part in (beats[:2], beats[2:], [("zz", at(40 * 86_400), 0, 0.0, 0)]):
+        rocks.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    known = rocks.createDataFrame([("a",), ("b",), ("zz",)], "node_id string")
+    q = jobs.node_changes(rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), known).writeStream.format("memory").queryName("newest_nodes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    table = {r.node_id: tuple(r)[2:] for r in jobs.node_table(rocks.table("newest_nodes")).collect()}
+    assert table == {"a": ("offline", 5, 5.5, 1), "b": ("offline", 3, None, None), "zz": ("online", 0, 0.0, 0)}
+
+
 def test_idle_state_goes(rocks, tmp_path, rows):
     late = rows + [(500 + i, "a", T0 + dt.timedelta(days=2, seconds=i), "hint") for i in range(3)]
     want = {(r.sender, r.id, r.reply, r.state, r.next_state) for r in dialog.hunt_replies(rocks.createDataFrame(late, SCHEMA), "intro", CLUES, 600).collect()}
