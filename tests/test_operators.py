@@ -171,6 +171,19 @@ def test_score(spark):
     assert [s[i].latency_score for i in (6, 7, 8)] == [1.0, 0.5, 0.0]
 
 
+def test_score_with_weights(spark):
+    """Weights count by their share of the sum, dimensions without one not at all; with a sum of zero nothing counts."""
+    cases = [("The keynote starts in the morning.", 500.0), ("I don't know", 22500.0)]
+    r = spark.createDataFrame([(i, "test_01", t, ms) for i, (t, ms) in enumerate(cases)], "rid long, query_id string, response string, latency_ms double")
+    truth = spark.createDataFrame(TRUTH, "id string, query string, category string, expected_keywords array<string>, forbidden_keywords array<string>, expected_entities array<string>, max_acceptable_latency_ms double")
+    joined, _ = evaluate.with_truth(r.join(evaluate.repetition(r, "rid"), "rid"), truth)
+    told = lambda w: {x.rid: (x.composite_score, x["pass"]) for x in evaluate.score(joined, w).collect()}
+    assert told({"keyword": 3, "latency": 1}) == {0: (0.5, True), 1: (0.125, False)}
+    assert told({"forbidden": 0.2, "latency": 0.2}) == {0: (1.0, True), 1: (0.25, False)}
+    assert told({"keyword": 0, "entity": 0}) == {0: (0.0, False), 1: (0.0, False)}
+    assert told(None) == told({"keyword": 25, "entity": 25, "forbidden": 15, "length": 10, "latency": 10, "repetition": 15})
+
+
 def test_repetition(spark):
     r = {x.id: x.repetition for x in evaluate.repetition(column(spark, ["all words differ here today", "", "a b", "the keynote " * 8], "response")).collect()}
     assert r[0] == r[1] == r[2] == 1.0 and abs(r[3] - 0.1381) < 1e-9
