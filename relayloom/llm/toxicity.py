@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
@@ -126,6 +127,10 @@ class _Options(dict):
 
 _OPTIONS = _Options()
 _RUNS = re.compile(r"(.)\1+")
+_APART = re.compile(r"[\W\d_]+")
+_SPACED = re.compile(rb"\x01{4,}")
+#: Tokens are decoded in parts of so many characters, which overlap by half.
+PART = 48
 
 
 def decode(token: str, model: list[list[list[float]]], run: int = 2) -> str:
@@ -158,7 +163,7 @@ def decode(token: str, model: list[list[list[float]]], run: int = 2) -> str:
     return min(ends)[1].strip() if ends else ""
 
 
-def decode_all(token: str, model: list[list[list[float]]], length: int = 48) -> list[str]:
+def decode_all(token: str, model: list[list[list[float]]], length: int = PART) -> list[str]:
     """Words of a decoded token; a long one is decoded in parts that overlap by half.
 
     Double letters give two readings: one that may drop a repeat, and one that may do so in longer runs only.
@@ -173,43 +178,31 @@ def decode_all(token: str, model: list[list[list[float]]], length: int = 48) ->
     return out
 
 
+def sure(core: str) -> list[str]:
+    """The readings of a token without its marks that take no decoding."""
+    if core.isalpha():
+        return [core]
+    plain = core.rstrip("!$@|+(0123456789")
+    return [x for x in _APART.split(core) if x] + ([plain] if plain.isalpha() else [])
+
+
 class Restorer:
     """Words of a text with disguises undone."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
-    def word(self, w: str, worth: Callable[[str], bool] | None = None) -> list[str]:
-        """Restored words of one token; all but letters without a repeat may be a disguise and give all readings.
-
-        Of a token of letters alone, whose readings differ by repeats only, ``worth`` may say that none matters.
-        """
+    def word(self, w: str) -> list[str]:
+        """Restored words of one token; all but letters without a repeat may be a disguise and give all readings."""
         core = w.lower().strip(MARKS)
         if not core or (core.isalpha() and not _TWICE.search(core)):
             return [core] if core else []
-        plain = core.rstrip("!$@|+(0123456789")
-        if core.isalpha():
-            if worth is not None and not worth(core):
-                return [core]
-            found = [core]
-        else:
-            found = [x for x in re.split(r"[\W\d_]+", core) if x]
-        found = list(dict.fromkeys(found + decode_all(core, self.model)))
-        if plain and plain != core and plain.isalpha():
-            found.append(plain)
-        return found
+        return list(dict.fromkeys(sure(core) + decode_all(core, self.model)))
 
     def spaced(self, tokens: list[str]) -> list[str]:
         """Words out of runs of four or more single characters."""
-        out, run = [], []
-        for w in [*tokens, "  "]:
-            if len(w) == 1:
-                run.append(w)
-                continue
-            if len(run) >= 4:
-                out += decode_all(" ".join(run), self.model)
-            run = []
-        return out
+        single = bytes(map((1).__eq__, map(len, tokens)))
+        return [w for run in _SPACED.finditer(single) for w in decode_all(" ".join(tokens[run.start() : run.end()]), self.model)]
 
     def tokens(self, text: str) -> tuple[list[str], list[str]]:
         cut = text.split()
@@ -225,6 +218,10 @@ def features(word: str) -> list[str]:
     return out
 
 
+#: Beginnings of words with their weights.
+Held = tuple[tuple[str, float], ...]
+
+
 class Model(NamedTuple):
     characters: np.ndarray
     weights: dict[str, float]
@@ -325,56 +322,139 @@ def begins(feature: str) -> str:
     return feature.rstrip("$").lstrip("^")[:4]
 
 
+class _Known(dict):
+    """By token: what it holds by readings that take no decoding, and in ``unsure`` what else decoding may find.
+
+    A class of the module, as one made for a task would be garbage that waits for Python's rare full collections.
+    """
+
+    def __init__(self, judge: Callable[[str], tuple[Held, Held]]):
+        self.judge, self.unsure, self.same = judge, {}, {}
+
+    def __missing__(self, w: str) -> Held:
+        core = w.strip(MARKS)
+        if core == w:
+            found, more = self.judge(w)
+            found = self.same.setdefault(found, found)  # most words share what their beginnings hold
+            if more:
+                self.unsure[w] = self.same.setdefault(more, more)
+        else:
+            found = self[core]
+            if core in self.unsure:
+                self.unsure[w] = self.unsure[core]
+        self[w] = found
+        return found
+
+    def forget(self) -> None:
+        for kept in (self, self.unsure, self.same):
+            kept.clear()
+
+
 def _scorer(model: Model, most_words: int = 400_000) -> Callable[[list[str]], list[float]]:
     """Scores of texts; made once a task, it remembers words."""
-    restore, weights = Restorer(model.characters), model.weights.get
-    whole = {f[:-1] for f in model.weights if f[0] != "^"}
-    coefficients = np.array(model.fit if model.fit is not None else [0.0] * 5)
-
-    starts = {begins(f) for f in model.weights}
-    single = {_RUNS.sub(r"\1", b) for b in starts}
+    restore = Restorer(model.characters)
+    whole = {f[:-1]: x for f, x in model.weights.items() if f[0] != "^"}
+    first = {f[1:]: x for f, x in model.weights.items() if f[0] == "^"}
     heads = {w[:n] for w in whole for n in range(1, len(w))}
+    some = {w[:n] for w in first for n in range(1, len(w) + 1)} | heads | set(whole) | {""}
+    coefficients = np.array(model.fit if model.fit is not None else [0.0] * 5)
 
-    def worth(core: str) -> bool:
-        """Whether dropping repeats can give a word that begins like a weighed one."""
-        bare = _RUNS.sub(r"\1", core)
-        return any(bare[:n] in single for n in range(1, 5)) or len(core) > 24
+    def weight(w: str) -> float:
+        return max(whole.get(w, 0.0), first.get(w[:4], 0.0), first.get(w[:5], 0.0))
 
-    def weigh(words: list[str]) -> tuple[tuple[str, float], ...]:
-        """Beginning and weight of those of a token's readings that weigh anything."""
+    def weigh(words: list[str]) -> Held:
+        """Beginnings and largest weights of those words that weigh anything."""
         found: dict[str, float] = {}
         for w in words:
-            if w[:4] in starts:
-                found[w[:4]] = max(found.get(w[:4], 0.0), *[weights(f, 0.0) for f in features(w)])
-        return tuple((b, x) for b, x in found.items() if x > 0)
-
-    class Known(dict):
-        def __missing__(self, w: str) -> tuple[tuple[str, float], ...]:
-            core = w.strip(MARKS)
-            self[w] = found = () if core.isalpha() and not worth(core) else weigh(restore.word(w, worth))
-            return found
+            if (x := weight(w)) > found.get(w[:4], 0.0):
+                found[w[:4]] = x
+        return tuple(found.items())
 
-    known = Known()
+    def most(core: str, at: int = 0) -> Held:
+        """What ``weigh`` may give at most for the words that decoding can read in a token of one part.
 
-    def apart(tokens: list[str]) -> list[str]:
-        """Weighed words that two or three neighbouring tokens spell, where decoding reads them as one."""
-        spelled = [(i, n, "".join(tokens[i : i + n])) for i, t in enumerate(tokens) if t in heads for n in (2, 3)]
-        return [w for i, n, w in spelled if w in whole and decode(" ".join(tokens[i : i + n]), restore.model) == w]
+        A walk over the beginnings of weighed words: each character may be what it imitates or be dropped; words begin
+        at the token's start and after characters that may separate.  The first ``at`` characters are what they are.
+        """
+        now, last, found = {core[:at]} & some, len(core) - 1, {}
+        if at:
+            found = {s[:4]: whole.get(s, 0.0) for s in now}
+        for i in range(at, last + 1):
+            ch = core[i]
+            letter = ch.isalpha()
+            new = {t for s in now for x in (ch if letter else IMITATES.get(ch, "")) if (t := s + x) in some}
+            ends = i == last or core[i + 1] == ch or not core[i + 1].isalpha()
+            for t in new:
+                x = max(first.get(t, 0.0), whole.get(t, 0.0) if ends else 0.0)
+                if x > found.get(t[:4], 0.0):
+                    found[t[:4]] = x
+            if not letter:
+                now |= new | {""}
+            elif i and ch == core[i - 1]:
+                now |= new
+            else:
+                now = new
+            if at and not now:
+                break
+        return tuple(found.items())
+
+    def judge(core: str) -> tuple[Held, Held]:
+        """What a token without its marks holds for sure, and what decoding may find beyond; a token of more parts is decoded."""
+        if len(core) > PART:
+            return weigh(restore.word(core)), ()
+        if not core.isalpha():
+            found, bound = weigh(sure(core)), most(core)
+        else:
+            found, twice = ((core[:4], x),) if (x := weight(core)) else (), _TWICE.search(core)
+            bound = most(core, twice.start() + 1) if twice else ()
+        if bound:
+            least = dict(found)
+            bound = tuple((b, x) for b, x in bound if x > least.get(b, 0.0))
+        return found, bound
+
+    known = _Known(judge)
+
+    def apart(tokens: list[str]) -> Iterator[tuple[str, str]]:
+        """Weighed words that two or three neighbouring tokens may spell, and these tokens."""
+        for i in compress(range(len(tokens) - 1), map(heads.__contains__, tokens)):
+            two = tokens[i] + tokens[i + 1]
+            if two in some:
+                for n, w in ((2, two), (3, "".join(tokens[i : i + 3]))):
+                    if w in whole:
+                        yield w, " ".join(tokens[i : i + n])
+
+    def holds(tokens: list[str], more: list[str]) -> dict[str, float]:
+        """Weights of a text by beginnings of words; of those that can't be among the three largest, some are left out."""
+        held: dict[str, float] = {}
+
+        def take(found: Iterable[tuple[str, float]]) -> float:
+            for b, x in found:
+                if x > held.get(b, 0.0):
+                    held[b] = x
+            return sorted(held.values())[-3] if len(held) > 2 else 0.0
+
+        words = set(tokens)
+        third = take(chain(weigh(more), chain.from_iterable(filter(None, map(known.__getitem__, words)))))
+        for w in known.unsure.keys() & words:
+            if any(x > third and x > held.get(b, 0.0) for b, x in known.unsure[w]):
+                del known.unsure[w]
+                known[w] = found = weigh(restore.word(w))
+                third = take(found)
+        for w, spelled in apart(tokens):
+            x = weight(w)
+            if x > third and x > held.get(w[:4], 0.0) and decode(spelled, restore.model) == w:
+                third = take([(w[:4], x)])
+        return held
 
     def rate(texts: list[str]) -> list[float]:
         if model.fit is None:
             return [0.0] * len(texts)
         if len(known) > most_words:
-            known.clear()
+            known.forget()
         rows = []
         for text in texts:
             plain, more = restore.tokens(text.lower())
-            held: dict[str, float] = {}
-            for found in (*filter(None, map(known.__getitem__, set(plain))), weigh(more + apart(plain))):
-                for b, x in found:
-                    if x > held.get(b, 0.0):
-                        held[b] = x
-            rows.append(evidence(held, len(plain)))
+            rows.append(evidence(holds(plain, more), len(plain)))
         return (1 / (1 + np.exp(-np.clip(np.array(rows) @ coefficients, -30, 30)))).tolist() if rows else []
 
     return rate

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import random
 import sys
+import weakref
 import zlib
 from pathlib import Path
 
@@ -189,6 +192,54 @@ def test_disguises_are_decoded():
         assert word in restore.word(disguised), disguised
 
 
+def test_toxicity_decodes_only_what_can_weigh(monkeypatch):
+    """Scores are those of decoding every token, while tokens that can't matter are not decoded; nothing of a scorer waits for a collection."""
+    size, rng = toxicity.SIZE, random.Random(7)
+    words = ["idiot", "moron", "loser", "stupid", "scum", "shit", "bookkeeper", "ciónel"]
+    count = np.zeros(size**3)
+    c = toxicity.classes("\n".join(["", *[*words, "good", "day", "letter"] * 50, ""]))
+    np.add.at(count, c[:-2] * size**2 + c[1:-1] * size + c[2:], 1)
+    three = count.reshape(size, size, size)
+    characters = np.log((three + 0.01) / (three.sum(axis=2, keepdims=True) + 0.64))
+    weights = {f: rng.uniform(0.5, 3) for w in words for f in toxicity.features(w)} | {"ab$": 1.0, "^lett": 0.4}
+    model = toxicity.Model(characters, weights, (0.5, 0.4, 0.3, -0.1, -1.0))
+
+    def odd(w: str) -> str:
+        like = lambda ch: [k for k, v in toxicity.IMITATES.items() if ch in v] or [ch]
+        return rng.choice(["", "", "!", "1", "("]) + "".join(rng.choice([ch, ch, ch, ch * 2, rng.choice(like(ch)), ch + rng.choice(".-*_1€²")]) for ch in w) + rng.choice(["", "!!", "$$$", ".", "s"])
+
+    texts = ["", "idi ot", "lo s er", "ab", "x " * 5 + "s h i t"] + [" ".join(rng.choice([odd, str, lambda w: w[:2] + " " + w[2:]])(rng.choice([*words, "letter", "xyzzy"])) for _ in range(rng.randint(1, 3))) for _ in range(1500)]
+
+    def plainly(text: str) -> float:
+        restore = toxicity.Restorer(characters)
+        tokens, more = restore.tokens(text.lower())
+        found = more + [r for w in tokens for r in restore.word(w)]
+        found += [w for i in range(len(tokens)) for n in (2, 3) if (w := "".join(tokens[i : i + n])) + "$" in weights and toxicity.decode(" ".join(tokens[i : i + n]), restore.model) == w]
+        held: dict[str, float] = {}
+        for f in (f for w in found for f in toxicity.features(w)):
+            held[toxicity.begins(f)] = max(held.get(toxicity.begins(f), 0.0), weights.get(f, 0.0))
+        return 1 / (1 + np.exp(-np.dot(toxicity.evidence(held, len(tokens)), model.fit)))
+
+    want = [plainly(t) for t in texts]
+    assert len({round(x, 9) for x in want}) > 300 and toxicity._scorer(model)(texts) == pytest.approx(want, abs=1e-12)
+    decode, calls = toxicity.decode, []
+    monkeypatch.setattr(toxicity, "decode", lambda *a: calls.append(a[0]) or decode(*a))
+    # Idle words that begin like weighed ones, or look disguised: no reading of theirs can weigh more than what is plain.
+    idle = [f"{w}{a}{a}{b}{end}" for w in ("idio", "moro", "lose", "zzz") for a in "xyz" for b in "qk" for end in ("", "!!", "$$$")]
+    toxicity._scorer(model)([" ".join(idle)])
+    assert not calls
+    gc.collect()
+    gc.disable()
+    try:
+        rate = toxicity._scorer(model)
+        rate(texts[:50])
+        kept = weakref.ref(rate.__closure__[[*rate.__code__.co_freevars].index("restore")].cell_contents)
+        del rate
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
 def test_toxicity_counts_alike_training_rows(spark):
     """Documents that share half of their shingles, or all with another label, are no near copies."""
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
