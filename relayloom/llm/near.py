@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relayloom.llm import tokens
 from relayloom.llm.common import documents, drop_written, fewer, pieces, written
 from relayloom.llm.sketch import one_permutation, shingles
 from relayloom.llm.wordhash import MULTIPLIER, mix, words
@@ -51,6 +52,7 @@ def _sketched(k: int, bands: int, rows: int):
     bins = 1 << (bands * rows - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in pieces(batches, "text", 2 << 20):
             sets = shingles(words(batch.column("text")), k)
             text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])

@@ -42,6 +42,10 @@ class _Memo(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Encoder:
     """Encodes texts to unsigned 32-bit ids of the machine's (little-endian) order, remembering words.
@@ -113,3 +117,10 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Frees the words that the worker's encoders remember; for tasks of other operators, which may follow in the same worker."""
+    for e in _ENCODERS.values():
+        e.known.forget()
+        e.parts.forget()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayloom.llm import near
+from relayloom.llm import near, tokens
 from relayloom.llm.common import documents, pieces, written
 
 SIZE = 64
@@ -73,6 +73,7 @@ def classes(text: str) -> np.ndarray:
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     count = np.zeros(SIZE**3, dtype=np.int64)
     for batch in pieces(batches, "text", 1 << 20):
         c = classes("\n".join(["", *batch.column("text").to_pylist(), ""]))
@@ -464,6 +465,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of all documents, computed where the texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         rate = _scorer(model)
         for batch in pieces(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rate(batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
@@ -481,6 +483,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     model = fit(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         rate = _scorer(model)
         for batch in pieces(batches, "text", 1 << 20):
             yield batch.filter(pa.array([x < threshold for x in rate([t or "" for t in batch.column("text").to_pylist()])], pa.bool_()))

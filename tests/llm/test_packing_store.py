@@ -7,10 +7,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from relayloom.llm import packing, token_store
+from relayloom.llm import near, packing, token_store, tokens, toxicity
 from relayloom.llm.common import scratch
 from relayloom.llm.tokens import Encoder
 
@@ -75,3 +76,18 @@ def test_packing_covers_every_id_once(spark, tokenizer, fan_in):
 
 def test_packing_nothing(spark, tokenizer):
     assert packing.pack(frame(spark, TEXTS).where(F.lit(False)), tokenizer).count() == 0
+
+
+def test_other_operators_forget_words(monkeypatch):
+    """A worker that packed texts and goes on to score or sketch others keeps none of the words in memory, and encodes as before."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    e = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words, and more of them"]})
+    for task in (toxicity._trigrams, near._sketched(5, 42, 6)):
+        ids = e.encode([" a few words, here."])
+        e.known.old = {"kept": b""}
+        assert e.known and e.parts
+        assert list(task(iter([rows])))
+        assert not (e.known or e.known.old or e.parts or e.parts.old) and e.encode([" a few words, here."]) == ids
