@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -582,10 +581,9 @@ def flow_hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.vec_id AS vec_id, b.vec_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0")
 def f2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = e.where("vec_id % 100 = 0").toDF("other_id", "other")
-    met = [e.join(F.broadcast(part), F.lit(True)) for part in search.blocks(asked, "other_id")]  # a block of queries each
-    return reduce(DataFrame.unionByName, met).select("vec_id", "other_id", F.round(search.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return search.cosines(q, v, 6).select(F.col("doc_id").alias("vec_id"), F.col("query_id").alias("other_id"), "similarity")
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relayloom.operators import corpus, matching, search, vector_index
+from relayloom.plans import queries as plans
 
 SCHEMA = "doc_id long, title string, text string, keywords array<string>, category string"
 
@@ -139,3 +142,50 @@ def test_code_tables_bound_what_they_stand_for():
     for p in range(4):
         assert (table[np.arange(5), p, codes[:5, p]] == table[:, p].min(axis=1)).all()
     assert pa.array([model.row()[2]]).to_pylist() == [10]
+
+
+# --- all pairs
+
+
+def in_order(a, b, digits=6):
+    """What DuckDB's list_cosine_similarity and round do; 0 where a norm is 0."""
+    if a is None or b is None or None in a or None in b or len(a) != len(b):
+        return None
+    added = lambda p, q: reduce(lambda s, uv: s + uv[0] * uv[1], zip(p, q, strict=True), 0.0)  # noqa: E731  (sum() would compensate)
+    dot, x, y = added(a, b), added(a, a), added(b, b)
+    if x == 0 or y == 0:
+        return 0.0
+    s = dot / math.sqrt(x * y) * 10**digits
+    return s if math.isnan(s) else math.copysign(math.floor(abs(s)) + (abs(s) % 1 >= 0.5), s) / 10**digits
+
+
+@pytest.mark.parametrize("most", [None, 40])
+def test_cosines_are_the_sums_in_order(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(search, "QUERY_BLOCK", most)
+        monkeypatch.setattr(search, "PAIRS", 7)
+    rng = np.random.default_rng(7)
+    e1, nan = [1.0] + [0.0] * 15, float("nan")
+    odd = [None, [], [1.0, None], [1.0, nan] + [0.0] * 14, [0.0] * 16, [1.0] * 3, e1, [1.0] * 16, [-1.0] * 16, [3.0, 4.0], [1e30] * 16, [float("inf")] + [1.0] * 15]
+    rows = [(i, v) for i, v in enumerate(odd + rng.normal(size=(40, 16)).tolist() + rng.integers(-2, 3, (40, 16)).astype(float).tolist())] + [(None, e1), (7, e1)]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    q = v.where("doc_id is not null").withColumnRenamed("doc_id", "query_id")
+    for digits in (1, 6):
+        got = search.cosines(q, v, digits).collect()
+        want = [(i, d, in_order(a, b, digits)) for i, a in rows if i is not None for d, b in rows]
+        assert sorted(map(str, ((r.query_id, r.doc_id, r.similarity) for r in got))) == sorted(map(str, want))
+    quarter = {r.doc_id: r.similarity for r in search.cosines(q.where("query_id = 6"), v, 1).collect()}
+    assert quarter[8] == -0.3 and quarter[7] in (0.3, 1.0)  # halves away from 0
+    assert search.cosines(q.where("false"), v).count() == 0 == search.cosines(q, v.where("false")).count()
+
+
+def test_cosine_query_deals_one_file_evenly_and_works_in_blocks(spark, tmp_path):
+    m = np.random.default_rng(8).normal(size=(20_000, 64)).astype(np.float32)
+    spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(m))), "embedding": pa.array(list(m), pa.list_(pa.float32()))})).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.QUERIES["f2_cosine"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 1 and "NestedLoop" not in got._jdf.queryExecution().toString()
+    began = time.time()
+    assert got.agg(F.count("similarity")).first()[0] == 4_000_000
+    assert time.time() - began < 20  # 4 cores; pair by pair it takes minutes
+    some = {(r.vec_id, r.other_id): r.similarity for r in got.where("vec_id % 4999 = 0 and other_id < 1000").collect()}
+    assert len(some) == 50 and some == {(i, j): in_order(m[i].astype(float).tolist(), m[j].astype(float).tolist()) for i, j in some}
